@@ -76,8 +76,8 @@ def stop_array() -> Column:
 
 def drop_stopwords(c, min_len: int = 3) -> Column:
     """Drop stop words and tokens shorter than ``min_len`` (default: length > 2)."""
-    stop = stop_array()
-    return F.filter(_c(c), lambda x: (F.length(x) >= min_len) & ~F.array_contains(stop, x))
+    # ``isin`` over a literal list becomes a hash-set lookup (InSet) instead of a list scan.
+    return F.filter(_c(c), lambda x: (F.length(x) >= min_len) & ~x.isin(L.STOP_WORDS))
 
 
 def vector_tokens(c) -> Column:
@@ -86,13 +86,14 @@ def vector_tokens(c) -> Column:
 
 
 def with_bigrams(c) -> Column:
-    """Unigrams followed by adjacent-pair bigrams (n-gram range 1..2)."""
+    """Unigrams followed by adjacent-pair bigrams (n-gram range 1..2).
+
+    Built from two shifted slices zipped together, so the token array is evaluated a fixed
+    number of times per row (a lambda indexing into it would re-evaluate it per element)."""
     arr = _c(c)
-    bigrams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(arr) - 1, F.lit(0))),
-        lambda i: F.concat_ws(" ", F.element_at(arr, i), F.element_at(arr, i + 1)),
-    )
-    bigrams = F.when(F.size(arr) >= 2, bigrams).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(arr) - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(arr, 1, n).alias("a"), F.slice(arr, 2, n).alias("b"))
+    bigrams = F.transform(pairs, lambda x: F.concat(x["a"], F.lit(" "), x["b"]))
     return F.concat(arr, bigrams)
 
 

@@ -328,3 +328,221 @@ def url_pattern_hits(spark, sf_dir):
     return (hits.groupBy("email_id", "pos", "pattern_type")
             .agg(F.count(F.lit(1)).cast("bigint").alias("hits"), F.round(F.sum("weight"), 6).alias("weight"))
             .withColumn("pos", F.col("pos").cast("bigint")))
+
+
+# -- text (D1-D4, D6, D8-D11) -----------------------------------------------------------
+
+def _mails(spark, sf_dir):
+    return views.raw_mails(spark, sf_dir)
+
+
+@query
+def clean_text(spark, sf_dir):
+    return _mails(spark, sf_dir).select("email_id", T.clean_text("raw_text").alias("clean_text"))
+
+
+@query
+def html_to_text(spark, sf_dir):
+    p = load(spark, sf_dir, "pages").select("page_id", "html")
+    return p.select("page_id", T.html_to_text("html").alias("text"))
+
+
+@query
+def light_clean(spark, sf_dir):
+    return _mails(spark, sf_dir).select("email_id", T.light_clean("raw_text").alias("light_text"))
+
+
+@query
+def tokens(spark, sf_dir):
+    t = T.tokens(T.clean_text("raw_text"))
+    return _mails(spark, sf_dir).select("email_id", F.size(t).cast("bigint").alias("n_tokens"),
+                                        F.array_join(t, " ").alias("tokens"))
+
+
+@query
+def stopword_filter(spark, sf_dir):
+    t = T.drop_stopwords(T.tokens(T.clean_text("raw_text")))
+    return _mails(spark, sf_dir).select("email_id", F.size(t).cast("bigint").alias("n_tokens"),
+                                        F.array_join(t, " ").alias("tokens"))
+
+
+@query
+def lemma_lookup(spark, sf_dir):
+    """D6 with a lemma table derived from the corpus: a token ending in 's' (not 'ss') maps to
+    the token without it when that form also occurs in the corpus."""
+    from mailsignal.operators.textjobs import corpus_plural_lemmas, lemmatize
+    m = _mails(spark, sf_dir).select("email_id", T.drop_stopwords(T.tokens(T.clean_text("raw_text"))).alias("toks"))
+    lem = corpus_plural_lemmas(m, "toks")
+    out = lemmatize(m, "toks", lem, "email_id")
+    return out.select("email_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+@query
+def accent_fold(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", T.accent_fold("text").alias("folded"))
+
+
+@query
+def word_ngrams(spark, sf_dir):
+    toks = _mails(spark, sf_dir).select(
+        "email_id", T.drop_stopwords(T.vector_tokens(T.light_clean("raw_text")), min_len=1).alias("toks"))
+    g = toks.select("email_id", T.with_bigrams("toks").alias("g"))
+    return g.select("email_id", F.size("g").cast("bigint").alias("n_terms"), F.array_join("g", "|").alias("terms"))
+
+
+@query
+def vector_tokens(spark, sf_dir):
+    v = T.vector_tokens(T.light_clean("raw_text"))
+    return _mails(spark, sf_dir).select("email_id", F.size(v).cast("bigint").alias("n_tokens"),
+                                        F.array_join(v, " ").alias("tokens"))
+
+
+@query
+def corpus_preprocess(spark, sf_dir):
+    """D8 (unstemmed) + B4: processed text, raw length, processed word count, URL count; empty dropped."""
+    m = _mails(spark, sf_dir)
+    processed = F.array_join(T.drop_stopwords(T.tokens(T.clean_text("raw_text"))), " ")
+    out = m.select("email_id", "label", processed.alias("processed_text"),
+                   E.char_count("raw_text").alias("email_length"),
+                   E.url_count_range("raw_text").alias("url_count"))
+    out = out.withColumn("word_count", F.size(T.tokens("processed_text")).cast("bigint"))
+    return out.filter(F.length("processed_text") > 0)
+
+
+# -- scalar features (E1-E21) -------------------------------------------------------------
+
+@query
+def text_stats(spark, sf_dir):
+    t = F.col("raw_text")
+    return _mails(spark, sf_dir).select("email_id", E.char_count(t).alias("char_count"),
+                                        E.word_count(t).alias("word_count"),
+                                        E.sentence_count(t).alias("sentence_count"))
+
+
+@query
+def url_counts(spark, sf_dir):
+    t = F.col("raw_text")
+    return _mails(spark, sf_dir).select("email_id", E.url_count_range(t).alias("url_count_extract"),
+                                        E.url_count_escaped(t).alias("url_count_escaped"),
+                                        E.url_count_http(t).alias("url_count_http"),
+                                        E.url_count_nonspace(t).alias("url_count_nonspace"))
+
+
+@query
+def punct_counts(spark, sf_dir):
+    t = F.col("raw_text")
+    return _mails(spark, sf_dir).select("email_id", E.count_substr(t, "!").alias("exclamation_count"),
+                                        E.count_substr(t, "?").alias("question_count"),
+                                        E.count_substr(t, "$").alias("dollar_count"))
+
+
+@query
+def caps_features(spark, sf_dir):
+    t = F.col("raw_text")
+    return _mails(spark, sf_dir).select("email_id", E.caps_runs(t).alias("excessive_caps"),
+                                        E.upper_count(t).alias("upper_count"),
+                                        F.round(E.caps_ratio(t), 9).alias("caps_ratio"))
+
+
+@query
+def ip_flags(spark, sf_dir):
+    t = F.col("raw_text")
+    return _mails(spark, sf_dir).select("email_id", E.has_ip_loose(t).alias("has_ip_address"),
+                                        E.has_ip_bounded(t).alias("has_ip_url"))
+
+
+@query
+def shortener_flags(spark, sf_dir):
+    m = _mails(spark, sf_dir).withColumn("urls", E.url_list("raw_text"))
+    return m.select("email_id", E.has_shortener_in_urls("urls").alias("has_shortened_url"),
+                    E.has_shortener_in_text("raw_text").alias("has_shortened_url_text"))
+
+
+@query
+def keyword_counts(spark, sf_dir):
+    t = F.col("raw_text")
+    return _mails(spark, sf_dir).select("email_id", E.keyword_hits(t, L.KEYWORDS_10).alias("suspicious_keyword_count"),
+                                        E.keyword_hits(t, L.KEYWORDS_20).alias("configured_keyword_count"),
+                                        E.keyword_hits(t, L.KEYWORDS_5).alias("suspicious_keywords"))
+
+
+@query
+def urgency_counts(spark, sf_dir):
+    t = F.col("raw_text")
+    return _mails(spark, sf_dir).select("email_id", E.keyword_hits(t, L.URGENT_4).alias("urgent_words"),
+                                        E.keyword_hits(t, L.URGENCY_10).alias("urgency_indicators"))
+
+
+@query
+def processed_stats(spark, sf_dir):
+    e = logs.emails(spark, sf_dir)
+    return e.select("id", E.char_count("processed_text").alias("text_length"),
+                    E.word_count("processed_text").alias("word_count"))
+
+
+@query
+def subject_features(spark, sf_dir):
+    p = C.split_headers(_mails(spark, sf_dir))
+    s = F.col("subject")
+    return p.select("email_id", E.char_count(s).alias("subject_length"),
+                    E.count_substr(s, "!").alias("subject_exclamation_count"),
+                    E.count_substr(s, "?").alias("subject_question_count"),
+                    F.round(E.caps_ratio(s), 9).alias("subject_caps_ratio"))
+
+
+@query
+def sender_suspicious(spark, sf_dir):
+    p = C.split_headers(_mails(spark, sf_dir))
+    return p.select("email_id", "sender", E.sender_suspicious("sender").alias("sender_suspicious"))
+
+
+@query
+def metadata_features(spark, sf_dir):
+    return _mails(spark, sf_dir).select("email_id", *E.metadata_vector_columns("raw_text"))
+
+
+@query
+def metadata_features_full(spark, sf_dir):
+    """The old-stack metadata frame (presence-dependent columns resolved at plan time)."""
+    from mailsignal.operators.featureframe import metadata_frame
+    p = C.split_headers(_mails(spark, sf_dir)).withColumnRenamed("raw_text", "text")
+    return metadata_frame(p, id_col="email_id")
+
+
+@query
+def email_features(spark, sf_dir):
+    """The batch feature dict as columns."""
+    from mailsignal.operators.featureframe import email_feature_dict
+    return email_feature_dict(_mails(spark, sf_dir), "raw_text", "email_id")
+
+
+@query
+def metadata_numeric(spark, sf_dir):
+    """Coerce text columns to double, unparsable -> 0.0."""
+    e = load(spark, sf_dir, "events").select("event_id", "event_type", "props", "value")
+
+    def num(c):
+        return F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    return e.select("event_id",
+                    F.get_json_object("props", "$.k").alias("k_text"),
+                    F.col("value").cast("string").alias("value_text"), "event_type") \
+        .select("event_id", num("k_text").alias("k"), num("value_text").alias("value"),
+                num("event_type").alias("event_type_num"))
+
+
+@query
+def json_request_decode(spark, sf_dir):
+    """Decode request JSON with defaults for missing fields (PERMISSIVE: malformed -> defaults)."""
+    e = load(spark, sf_dir, "events").select("event_id", "props")
+    d = e.select("event_id", F.from_json("props", "k bigint, email_text string, actual_label int").alias("j"))
+    return d.select("event_id", F.coalesce("j.k", F.lit(0)).cast("bigint").alias("k"),
+                    F.coalesce("j.email_text", F.lit("")).alias("email_text"),
+                    F.col("j.actual_label").alias("actual_label"))
+
+
+@query
+def percent_text(spark, sf_dir):
+    """Confidence as percentage text with one decimal."""
+    s = logs.scored_mails(spark, sf_dir)
+    return s.select("email_id", F.format_string("%.1f%%", F.col("ensemble_confidence") * 100).alias("confidence_text"))

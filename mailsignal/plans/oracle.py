@@ -304,3 +304,159 @@ u AS (SELECT id AS email_id, (x.pos - 1)::BIGINT AS pos, x.url
 SELECT u.email_id, u.pos, up.pattern_type, count(*)::BIGINT AS hits, round(sum(up.weight), 6) AS weight
 FROM u JOIN up ON regexp_matches(u.url, up.pattern) GROUP BY 1, 2, 3""", "emails"))
 
+
+# -- text ---------------------------------------------------------------------------
+from mailsignal.plans.oracle_views import (clean, html_text, kw_count, light, nostop, qlist,  # noqa: E402
+                                          substr_count, toks, wcount)
+
+_VT = f"regexp_extract_all({light('raw_text')}, '(\\w\\w+)', 1)"
+
+oracle("clean_text", with_views(f"SELECT email_id, {clean('raw_text')} AS clean_text FROM raw_mails", "raw_mails"))
+
+oracle("html_to_text", f"SELECT page_id, {html_text('html')} AS text FROM pages")
+
+oracle("light_clean", with_views(f"SELECT email_id, {light('raw_text')} AS light_text FROM raw_mails", "raw_mails"))
+
+oracle("tokens", with_views(f"""
+SELECT email_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT email_id, {toks(clean('raw_text'))} AS t FROM raw_mails)""", "raw_mails"))
+
+oracle("stopword_filter", with_views(f"""
+SELECT email_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT email_id, {nostop(toks(clean('raw_text')))} AS t FROM raw_mails)""", "raw_mails"))
+
+oracle("lemma_lookup", with_views(f"""
+, m AS (SELECT email_id, {nostop(toks(clean('raw_text')))} AS toks FROM raw_mails),
+vocab AS (SELECT DISTINCT unnest(toks) AS token FROM m),
+lem AS (SELECT token, substr(token, 1, length(token) - 1) AS lemma FROM vocab
+        WHERE suffix(token, 's') AND NOT suffix(token, 'ss') AND length(token) > 3
+          AND substr(token, 1, length(token) - 1) IN (SELECT token FROM vocab)),
+x AS (SELECT email_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM m),
+y AS (SELECT x.email_id, x.pos, coalesce(lem.lemma, x.token) AS w FROM x LEFT JOIN lem USING (token))
+SELECT m.email_id, coalesce(array_to_string(list(y.w ORDER BY y.pos) FILTER (WHERE y.w IS NOT NULL), ' '), '')
+  AS lemmas
+FROM m LEFT JOIN y USING (email_id) GROUP BY m.email_id""", "raw_mails"))
+
+oracle("accent_fold", "SELECT doc_id, strip_accents(text) AS folded FROM documents")
+
+oracle("word_ngrams", with_views(f"""
+, a AS (SELECT email_id, list_filter({_VT}, lambda w: length(w) >= 1
+        AND NOT list_contains({qlist(L.STOP_WORDS)}, w)) AS t FROM raw_mails),
+b AS (SELECT email_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g
+      FROM a)
+SELECT email_id, len(g)::BIGINT AS n_terms, array_to_string(g, '|') AS terms FROM b""", "raw_mails"))
+
+oracle("vector_tokens", with_views(f"""
+SELECT email_id, len(v)::BIGINT AS n_tokens, array_to_string(v, ' ') AS tokens
+FROM (SELECT email_id, {_VT} AS v FROM raw_mails)""", "raw_mails"))
+
+oracle("corpus_preprocess", with_views(f"""
+, a AS (SELECT email_id, label, array_to_string({nostop(toks(clean('raw_text')))}, ' ') AS processed_text,
+        length(raw_text)::BIGINT AS email_length, {rcount('raw_text', L.URL_PATTERN_RANGE)} AS url_count
+        FROM raw_mails)
+SELECT email_id, label, processed_text, email_length, url_count,
+       len({toks('processed_text')})::BIGINT AS word_count
+FROM a WHERE length(processed_text) > 0""", "raw_mails"))
+
+# -- scalar features ------------------------------------------------------------------
+_UP = "len(regexp_extract_all(coalesce({x}, ''), '\\p{{Lu}}'))::BIGINT"
+
+
+def _caps_ratio(x: str) -> str:
+    return f"round(CAST({_UP.format(x=x)} AS DOUBLE) / (length(coalesce({x}, '')) + 1), 9)"
+
+
+_IPB = q(L.IP_PATTERN_BOUNDED)
+_IPL = q(L.IP_PATTERN_LOOSE)
+_SHORT_TEXT = " OR ".join(f"contains(lower(raw_text), {q(d)})" for d in L.SHORTENERS_5)
+_URLS_A = f"regexp_extract_all(raw_text, {q('(' + L.URL_PATTERN_RANGE + ')')}, 1)"
+_SHORT_URLS = ("len(list_filter(" + _URLS_A + ", lambda u: "
+               + " OR ".join(f"contains(u, {q(d)})" for d in L.SHORTENERS_4) + ")) > 0")
+_SENDER = q("|".join(L.SENDER_PATTERNS))
+
+oracle("text_stats", with_views(f"""
+SELECT email_id, length(raw_text)::BIGINT AS char_count, {wcount('raw_text')} AS word_count,
+       {rcount('raw_text', '[.!?]+')} AS sentence_count FROM raw_mails""", "raw_mails"))
+
+oracle("url_counts", with_views(f"""
+SELECT email_id, {rcount('raw_text', L.URL_PATTERN_RANGE)} AS url_count_extract,
+       {rcount('raw_text', L.URL_PATTERN_ESCAPED)} AS url_count_escaped,
+       {substr_count('raw_text', 'http')} AS url_count_http,
+       {rcount('raw_text', 'http[s]?://' + NWS + '+')} AS url_count_nonspace FROM raw_mails""", "raw_mails"))
+
+oracle("punct_counts", with_views(f"""
+SELECT email_id, {substr_count('raw_text', '!')} AS exclamation_count, {substr_count('raw_text', '?')} AS question_count,
+       {substr_count('raw_text', '$')} AS dollar_count FROM raw_mails""", "raw_mails"))
+
+oracle("caps_features", with_views(f"""
+SELECT email_id, {rcount('raw_text', '[A-Z]{3,}')} AS excessive_caps, {_UP.format(x='raw_text')} AS upper_count,
+       {_caps_ratio('raw_text')} AS caps_ratio FROM raw_mails""", "raw_mails"))
+
+oracle("ip_flags", with_views(f"""
+SELECT email_id, regexp_matches(raw_text, {_IPL}) AS has_ip_address, regexp_matches(raw_text, {_IPB}) AS has_ip_url
+FROM raw_mails""", "raw_mails"))
+
+oracle("shortener_flags", with_views(f"""
+SELECT email_id, {_SHORT_URLS} AS has_shortened_url, ({_SHORT_TEXT}) AS has_shortened_url_text
+FROM raw_mails""", "raw_mails"))
+
+oracle("keyword_counts", with_views(f"""
+SELECT email_id, {kw_count('raw_text', L.KEYWORDS_10)} AS suspicious_keyword_count,
+       {kw_count('raw_text', L.KEYWORDS_20)} AS configured_keyword_count,
+       {kw_count('raw_text', L.KEYWORDS_5)} AS suspicious_keywords FROM raw_mails""", "raw_mails"))
+
+oracle("urgency_counts", with_views(f"""
+SELECT email_id, {kw_count('raw_text', L.URGENT_4)} AS urgent_words,
+       {kw_count('raw_text', L.URGENCY_10)} AS urgency_indicators FROM raw_mails""", "raw_mails"))
+
+oracle("processed_stats", with_views(f"""
+SELECT id, length(processed_text)::BIGINT AS text_length, {wcount('processed_text')} AS word_count FROM emails""",
+                                     "emails"))
+
+oracle("subject_features", with_views(f"""
+SELECT email_id, length(subject)::BIGINT AS subject_length, {substr_count('subject', '!')} AS subject_exclamation_count,
+       {substr_count('subject', '?')} AS subject_question_count, {_caps_ratio('subject')} AS subject_caps_ratio
+FROM parsed""", "emails"))
+
+oracle("sender_suspicious", with_views(f"""
+SELECT email_id, sender, regexp_matches(lower(sender), {_SENDER}) AS sender_suspicious FROM parsed""", "emails"))
+
+oracle("metadata_features", with_views(f"""
+SELECT email_id, length(raw_text)::BIGINT AS email_length, {wcount('raw_text')} AS word_count,
+       {substr_count('raw_text', 'http')} AS url_count, {substr_count('raw_text', '!')} AS exclamation_count,
+       {substr_count('raw_text', '?')} AS question_count, {substr_count('raw_text', '$')} AS dollar_count,
+       {kw_count('raw_text', L.URGENT_4)} AS urgent_words, {kw_count('raw_text', L.KEYWORDS_5)} AS suspicious_keywords
+FROM raw_mails""", "raw_mails"))
+
+oracle("metadata_features_full", with_views(f"""
+SELECT email_id, length(raw_text)::BIGINT AS text_length, {wcount('raw_text')} AS word_count,
+       length(subject)::BIGINT AS subject_length, {substr_count('subject', '!')} AS subject_exclamation_count,
+       {substr_count('subject', '?')} AS subject_question_count, {_caps_ratio('subject')} AS subject_caps_ratio,
+       {rcount('raw_text', L.URL_PATTERN_ESCAPED)} AS url_count, regexp_matches(raw_text, {_IPB}) AS has_ip_url,
+       ({_SHORT_TEXT}) AS has_shortened_url, regexp_matches(lower(sender), {_SENDER}) AS sender_suspicious,
+       {kw_count('raw_text', L.KEYWORDS_20)} AS suspicious_keyword_count,
+       {kw_count('raw_text', L.URGENCY_10)} AS urgency_indicators,
+       {substr_count('raw_text', '!')} AS exclamation_count, {substr_count('raw_text', '?')} AS question_count,
+       {_caps_ratio('raw_text')} AS caps_ratio
+FROM parsed""", "emails"))
+
+oracle("email_features", with_views(f"""
+SELECT email_id, length(raw_text)::BIGINT AS char_count, {wcount('raw_text')} AS word_count,
+       {rcount('raw_text', '[.!?]+')} AS sentence_count, len({_URLS_A})::BIGINT AS url_count,
+       {_SHORT_URLS} AS has_shortened_url, regexp_matches(raw_text, {_IPL}) AS has_ip_address,
+       {rcount('raw_text', '[A-Z]{3,}')} AS excessive_caps, {substr_count('raw_text', '!')} AS exclamation_count,
+       {substr_count('raw_text', '?')} AS question_count,
+       {kw_count('raw_text', L.KEYWORDS_10)} AS suspicious_keyword_count FROM raw_mails""", "raw_mails"))
+
+oracle("metadata_numeric", """
+SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS k,
+       coalesce(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE), 0.0) AS value,
+       coalesce(TRY_CAST(event_type AS DOUBLE), 0.0) AS event_type_num FROM events""")
+
+oracle("json_request_decode", """
+SELECT event_id, coalesce(TRY_CAST(json_extract(props, '$.k') AS BIGINT), 0)::BIGINT AS k,
+       coalesce(json_extract_string(props, '$.email_text'), '') AS email_text,
+       TRY_CAST(json_extract(props, '$.actual_label') AS INTEGER) AS actual_label FROM events""")
+
+oracle("percent_text", with_views("""
+SELECT email_id, printf('%.1f%%', rf_confidence * 100) AS confidence_text FROM scored""", "scored"))
