@@ -546,3 +546,163 @@ def percent_text(spark, sf_dir):
     """Confidence as percentage text with one decimal."""
     s = logs.scored_mails(spark, sf_dir)
     return s.select("email_id", F.format_string("%.1f%%", F.col("ensemble_confidence") * 100).alias("confidence_text"))
+
+
+# -- vectorisation (F1-F5, F8, F9) ----------------------------------------------------------
+
+def _corpus(spark, sf_dir):
+    return views.raw_mails(spark, sf_dir).select("email_id", "raw_text", "label")
+
+
+@query
+def tfidf_vocabulary(spark, sf_dir):
+    from mailsignal.operators import vectorize as V
+    return V.fit_vocabulary(_corpus(spark, sf_dir), "email_id", "raw_text").select("term", "idx", "df", "total")
+
+
+@query
+def tfidf_weights(spark, sf_dir):
+    from mailsignal.operators import vectorize as V
+    c = _corpus(spark, sf_dir)
+    return V.tfidf(c, V.fit_vocabulary(c, "email_id", "raw_text"), "email_id", "raw_text")
+
+
+@query
+def tfidf_transform(spark, sf_dir):
+    """conversation turns vectorised with the vocabulary fitted on the mails (unseen terms dropped)."""
+    from mailsignal.operators import vectorize as V
+    vocab = V.fit_vocabulary(_corpus(spark, sf_dir), "email_id", "raw_text")
+    conv = load(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
+    return V.tfidf(conv, vocab, "msg_id", "text")
+
+
+@query
+def chi2_select(spark, sf_dir):
+    from mailsignal.operators import vectorize as V
+    c = _corpus(spark, sf_dir)
+    w = V.tfidf(c, V.fit_vocabulary(c, "email_id", "raw_text"), "email_id", "raw_text")
+    s = V.chi2_scores(w, c, "email_id").withColumn("chi2", F.round("chi2", 6))
+    return V.select_k_best(s, 1000)
+
+
+@query
+def standard_scale(spark, sf_dir):
+    from mailsignal.operators import vectorize as V
+    m = _mails(spark, sf_dir).select("email_id", *E.metadata_vector_columns("raw_text"))
+    out = V.standard_scale(m, E.METADATA_NAMES, "email_id")
+    return out.select("email_id", *[F.round(c, 9).alias(c) for c in E.METADATA_NAMES])
+
+
+# -- splitting and corpus (G1-G4, G6, G7) ------------------------------------------------------
+
+@query
+def stratified_split(spark, sf_dir):
+    """G1 on the imbalanced ``toxic`` target of the labels table."""
+    from mailsignal.operators import split as G
+    lab = load(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return G.stratified_split(lab, "doc_id").select("doc_id", "label", "split")
+
+
+@query
+def split_then_fit(spark, sf_dir):
+    """Split first, fit the vocabulary on the training mails only, vectorise the test mails."""
+    from mailsignal.operators import split as G
+    from mailsignal.operators import vectorize as V
+    s = G.stratified_split(_corpus(spark, sf_dir), "email_id")
+    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    vocab = V.fit_vocabulary(train, "email_id", "raw_text")
+    return V.tfidf(test, vocab, "email_id", "raw_text")
+
+
+@query
+def stratified_folds(spark, sf_dir):
+    from mailsignal.operators import split as G
+    return G.stratified_folds(_corpus(spark, sf_dir).select("email_id", "label"), "email_id", k=5)
+
+
+@query
+def shuffle_index(spark, sf_dir):
+    from mailsignal.operators import split as G
+    d = load(spark, sf_dir, "documents").select("doc_id")
+    return G.shuffle_index(d, "doc_id")
+
+
+@query
+def class_weights(spark, sf_dir):
+    from mailsignal.operators import split as G
+    lab = load(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return G.class_weights(lab).select("doc_id", "label", "class_weight")
+
+
+@query
+def corpus_summary(spark, sf_dir):
+    from mailsignal.operators import split as G
+    return G.corpus_summary(_corpus(spark, sf_dir), "raw_text")
+
+
+# -- evaluation (J1-J7) --------------------------------------------------------------------
+
+def _eval(spark, sf_dir):
+    s = logs.scored_mails(spark, sf_dir)
+
+    def m(name, pred, score):
+        return F.struct(F.lit(name).alias("model_name"), F.col(pred).alias("prediction"), F.col(score).alias("score"))
+    return s.select("email_id", "label", "raw_text", F.inline(F.array(
+        m("random_forest", "rf_prediction", "rf_probability_phishing"),
+        m("svm", "svm_prediction", "svm_probability_phishing"),
+        m("ensemble", "ensemble_prediction", "rf_probability_phishing"))))
+
+
+@query
+def binary_metrics(spark, sf_dir):
+    from mailsignal.operators import evaluate as J
+    b = J.binary_metrics(_eval(spark, sf_dir), "model_name")
+    return b.select("model_name", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")])
+
+
+@query
+def roc_auc(spark, sf_dir):
+    from mailsignal.operators import evaluate as J
+    return J.roc_auc(_eval(spark, sf_dir), "model_name").withColumn("roc_auc", F.round("roc_auc", 9))
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    from mailsignal.operators import evaluate as J
+    return J.confusion(_eval(spark, sf_dir), "model_name")
+
+
+@query
+def classification_report(spark, sf_dir):
+    from mailsignal.operators import evaluate as J
+    return J.classification_report(_eval(spark, sf_dir), "model_name")
+
+
+@query
+def model_comparison(spark, sf_dir):
+    from mailsignal.operators import evaluate as J
+    return J.model_comparison(_eval(spark, sf_dir), "model_name")
+
+
+@query
+def best_model_by_metric(spark, sf_dir):
+    from mailsignal.operators import evaluate as J
+    comp = J.model_comparison(_eval(spark, sf_dir), "model_name")
+    return J.best_model_by_metric(comp, "model_name", list(L.MODEL_NAMES))
+
+
+@query
+def metric_history(spark, sf_dir):
+    from mailsignal.operators import evaluate as J
+    ev = _eval(spark, sf_dir)
+    comp = J.model_comparison(ev, "model_name")
+    size = _corpus(spark, sf_dir).count()
+    return J.metric_history(comp, "model_name", MAIL_AS_OF, size, notes="hold-out evaluation")
+
+
+@query
+def prediction_outcomes(spark, sf_dir):
+    from mailsignal.operators import evaluate as J
+    ev = _eval(spark, sf_dir).filter(F.col("model_name") == "ensemble")
+    return J.prediction_outcomes(ev, "email_id", "raw_text")

@@ -460,3 +460,194 @@ SELECT event_id, coalesce(TRY_CAST(json_extract(props, '$.k') AS BIGINT), 0)::BI
 
 oracle("percent_text", with_views("""
 SELECT email_id, printf('%.1f%%', rf_confidence * 100) AS confidence_text FROM scored""", "scored"))
+
+# -- vectorisation --------------------------------------------------------------------
+_STOP = qlist(L.STOP_WORDS)
+_TFIDF_BASE = f"""
+, t1 AS (SELECT email_id, list_filter({_VT}, lambda w: length(w) >= 1 AND NOT list_contains({_STOP}, w)) AS t
+         FROM raw_mails),
+terms AS (SELECT email_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS terms
+          FROM t1),
+tc AS (SELECT email_id, term, count(*) AS tf FROM (SELECT email_id, unnest(terms) AS term FROM terms) GROUP BY 1, 2),
+st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tc GROUP BY 1),
+nd AS (SELECT count(*) AS n FROM raw_mails),
+vocab0 AS (SELECT term, df, total FROM st, nd WHERE df >= {L.MIN_DF} AND df <= floor({L.MAX_DF} * n)
+           ORDER BY total DESC, term LIMIT {L.MAX_FEATURES}),
+vocab AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS idx, df::BIGINT AS df,
+                 total::BIGINT AS total, n AS n_docs FROM vocab0, nd),
+w0 AS (SELECT tc.email_id, tc.term, v.idx,
+              (1 + ln(tc.tf)) * (ln(CAST(v.n_docs + 1 AS DOUBLE) / CAST(v.df + 1 AS DOUBLE)) + 1) AS w
+       FROM tc JOIN vocab v USING (term)),
+weights AS (SELECT email_id, term, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY email_id)), 9) AS weight FROM w0)
+"""
+
+oracle("tfidf_vocabulary", with_views(_TFIDF_BASE + "SELECT term, idx, df, total FROM vocab", "raw_mails"))
+oracle("tfidf_weights", with_views(_TFIDF_BASE + "SELECT email_id, term, idx, weight FROM weights", "raw_mails"))
+
+oracle("tfidf_transform", with_views(_TFIDF_BASE + f"""
+, c1 AS (SELECT conv_id * 1000 + turn AS msg_id,
+         list_filter(regexp_extract_all({light('text')}, '(\\w\\w+)', 1),
+                     lambda w: length(w) >= 1 AND NOT list_contains({_STOP}, w)) AS t FROM conversations),
+c2 AS (SELECT msg_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS terms
+       FROM c1),
+ctc AS (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest(terms) AS term FROM c2) GROUP BY 1, 2),
+cw AS (SELECT ctc.msg_id, ctc.term, v.idx,
+              (1 + ln(ctc.tf)) * (ln(CAST(v.n_docs + 1 AS DOUBLE) / CAST(v.df + 1 AS DOUBLE)) + 1) AS w
+       FROM ctc JOIN vocab v USING (term))
+SELECT msg_id, term, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)), 9) AS weight FROM cw""",
+                                     "raw_mails"))
+
+oracle("chi2_select", with_views(_TFIDF_BASE + """
+, obs AS (SELECT term, label, sum(weight) AS o FROM weights JOIN raw_mails USING (email_id) GROUP BY 1, 2),
+prior AS (SELECT label, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM raw_mails) AS p FROM raw_mails GROUP BY 1),
+cells AS (SELECT t.term, pr.p, coalesce(o.o, 0.0) AS o
+          FROM (SELECT DISTINCT term FROM obs) t CROSS JOIN prior pr
+          LEFT JOIN obs o ON o.term = t.term AND o.label = pr.label),
+tot AS (SELECT term, sum(o) AS total FROM obs GROUP BY 1),
+chi AS (SELECT term, round(sum((o - p * total) * (o - p * total) / (p * total)), 6) AS chi2
+        FROM cells JOIN tot USING (term) GROUP BY term)
+SELECT term, chi2 FROM chi ORDER BY chi2 DESC, term LIMIT 1000""", "raw_mails"))
+
+_META = f"""
+, meta AS (
+SELECT email_id, length(raw_text)::BIGINT AS email_length, {wcount('raw_text')} AS word_count,
+       {substr_count('raw_text', 'http')} AS url_count, {substr_count('raw_text', '!')} AS exclamation_count,
+       {substr_count('raw_text', '?')} AS question_count, {substr_count('raw_text', '$')} AS dollar_count,
+       {kw_count('raw_text', L.URGENT_4)} AS urgent_words, {kw_count('raw_text', L.KEYWORDS_5)} AS suspicious_keywords
+FROM raw_mails)"""
+_META_COLS = ["email_length", "word_count", "url_count", "exclamation_count", "question_count", "dollar_count",
+              "urgent_words", "suspicious_keywords"]
+oracle("standard_scale", with_views(_META + "\nSELECT email_id, " + ", ".join(
+    f"round((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 "
+    f"ELSE stddev_pop({c}) OVER () END, 9) AS {c}" for c in _META_COLS) + " FROM meta", "raw_mails"))
+
+# -- splitting --------------------------------------------------------------------------
+_H = "md5('42|' || CAST({id} AS VARCHAR))"
+
+oracle("stratified_split", f"""
+SELECT doc_id, label, CASE WHEN rn < round(n_class * {L.TEST_SIZE}) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT doc_id, toxic AS label,
+         row_number() OVER (PARTITION BY toxic ORDER BY {_H.format(id='doc_id')}, doc_id) - 1 AS rn,
+         count(*) OVER (PARTITION BY toxic) AS n_class
+  FROM labels)""")
+
+oracle("split_then_fit", with_views(f"""
+, sp AS (SELECT email_id, CASE WHEN rn < round(n_class * {L.TEST_SIZE}) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT email_id, row_number() OVER (PARTITION BY label ORDER BY {_H.format(id='email_id')}, email_id) - 1 AS rn,
+         count(*) OVER (PARTITION BY label) AS n_class FROM raw_mails)),
+t1 AS (SELECT email_id, list_filter({_VT}, lambda w: length(w) >= 1 AND NOT list_contains({_STOP}, w)) AS t
+         FROM raw_mails),
+terms AS (SELECT email_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS terms
+          FROM t1),
+tc AS (SELECT email_id, term, count(*) AS tf FROM (SELECT email_id, unnest(terms) AS term FROM terms) GROUP BY 1, 2),
+st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tc JOIN sp USING (email_id) WHERE split = 'train' GROUP BY 1),
+nd AS (SELECT count(*) AS n FROM sp WHERE split = 'train'),
+vocab0 AS (SELECT term, df, total FROM st, nd WHERE df >= {L.MIN_DF} AND df <= floor({L.MAX_DF} * n)
+           ORDER BY total DESC, term LIMIT {L.MAX_FEATURES}),
+vocab AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS idx, df, n AS n_docs FROM vocab0, nd),
+w0 AS (SELECT tc.email_id, tc.term, v.idx,
+              (1 + ln(tc.tf)) * (ln(CAST(v.n_docs + 1 AS DOUBLE) / CAST(v.df + 1 AS DOUBLE)) + 1) AS w
+       FROM tc JOIN vocab v USING (term) JOIN sp USING (email_id) WHERE sp.split = 'test')
+SELECT email_id, term, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY email_id)), 9) AS weight FROM w0""",
+                                    "raw_mails"))
+
+oracle("stratified_folds", with_views(f"""
+SELECT email_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {_H.format(id='email_id')}, email_id) - 1)
+  % 5 AS INTEGER) AS fold FROM raw_mails""", "raw_mails"))
+
+oracle("shuffle_index", f"""
+SELECT doc_id, (row_number() OVER (ORDER BY {_H.format(id='doc_id')}, doc_id) - 1)::BIGINT AS shuffle_index
+FROM documents""")
+
+oracle("class_weights", """
+SELECT doc_id, toxic AS label,
+       CAST(count(*) OVER () AS DOUBLE) / (2 * count(*) OVER (PARTITION BY toxic)) AS class_weight
+FROM labels""")
+
+oracle("corpus_summary", with_views(f"""
+SELECT count(*)::BIGINT AS total, count(CASE WHEN label = 1 THEN 1 END)::BIGINT AS phishing,
+       count(CASE WHEN label = 0 THEN 1 END)::BIGINT AS legitimate, round(avg(length(raw_text)), 6) AS avg_length,
+       round(avg({wcount('raw_text')}), 6) AS avg_words,
+       count(CASE WHEN {substr_count('raw_text', 'http')} > 0 THEN 1 END)::BIGINT AS with_urls,
+       round(CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE) / count(*) * 100, 2) AS phishing_pct
+FROM raw_mails""", "raw_mails"))
+
+# -- evaluation -----------------------------------------------------------------------------
+_EV = """
+, ev AS (
+  SELECT email_id, label, raw_text, 'random_forest' AS model_name, rf_prediction AS prediction,
+         rf_probability_phishing AS score FROM scored
+  UNION ALL SELECT email_id, label, raw_text, 'svm', svm_prediction, svm_probability_phishing FROM scored
+  UNION ALL SELECT email_id, label, raw_text, 'ensemble', rf_prediction, rf_probability_phishing FROM scored
+), cm AS (
+  SELECT model_name, count(CASE WHEN label = 0 AND prediction = 0 THEN 1 END)::BIGINT AS tn,
+         count(CASE WHEN label = 0 AND prediction = 1 THEN 1 END)::BIGINT AS fp,
+         count(CASE WHEN label = 1 AND prediction = 0 THEN 1 END)::BIGINT AS fn,
+         count(CASE WHEN label = 1 AND prediction = 1 THEN 1 END)::BIGINT AS tp
+  FROM ev GROUP BY model_name
+), bm AS (
+  SELECT model_name, coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + tn + fp + fn, 0), 0) AS accuracy,
+         coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS precision,
+         coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS recall FROM cm
+), bm2 AS (
+  SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1_score FROM bm
+), rk AS (
+  SELECT model_name, label, rank() OVER (PARTITION BY model_name ORDER BY score)
+         + (count(*) OVER (PARTITION BY model_name, score) - 1) / 2.0 AS r FROM ev
+), auc AS (
+  SELECT model_name, (sum(CASE WHEN label = 1 THEN r ELSE 0 END) - count(CASE WHEN label = 1 THEN 1 END)
+         * (count(CASE WHEN label = 1 THEN 1 END) + 1) / 2.0)
+         / (count(CASE WHEN label = 1 THEN 1 END) * count(CASE WHEN label = 0 THEN 1 END)) AS roc_auc
+  FROM rk GROUP BY model_name
+), comp AS (
+  SELECT model_name, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision, round(recall, 4) AS recall,
+         round(f1_score, 4) AS f1_score, round(roc_auc, 4) AS roc_auc FROM bm2 JOIN auc USING (model_name)
+)"""
+
+oracle("binary_metrics", with_views(_EV + """
+SELECT model_name, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall,
+       round(f1_score, 9) AS f1_score FROM bm2""", "scored"))
+oracle("roc_auc", with_views(_EV + "\nSELECT model_name, round(roc_auc, 9) AS roc_auc FROM auc", "scored"))
+oracle("confusion_matrix", with_views(_EV + "\nSELECT * FROM cm", "scored"))
+oracle("model_comparison", with_views(_EV + "\nSELECT * FROM comp", "scored"))
+
+oracle("classification_report", with_views(_EV + """
+, pc AS (
+  SELECT model_name, '1' AS row, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS precision,
+         coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS recall, tp + fn AS support, tp + tn + fp + fn AS n
+  FROM cm
+  UNION ALL
+  SELECT model_name, '0', coalesce(CAST(tn AS DOUBLE) / nullif(tn + fn, 0), 0),
+         coalesce(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 0), tn + fp, tp + tn + fp + fn FROM cm
+), pc2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1_score FROM pc)
+SELECT model_name, row, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+       support::BIGINT AS support FROM pc2
+UNION ALL
+SELECT model_name, 'accuracy', NULL, NULL, round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + tn + fp + fn, 0), 0), 6),
+       (tp + tn + fp + fn)::BIGINT FROM cm
+UNION ALL
+SELECT model_name, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6),
+       max(n)::BIGINT FROM pc2 GROUP BY model_name
+UNION ALL
+SELECT model_name, 'weighted avg', round(sum(precision * support) / max(n), 6), round(sum(recall * support) / max(n), 6),
+       round(sum(f1_score * support) / max(n), 6), max(n)::BIGINT FROM pc2 GROUP BY model_name""", "scored"))
+
+oracle("best_model_by_metric", with_views(_EV + """
+, lng AS (
+  SELECT model_name, CASE model_name WHEN 'random_forest' THEN 1 WHEN 'svm' THEN 2 ELSE 3 END AS o,
+         unnest(['accuracy', 'precision', 'recall', 'f1_score', 'roc_auc']) AS metric,
+         unnest([accuracy, precision, recall, f1_score, roc_auc]) AS value FROM comp
+)
+SELECT metric, model_name AS best_model, CAST(value AS DOUBLE) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, o) AS rn FROM lng) WHERE rn = 1""",
+                                          "scored"))
+
+oracle("metric_history", with_views(_EV + f"""
+SELECT model_name, unnest(['accuracy', 'precision', 'recall', 'f1_score', 'roc_auc']) AS metric_name,
+       CAST(unnest([accuracy, precision, recall, f1_score, roc_auc]) AS DOUBLE) AS metric_value,
+       {MAIL_AS_OF} AS evaluation_date, CAST((SELECT count(*) FROM raw_mails) AS INTEGER) AS dataset_size,
+       'hold-out evaluation' AS notes FROM comp""", "scored"))
+
+oracle("prediction_outcomes", with_views(_EV + """
+SELECT email_id, label AS actual, coalesce(prediction, 0) AS predicted, coalesce(prediction, 0) = label AS correct,
+       substr(raw_text, 1, 60) || '...' AS preview FROM ev WHERE model_name = 'ensemble'""", "scored"))
