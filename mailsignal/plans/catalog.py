@@ -706,3 +706,132 @@ def prediction_outcomes(spark, sf_dir):
     from mailsignal.operators import evaluate as J
     ev = _eval(spark, sf_dir).filter(F.col("model_name") == "ensemble")
     return J.prediction_outcomes(ev, "email_id", "raw_text")
+
+
+# -- Spark ML (F6, F7, H1-H8, I1, A8, A9): rows-only checks ------------------------------------
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf_dir):
+    """Train once per session and input folder (the ML keys share one training run)."""
+    from mailsignal.operators import models as H
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = H.train(_corpus(spark, sf_dir))
+    return _TRAINED[key]
+
+
+@query
+def feature_assembly(spark, sf_dir):
+    t = trained(spark, sf_dir)
+    return t.test.select("email_id", "label", "features")
+
+
+@query
+def feature_counts(spark, sf_dir):
+    from mailsignal.operators import models as H
+    t = trained(spark, sf_dir)
+    names = H.feature_names(t.vocab)
+    return names.agg(F.count(F.when(F.col("idx") < t.n_features, 1)).alias("tfidf_features"),
+                     F.count(F.when(F.col("idx") >= t.n_features, 1)).alias("metadata_features"),
+                     F.count(F.lit(1)).alias("total_features"))
+
+
+@query
+def rf_fit_predict(spark, sf_dir):
+    from mailsignal.operators import models as H
+    s = H.score(trained(spark, sf_dir), trained(spark, sf_dir).test)
+    return s.select("email_id", "label", "rf_prediction", "rf_confidence", "rf_probability_phishing")
+
+
+@query
+def svm_fit_predict(spark, sf_dir):
+    from mailsignal.operators import models as H
+    s = H.score(trained(spark, sf_dir), trained(spark, sf_dir).test)
+    return s.select("email_id", "label", "svm_prediction")
+
+
+@query
+def svm_calibrated(spark, sf_dir):
+    from mailsignal.operators import models as H
+    s = H.score(trained(spark, sf_dir), trained(spark, sf_dir).test)
+    return s.select("email_id", "label", "svm_prediction", "svm_confidence", "svm_probability_phishing")
+
+
+@query
+def score_emails(spark, sf_dir):
+    """Trained models on the held-out mails -> per-model results, ensemble, rule analysis."""
+    from mailsignal.operators import models as H
+    t = trained(spark, sf_dir)
+    s = H.score(t, t.test)
+    rules = S.analyze(_corpus(spark, sf_dir), "raw_text").select("email_id", "risk_score", "suspicious_indicators")
+    return s.join(rules, "email_id", "inner")
+
+
+@query
+def training_job(spark, sf_dir):
+    """H8: the whole training job's evaluation table on the held-out split (J5 on real models)."""
+    from mailsignal.operators import evaluate as J
+    from mailsignal.operators import models as H
+    t = trained(spark, sf_dir)
+    s = H.score(t, t.test)
+
+    def m(name, pred, sc):
+        return F.struct(F.lit(name).alias("model_name"), F.col(pred).alias("prediction"), F.col(sc).alias("score"))
+    ev = s.select("email_id", "label", F.inline(F.array(
+        m("random_forest", "rf_prediction", "rf_probability_phishing"),
+        m("svm", "svm_prediction", "svm_probability_phishing"),
+        m("ensemble", "ensemble_prediction", "rf_probability_phishing"))))
+    return J.model_comparison(ev, "model_name")
+
+
+@query
+def grid_search(spark, sf_dir):
+    from mailsignal.operators import models as H
+    key = ("grid", spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = H.grid_search(trained(spark, sf_dir)).checkpoint(eager=True)
+    return _TRAINED[key]
+
+
+@query
+def cv_summary(spark, sf_dir):
+    """H6: mean and population std of the fold F1 scores of the best grid setting."""
+    g = grid_search(spark, sf_dir)
+    return g.orderBy(F.desc("mean_f1"), "num_trees", "max_depth").limit(1)
+
+
+@query
+def feature_importance(spark, sf_dir):
+    from mailsignal.operators import models as H
+    return H.feature_importance(trained(spark, sf_dir), 20)
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """Save both fitted pipelines under the shared checkpoint folder, load, score again."""
+    import uuid
+    from pyspark.ml import PipelineModel
+    from mailsignal.operators import models as H
+    from mailsignal.session import scratch_path
+    t = trained(spark, sf_dir)
+    base = scratch_path(spark, "models", uuid.uuid4().hex)
+    for name, m in (("forest", t.forest), ("svm", t.svm), ("platt", t.platt)):
+        m.write().overwrite().save(f"{base}/{name}")
+    loaded = H.Trained(t.vocab, t.n_features, PipelineModel.load(f"{base}/forest"), PipelineModel.load(f"{base}/svm"),
+                       PipelineModel.load(f"{base}/platt"), t.train, t.test)
+    a = H.score(t, t.test).select("email_id", F.col("ensemble_prediction").alias("before"))
+    b = H.score(loaded, t.test).select("email_id", F.col("ensemble_prediction").alias("after"))
+    return a.join(b, "email_id").withColumn("same", F.col("before") == F.col("after"))
+
+
+@query
+def feature_schema(spark, sf_dir):
+    """The ordered feature-name list written as Parquet and read back."""
+    import uuid
+    from mailsignal.operators import models as H
+    from mailsignal.session import scratch_path
+    path = scratch_path(spark, "feature_schema", uuid.uuid4().hex)
+    H.feature_names(trained(spark, sf_dir).vocab).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
