@@ -835,3 +835,29 @@ def feature_schema(spark, sf_dir):
     path = scratch_path(spark, "feature_schema", uuid.uuid4().hex)
     H.feature_names(trained(spark, sf_dir).vocab).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+# -- streaming (T1-T4): rows-only checks, compared with the batch result in tests ------------
+
+@query
+def stream_score(spark, sf_dir):
+    from mailsignal.streaming import jobs
+    return jobs.stream_score(spark, sf_dir)
+
+
+@query
+def stream_feedback(spark, sf_dir):
+    from mailsignal.streaming import jobs
+    return jobs.stream_feedback(spark, sf_dir)
+
+
+@query
+def stream_live_accuracy(spark, sf_dir):
+    from mailsignal.streaming import jobs
+    return jobs.stream_live_accuracy(spark, sf_dir)
+
+
+@query
+def stream_daily_trend(spark, sf_dir):
+    from mailsignal.streaming import jobs
+    return jobs.stream_daily_trend(spark, sf_dir)

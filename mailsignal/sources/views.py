@@ -70,7 +70,12 @@ def ts_lit(s: str) -> Column:
 
 def raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(email_id, raw_text, label, received_at): one mail per document, whole text."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return mails_from_documents(load(spark, sf_dir, "documents"))
+
+
+def mails_from_documents(documents: DataFrame) -> DataFrame:
+    """The mail view over a batch or streaming ``documents`` frame."""
+    d = documents.select("doc_id", "text")
     i = F.col("doc_id")
     nl = F.lit("\n")
     raw = F.concat(
@@ -103,7 +108,12 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy-tracker log (one row per scored request) from ``events``."""
-    e = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return tracker_from_events(load(spark, sf_dir, "events"))
+
+
+def tracker_from_events(events: DataFrame) -> DataFrame:
+    """The tracker view over a batch or streaming ``events`` frame."""
+    e = events.select("event_id", "ts", "user_id", "event_type")
     i = F.col("event_id")
     pred = F.when(F.col("event_type").isin("error", "click"), F.lit(1)).otherwise(F.lit(0))
     actual = (F.when(i % 3 == 0, F.lit(None).cast("int"))
@@ -124,7 +134,11 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User corrections: every sign-up event is a feedback request (some for unknown mails)."""
-    e = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return feedback_from_events(load(spark, sf_dir, "events"))
+
+
+def feedback_from_events(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", "ts", "user_id", "event_type")
     i = F.col("event_id")
     key = F.when(i % 13 == 0, F.concat(F.lit("unknown-"), F.col("user_id").cast("string"))) \
         .otherwise(F.col("user_id").cast("string"))
