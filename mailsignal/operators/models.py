@@ -27,6 +27,7 @@ from mailsignal import lexicon as L
 from mailsignal.functions import features as E
 from mailsignal.operators import split as G
 from mailsignal.operators import vectorize as V
+from mailsignal.session import ship_package
 
 
 @F.udf(VectorUDT())
@@ -36,6 +37,7 @@ def _sparse(size, idx, vals):
 
 def tfidf_vectors(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str, n_features: int) -> DataFrame:
     """(id, tfidf) sparse vectors; a mail with no vocabulary term gets an empty vector."""
+    ship_package(docs.sparkSession)
     w = V.tfidf(docs, vocab, id_col, text_col, digits=None)
     packed = (w.groupBy(id_col)
               .agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_e")))

@@ -861,3 +861,18 @@ def stream_live_accuracy(spark, sf_dir):
 def stream_daily_trend(spark, sf_dir):
     from mailsignal.streaming import jobs
     return jobs.stream_daily_trend(spark, sf_dir)
+
+
+# -- stemming (D5, D7): rows-only; checked against the Python stemmer in tests ------------------
+
+@query
+def porter_stem(spark, sf_dir):
+    from mailsignal.operators.stem import stem_tokens
+    m = _mails(spark, sf_dir).select("email_id", T.drop_stopwords(T.tokens(T.clean_text("raw_text"))).alias("toks"))
+    return stem_tokens(m, "toks", "email_id").select("email_id", F.array_join("lemmas", " ").alias("stems"))
+
+
+@query
+def preprocess_chain(spark, sf_dir):
+    from mailsignal.operators.stem import preprocess_chain as chain
+    return chain(_mails(spark, sf_dir), "raw_text", "email_id")
