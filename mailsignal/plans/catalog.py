@@ -876,3 +876,35 @@ def porter_stem(spark, sf_dir):
 def preprocess_chain(spark, sf_dir):
     from mailsignal.operators.stem import preprocess_chain as chain
     return chain(_mails(spark, sf_dir), "raw_text", "email_id")
+
+
+# -- files and encodings (A1, A2, A12, C3) ---------------------------------------------------
+
+@query
+def csv_corpus_roundtrip(spark, sf_dir):
+    """A1/A2: the labelled corpus written as CSV under the shared folder, read back with a schema,
+    then preprocessed (D8, B4)."""
+    import uuid
+    from mailsignal.session import scratch_path
+    from mailsignal.sources import files
+    path = scratch_path(spark, "corpus_csv", uuid.uuid4().hex)
+    files.write_corpus_csv(_corpus(spark, sf_dir).select("email_id", F.col("raw_text").alias("text"), "label"), path)
+    back = files.read_corpus_csv(spark, path)
+    processed = F.array_join(T.drop_stopwords(T.tokens(T.clean_text("text"))), " ")
+    out = back.select("email_id", "label", processed.alias("processed_text"), E.char_count("text").alias("email_length"),
+                      E.url_count_range("text").alias("url_count"))
+    return out.withColumn("word_count", F.size(T.tokens("processed_text")).cast("bigint")) \
+        .filter(F.length("processed_text") > 0)
+
+
+@query
+def json_result_encode(spark, sf_dir):
+    from mailsignal.sources import files
+    s = logs.scored_mails(spark, sf_dir)
+    return s.select("email_id", files.result_json(s).alias("result_json"))
+
+
+@query
+def email_multipart(spark, sf_dir):
+    from mailsignal.sources import files
+    return files.mime_bodies(_mails(spark, sf_dir)).select("email_id", F.md5("body").alias("body_md5"))
