@@ -28,7 +28,8 @@ def analyzer(text_col: str = "text") -> Column:
 def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, terms) with the documents hash-partitioned on id (the single text shuffle)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    toks = docs.select(id_col, analyzer(text_col).alias("_toks")).repartition(n, id_col)
+    spread = docs.select(id_col, text_col).repartition(n, id_col)
+    toks = spread.select(id_col, analyzer(text_col).alias("_toks"))
     return toks.select(id_col, T.with_bigrams("_toks").alias("terms"))
 
 
