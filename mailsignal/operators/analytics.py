@@ -26,6 +26,12 @@ def _ratio_pct(num: Column, den: Column, scale: int = 2) -> Column:
     return F.coalesce(F.round(F.try_divide(num.cast("double"), den.cast("double")) * 100.0, scale), F.lit(0.0))
 
 
+def round_avg(c, digits: int) -> Column:
+    """Rounded mean that does not depend on summation order: the double mean is first fixed to
+    9 decimals, then rounded half-up (a mean on a .5 boundary rounds the same on every engine)."""
+    return F.round(F.avg(c).cast("decimal(38,9)"), digits).cast("double")
+
+
 def _count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1))).cast("bigint")
 
@@ -56,7 +62,7 @@ def class_breakdown(tracker: DataFrame, as_of: str, hours: int = 24) -> DataFram
     recent = tracker.filter(F.col("timestamp") >= cutoff(as_of, hours=hours))
     return (recent.groupBy("prediction")
             .agg(F.count(F.lit(1)).cast("bigint").alias("count"),
-                 F.coalesce(F.round(F.avg("confidence"), 3), F.lit(0.0)).alias("avg_confidence"))
+                 F.coalesce(round_avg("confidence", 3), F.lit(0.0)).alias("avg_confidence"))
             .select(F.when(F.col("prediction") == 1, F.lit("Phishing")).otherwise(F.lit("Legitimate")).alias("label"),
                     "count", "avg_confidence"))
 
@@ -94,7 +100,7 @@ def accuracy_trend(tracker: DataFrame, as_of: str, days: int = 7) -> DataFrame:
                    F.lit(0.0)).alias("accuracy"),
         F.coalesce("total_predictions", F.lit(0)).cast("bigint").alias("total_predictions"),
         F.coalesce("correct_predictions", F.lit(0)).cast("bigint").alias("correct_predictions"),
-        F.coalesce(F.round("_avg_conf", 3), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.round(F.col("_avg_conf").cast("decimal(38,9)"), 3).cast("double"), F.lit(0.0)).alias("avg_confidence"),
     )
 
 
@@ -111,7 +117,7 @@ def prediction_statistics(preds: DataFrame, as_of: str, days: int = 30) -> DataF
         "total_predictions", "phishing_detected",
         (F.col("total_predictions") - F.col("phishing_detected")).alias("legitimate_emails"),
         _ratio_pct(F.col("phishing_detected"), F.col("total_predictions")).alias("phishing_rate"),
-        F.coalesce(F.round("_avg", 3), F.lit(0.0)).alias("average_confidence"),
+        F.coalesce(F.round(F.col("_avg").cast("decimal(38,9)"), 3).cast("double"), F.lit(0.0)).alias("average_confidence"),
         "high_risk_emails",
     )
 
@@ -122,7 +128,7 @@ def model_performance(preds: DataFrame, models=L.MODEL_NAMES) -> DataFrame:
             .groupBy("model_name")
             .agg(F.count(F.lit(1)).cast("bigint").alias("total_predictions"),
                  _count_if(F.col("prediction") == 1).alias("phishing_detected"),
-                 F.round(F.avg("confidence"), 3).alias("avg_confidence"))
+                 round_avg("confidence", 3).alias("avg_confidence"))
             .withColumn("phishing_rate", _ratio_pct(F.col("phishing_detected"), F.col("total_predictions"))))
 
 
@@ -132,8 +138,8 @@ def model_daily_summary(preds: DataFrame, as_of: str, days: int = 30) -> DataFra
     return (p.groupBy("model_name", F.to_date("timestamp").alias("prediction_date"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("total_predictions"),
                  _count_if(F.col("prediction") == 1).alias("phishing_detected"),
-                 F.round(F.avg("confidence"), 6).alias("avg_confidence"),
-                 F.round(F.avg("risk_score"), 6).alias("avg_risk_score"))
+                 round_avg("confidence", 6).alias("avg_confidence"),
+                 round_avg("risk_score", 6).alias("avg_risk_score"))
             .orderBy(F.desc("prediction_date"), "model_name"))
 
 
@@ -144,8 +150,8 @@ def daily_statistics(preds: DataFrame, as_of: str, days: int = 90) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("bigint").alias("total_emails"),
                  _count_if(F.col("prediction") == 1).alias("phishing_count"),
                  _count_if(F.col("prediction") == 0).alias("legitimate_count"),
-                 F.round(F.avg("confidence"), 3).alias("avg_confidence"),
-                 F.round(F.avg("risk_score"), 2).alias("avg_risk_score"))
+                 round_avg("confidence", 3).alias("avg_confidence"),
+                 round_avg("risk_score", 2).alias("avg_risk_score"))
             .orderBy(F.desc("date")))
 
 

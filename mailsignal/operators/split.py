@@ -57,7 +57,7 @@ def corpus_summary(df: DataFrame, text_col: str = "text", label_col: str = "labe
         F.count(F.lit(1)).cast("bigint").alias("total"),
         F.count(F.when(F.col(label_col) == 1, 1)).cast("bigint").alias("phishing"),
         F.count(F.when(F.col(label_col) == 0, 1)).cast("bigint").alias("legitimate"),
-        F.round(F.avg(E.char_count(t)), 6).alias("avg_length"),
-        F.round(F.avg(E.word_count(t)), 6).alias("avg_words"),
+        F.round(F.avg(E.char_count(t)).cast("decimal(38,9)"), 6).cast("double").alias("avg_length"),
+        F.round(F.avg(E.word_count(t)).cast("decimal(38,9)"), 6).cast("double").alias("avg_words"),
         F.count(F.when(E.url_count_http(t) > 0, 1)).cast("bigint").alias("with_urls"),
     ).withColumn("phishing_pct", F.round(F.col("phishing") / F.col("total") * 100.0, 2))

@@ -43,7 +43,7 @@ def risk_report(spark, sf_dir):
     return (m.withColumn("band", S.risk_band("risk_score"))
             .groupBy("band")
             .agg(F.count(F.lit(1)).cast("bigint").alias("mails"),
-                 F.round(F.avg("risk_score"), 6).alias("avg_risk"),
+                 K.round_avg("risk_score", 6).alias("avg_risk"),
                  F.count(F.when(F.col("url_count") > 0, 1)).cast("bigint").alias("mails_with_urls"),
                  F.max("risk_score").alias("max_risk")))
 

@@ -20,7 +20,7 @@ BAND = "CASE WHEN risk_score > 70 THEN 'danger' WHEN risk_score > 40 THEN 'warni
 
 # -- flagship ---------------------------------------------------------------------
 oracle("risk_report", with_views(f"""
-SELECT {BAND} AS band, count(*)::BIGINT AS mails, round(avg(risk_score), 6) AS avg_risk,
+SELECT {BAND} AS band, count(*)::BIGINT AS mails, round(CAST(avg(risk_score) AS DECIMAL(38,9)), 6)::DOUBLE AS avg_risk,
        count(CASE WHEN url_count > 0 THEN 1 END)::BIGINT AS mails_with_urls, max(risk_score)::BIGINT AS max_risk
 FROM scored GROUP BY 1""", "scored"))
 
@@ -128,7 +128,7 @@ FROM tracker WHERE {_recent(24)}""", "tracker"))
 
 oracle("class_breakdown", with_views(f"""
 SELECT CASE WHEN prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END AS label, count(*)::BIGINT AS count,
-       coalesce(round(avg(confidence), 3), 0.0) AS avg_confidence
+       coalesce(round(CAST(avg(confidence) AS DECIMAL(38,9)), 3)::DOUBLE, 0.0) AS avg_confidence
 FROM tracker WHERE {_recent(24 * 7)} GROUP BY prediction""", "tracker"))
 
 oracle("confidence_bins", with_views(f"""
@@ -148,7 +148,7 @@ oracle("accuracy_trend", with_views(f"""
 SELECT strftime(days.date, '%Y-%m-%d') AS date,
        coalesce(round(CAST(correct AS DOUBLE) / total * 100, 2), 0.0) AS accuracy,
        coalesce(total, 0)::BIGINT AS total_predictions, coalesce(correct, 0)::BIGINT AS correct_predictions,
-       coalesce(round(ac, 3), 0.0) AS avg_confidence
+       coalesce(round(CAST(ac AS DECIMAL(38,9)), 3)::DOUBLE, 0.0) AS avg_confidence
 FROM days LEFT JOIN agg ON days.date = agg.date""", "tracker"))
 
 # -- prediction-log analytics --------------------------------------------------------
@@ -164,14 +164,14 @@ SELECT count(*)::BIGINT AS total_predictions,
        (count(*) - count(CASE WHEN prediction = 1 THEN 1 END))::BIGINT AS legitimate_emails,
        coalesce(round(CAST(count(CASE WHEN prediction = 1 THEN 1 END) AS DOUBLE) / nullif(count(*), 0) * 100, 2),
                 0.0) AS phishing_rate,
-       coalesce(round(avg(confidence), 3), 0.0) AS average_confidence,
+       coalesce(round(CAST(avg(confidence) AS DECIMAL(38,9)), 3)::DOUBLE, 0.0) AS average_confidence,
        count(CASE WHEN risk_score > 70 THEN 1 END)::BIGINT AS high_risk_emails
 FROM predictions WHERE model_name = 'ensemble' AND {_since(30)}""", "predictions"))
 
 oracle("model_performance", with_views("""
 SELECT model_name, count(*)::BIGINT AS total_predictions,
        count(CASE WHEN prediction = 1 THEN 1 END)::BIGINT AS phishing_detected,
-       round(avg(confidence), 3) AS avg_confidence,
+       round(CAST(avg(confidence) AS DECIMAL(38,9)), 3)::DOUBLE AS avg_confidence,
        coalesce(round(CAST(count(CASE WHEN prediction = 1 THEN 1 END) AS DOUBLE) / count(*) * 100, 2), 0.0)
          AS phishing_rate
 FROM predictions WHERE model_name IN ('random_forest', 'svm', 'ensemble') GROUP BY model_name""", "predictions"))
@@ -179,14 +179,14 @@ FROM predictions WHERE model_name IN ('random_forest', 'svm', 'ensemble') GROUP
 oracle("model_daily_summary", with_views(f"""
 SELECT model_name, CAST(timestamp AS DATE) AS prediction_date, count(*)::BIGINT AS total_predictions,
        count(CASE WHEN prediction = 1 THEN 1 END)::BIGINT AS phishing_detected,
-       round(avg(confidence), 6) AS avg_confidence, round(avg(risk_score), 6) AS avg_risk_score
+       round(CAST(avg(confidence) AS DECIMAL(38,9)), 6)::DOUBLE AS avg_confidence, round(CAST(avg(risk_score) AS DECIMAL(38,9)), 6)::DOUBLE AS avg_risk_score
 FROM predictions WHERE {_since(30)} GROUP BY 1, 2 ORDER BY 2 DESC, 1""", "predictions"))
 
 oracle("daily_statistics", with_views(f"""
 SELECT CAST(timestamp AS DATE) AS date, count(*)::BIGINT AS total_emails,
        count(CASE WHEN prediction = 1 THEN 1 END)::BIGINT AS phishing_count,
        count(CASE WHEN prediction = 0 THEN 1 END)::BIGINT AS legitimate_count,
-       round(avg(confidence), 3) AS avg_confidence, round(avg(risk_score), 2) AS avg_risk_score
+       round(CAST(avg(confidence) AS DECIMAL(38,9)), 3)::DOUBLE AS avg_confidence, round(CAST(avg(risk_score) AS DECIMAL(38,9)), 2)::DOUBLE AS avg_risk_score
 FROM predictions WHERE model_name = 'ensemble' AND {_since(90)} GROUP BY 1 ORDER BY 1 DESC""", "predictions"))
 
 oracle("recent_phishing", with_views(f"""
@@ -566,8 +566,8 @@ FROM labels""")
 
 oracle("corpus_summary", with_views(f"""
 SELECT count(*)::BIGINT AS total, count(CASE WHEN label = 1 THEN 1 END)::BIGINT AS phishing,
-       count(CASE WHEN label = 0 THEN 1 END)::BIGINT AS legitimate, round(avg(length(raw_text)), 6) AS avg_length,
-       round(avg({wcount('raw_text')}), 6) AS avg_words,
+       count(CASE WHEN label = 0 THEN 1 END)::BIGINT AS legitimate, round(CAST(avg(length(raw_text)) AS DECIMAL(38,9)), 6)::DOUBLE AS avg_length,
+       round(CAST(avg({wcount('raw_text')}) AS DECIMAL(38,9)), 6)::DOUBLE AS avg_words,
        count(CASE WHEN {substr_count('raw_text', 'http')} > 0 THEN 1 END)::BIGINT AS with_urls,
        round(CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE) / count(*) * 100, 2) AS phishing_pct
 FROM raw_mails""", "raw_mails"))
@@ -651,3 +651,7 @@ SELECT model_name, unnest(['accuracy', 'precision', 'recall', 'f1_score', 'roc_a
 oracle("prediction_outcomes", with_views(_EV + """
 SELECT email_id, label AS actual, coalesce(prediction, 0) AS predicted, coalesce(prediction, 0) = label AS correct,
        substr(raw_text, 1, 60) || '...' AS preview FROM ev WHERE model_name = 'ensemble'""", "scored"))
+
+# -- files ----------------------------------------------------------------------------------
+oracle("email_multipart", with_views("SELECT email_id, md5(body) AS body_md5 FROM parsed", "emails"))
+oracle("csv_corpus_roundtrip", ORACLE["corpus_preprocess"])
