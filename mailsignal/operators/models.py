@@ -27,7 +27,7 @@ from mailsignal import lexicon as L
 from mailsignal.functions import features as E
 from mailsignal.operators import split as G
 from mailsignal.operators import vectorize as V
-from mailsignal.session import ship_package
+from mailsignal.session import ensure_checkpoint_dir, ship_package
 
 
 @F.udf(VectorUDT())
@@ -102,6 +102,7 @@ def _margin(df: DataFrame) -> DataFrame:
 def train(corpus: DataFrame, id_col: str = "email_id", text_col: str = "raw_text", label_col: str = "label",
           num_trees: int = 100, max_depth: int = 20) -> Trained:
     """H8: split -> fit TF-IDF on train -> features -> forest + SVM (+ Platt on a held-out fold)."""
+    ensure_checkpoint_dir(corpus.sparkSession)
     s = G.stratified_split(corpus, id_col, label_col)
     train_docs = s.filter(F.col("split") == "train").drop("split")
     test_docs = s.filter(F.col("split") == "test").drop("split")
