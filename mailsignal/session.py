@@ -61,9 +61,9 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``mailsignal`` importable in Python workers (Arrow UDFs) by adding it as a zip to the
-    context, once per SparkContext. A job submitted with ``--py-files`` already has it."""
-    import os
+    """Make ``mailsignal`` importable in Python workers (Arrow UDFs): its zip goes to the shared checkpoint
+    folder and is added to the context, once per SparkContext."""
+    import io
     import uuid
     import zipfile
 
@@ -71,17 +71,19 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_mailsignal_shipped", False):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    local = os.path.join(tempfile.mkdtemp(prefix="mailsignal-pkg-"), "mailsignal.zip")
-    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     target = scratch_path(spark, "pyfiles", uuid.uuid4().hex, "mailsignal.zip")
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    dst = jvm.org.apache.hadoop.fs.Path(target)
-    dst.getFileSystem(conf).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(local), dst)
+    dst = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = dst.getFileSystem(spark._jsc.hadoopConfiguration()).create(dst)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(target)
     sc._mailsignal_shipped = True
