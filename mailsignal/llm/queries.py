@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from mailsignal.llm import quality_rules, substring_dedup
+import public_tokenizers
+
+from mailsignal.llm import bpe_codec, minhash, quality_rules, substring_dedup, token_counts
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _bpe():
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES = {
     "op3_substring_dedup": lambda spark, d: substring_dedup.op3_substring_dedup(_docs(spark, d)),
+    "op4_minhash_near_dedup": lambda spark, d: minhash.op4_minhash_near_dedup(_docs(spark, d)),
+    "op5_token_counts": lambda spark, d: token_counts.op5_token_counts(_docs(spark, d), _bpe()),
+    "op6_bpe_codec": lambda spark, d: bpe_codec.op6_bpe_codec(_docs(spark, d), _bpe()),
     "op10_quality_rules": lambda spark, d: quality_rules.op10_quality_rules(_docs(spark, d)),
 }
 
@@ -30,6 +39,19 @@ cut AS (SELECT rid, unnest(cuts) AS i FROM gone),
 kept AS (SELECT e.rid, string_agg(word, ' ' ORDER BY e.i) AS t FROM e ANTI JOIN cut ON e.rid = cut.rid AND e.i = cut.i GROUP BY e.rid)
 SELECT k.doc_id, len(w)::BIGINT AS n_words, len(cuts)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM k LEFT JOIN kept USING (rid)""",
+    "op4_minhash_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, hash(gram) AS gram FROM (SELECT rid, array_to_string(w[i:i + 4], ' ') AS gram
+      FROM (SELECT rid, w, unnest(generate_series(1, greatest(1, len(w)::BIGINT - 4))) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+x AS (SELECT a.rid AS p, b.rid AS q, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.rid < b.rid GROUP BY p, q),
+e AS (SELECT p, q FROM x JOIN n a ON a.rid = p JOIN n b ON b.rid = q WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both AS (SELECT p, q FROM e UNION SELECT q, p FROM e),
+r AS (SELECT rid AS p, rid AS q FROM d UNION SELECT r.p, both.q FROM r JOIN both ON r.q = both.p),
+c AS (SELECT p AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.q GROUP BY p)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)""",
     "op10_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 g AS (SELECT rid, k, unnest(generate_series(1, len(w)::BIGINT - k + 1)) AS s, w FROM d, (VALUES (3), (12)) AS t(k)),
