@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from mailsignal.llm import bpe_codec, minhash, quality_rules, substring_dedup, token_counts
+from mailsignal.llm import bpe_codec, minhash, mixing, quality_rules, substring_dedup, token_counts
 
 
 def _docs(spark, sf_dir):
@@ -20,6 +20,7 @@ QUERIES = {
     "op4_minhash_near_dedup": lambda spark, d: minhash.op4_minhash_near_dedup(_docs(spark, d)),
     "op5_token_counts": lambda spark, d: token_counts.op5_token_counts(_docs(spark, d), _bpe()),
     "op6_bpe_codec": lambda spark, d: bpe_codec.op6_bpe_codec(_docs(spark, d), _bpe()),
+    "op9_mixing": lambda spark, d: mixing.op9_mixing(_docs(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.op10_quality_rules(_docs(spark, d)),
 }
 
