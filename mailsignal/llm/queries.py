@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from mailsignal.llm import bpe_codec, minhash, mixing, quality_rules, substring_dedup, token_counts
+from mailsignal.llm import bpe_codec, chat_format, language_id, minhash, mixing, quality_classifier, quality_rules, substring_dedup, token_counts, topk
 
 
 def _docs(spark, sf_dir):
@@ -16,10 +16,14 @@ def _bpe():
 
 
 QUERIES = {
+    "op1_top_k": lambda spark, d: topk.op1_top_k(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op3_substring_dedup": lambda spark, d: substring_dedup.op3_substring_dedup(_docs(spark, d)),
+    "op2_language_id": lambda spark, d: language_id.op2_language_id(_docs(spark, d)),
     "op4_minhash_near_dedup": lambda spark, d: minhash.op4_minhash_near_dedup(_docs(spark, d)),
     "op5_token_counts": lambda spark, d: token_counts.op5_token_counts(_docs(spark, d), _bpe()),
     "op6_bpe_codec": lambda spark, d: bpe_codec.op6_bpe_codec(_docs(spark, d), _bpe()),
+    "op7_chat_format": lambda spark, d: chat_format.op7_chat_format(spark.read.parquet(f"{d}/conversations.parquet")),
+    "op8_quality_classifier": lambda spark, d: quality_classifier.op8_quality_classifier(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op9_mixing": lambda spark, d: mixing.op9_mixing(_docs(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.op10_quality_rules(_docs(spark, d)),
 }
@@ -27,6 +31,13 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op1_top_k": """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_substring_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT rid, doc_id, unnest(generate_series(1, len(w)::BIGINT - 12)) AS s, w FROM d),
@@ -48,11 +59,23 @@ s AS (SELECT DISTINCT rid, hash(gram) AS gram FROM (SELECT rid, array_to_string(
 n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
 x AS (SELECT a.rid AS p, b.rid AS q, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.rid < b.rid GROUP BY p, q),
 e AS (SELECT p, q FROM x JOIN n a ON a.rid = p JOIN n b ON b.rid = q WHERE 100 * c >= 75 * (a.n + b.n - c)),
-both AS (SELECT p, q FROM e UNION SELECT q, p FROM e),
-r AS (SELECT rid AS p, rid AS q FROM d UNION SELECT r.p, both.q FROM r JOIN both ON r.q = both.p),
+sym AS (SELECT p, q FROM e UNION SELECT q, p FROM e),
+r AS (SELECT rid AS p, rid AS q FROM d UNION SELECT r.p, sym.q FROM r JOIN sym ON r.q = sym.p),
 c AS (SELECT p AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.q GROUP BY p)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)""",
+    "op7_chat_format": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(i, r)),
+n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS turns,
+             15 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) AS chars
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS so_far FROM n)
+SELECT conv_id, any_value(turns)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(so_far) FILTER (role = 'assistant' OR i = turns)::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id""",
     "op10_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 g AS (SELECT rid, k, unnest(generate_series(1, len(w)::BIGINT - k + 1)) AS s, w FROM d, (VALUES (3), (12)) AS t(k)),
