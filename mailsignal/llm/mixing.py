@@ -58,8 +58,9 @@ def multipliers(histogram: DataFrame, wanted: DataFrame, most: float = MOST) ->
 
     ``free`` sources have a target strictly between 0 and ``most`` times their words; the others need no
     multiplier (every rate is 0 or ``most``)."""
-    mean = histogram.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    state = (wanted.join(mean, wanted["source"].eqNullSafe(mean["source"]), "left").drop(mean["source"])
+    mean = (histogram.where("size > 0").groupBy(F.col("source").alias("s"))
+            .agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean")))
+    state = (wanted.join(mean, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
              .withColumn("free", (F.col("target") > 0) & (F.col("target") < most * F.col("total") * (1 - 1e-12)))
              .withColumns({"multiplier": F.lit(0.0), "low": F.lit(float("-inf")), "high": F.lit(float("inf"))}))
     state = stored(state, "multipliers")
