@@ -14,6 +14,13 @@ from mailsignal import lexicon as L
 from mailsignal.functions.text import URL_NONSPACE, whitespace_tokens
 
 
+# The URL finders of the lexicon as one character class with possessive repeats. Java matches a repeated group
+# by recursion, and one long URL would end in a stack overflow; these match the same strings without.
+# The range $-_ holds the digits, '%', ':' and '/'.
+URL_RANGE = r"http[s]?://[a-zA-Z$-_@.&+!*\\(\\),]++"
+URL_ESCAPED = r"http[s]?://(?:[a-zA-Z0-9$\-_@.&+!*\\(\\),]++|%[0-9a-fA-F][0-9a-fA-F])++"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -45,11 +52,11 @@ def regex_count(c, pattern: str) -> Column:
 
 
 def url_count_range(c) -> Column:
-    return regex_count(c, L.URL_PATTERN_RANGE)
+    return regex_count(c, URL_RANGE)
 
 
 def url_count_escaped(c) -> Column:
-    return regex_count(c, L.URL_PATTERN_ESCAPED)
+    return regex_count(c, URL_ESCAPED)
 
 
 def url_count_http(c) -> Column:
@@ -62,7 +69,7 @@ def url_count_nonspace(c) -> Column:
 
 
 def url_list(c) -> Column:
-    return F.regexp_extract_all(_txt(c), F.lit("(" + L.URL_PATTERN_RANGE + ")"), 1)
+    return F.regexp_extract_all(_txt(c), F.lit(URL_RANGE), 0)
 
 
 def caps_runs(c) -> Column:

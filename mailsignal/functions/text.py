@@ -17,7 +17,9 @@ from mailsignal import lexicon as L
 WS = r"[ \t\n\x0B\f\r]"
 NWS = r"[^ \t\n\x0B\f\r]"
 URL_NONSPACE = r"http[s]?://" + NWS + "+"
-EMAIL_TOKEN = NWS + "+@" + NWS + "+"
+# A blank-delimited token with an inner '@'. It can only start at the token's start and never backs up,
+# so a token of any length is read once (the plain NWS+@NWS+ retries from each of its characters).
+EMAIL_TOKEN = "(?<!" + NWS + ")" + NWS + r"[^@ \t\n\x0B\f\r]*+@" + NWS + "++"
 
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_SCRIPT_STYLE = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)[ \t\n\f\r]*>"
@@ -70,10 +72,6 @@ def whitespace_tokens(c) -> Column:
     return F.filter(F.split(F.coalesce(_c(c), F.lit("")), WS + "+"), lambda x: x != "")
 
 
-def stop_array() -> Column:
-    return F.array(*[F.lit(w) for w in L.STOP_WORDS])
-
-
 def drop_stopwords(c, min_len: int = 3) -> Column:
     """Drop stop words and tokens shorter than ``min_len`` (default: length > 2)."""
     # ``isin`` over a literal list becomes a hash-set lookup (InSet) instead of a list scan.
@@ -98,9 +96,9 @@ def with_bigrams(c) -> Column:
 
 
 def _fold_table() -> tuple[str, str]:
-    """Latin letters U+00C0..U+024F whose NFKD form is one ASCII letter plus marks."""
+    """Letters outside ASCII whose NFKD form is one ASCII letter plus marks (Latin blocks and its extensions)."""
     src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    for cp in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
         ch = chr(cp)
         d = unicodedata.normalize("NFKD", ch)
         if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:]):
@@ -110,8 +108,9 @@ def _fold_table() -> tuple[str, str]:
 
 
 ACCENTED, UNACCENTED = _fold_table()
+COMBINING = r"\p{Mn}+"
 
 
 def accent_fold(c) -> Column:
     """Strip diacritics from Latin letters (NFKD minus combining marks)."""
-    return F.translate(_c(c), ACCENTED, UNACCENTED)
+    return F.regexp_replace(F.translate(_c(c), ACCENTED, UNACCENTED), COMBINING, "")

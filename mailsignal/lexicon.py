@@ -17,12 +17,12 @@ ALLOWED_EXTENSIONS = ("txt", "eml", "msg")
 MAX_FEATURES = 3000
 MIN_DF = 2
 MAX_DF = 0.95
-NGRAM_MAX = 2
 SUBLINEAR_TF = True
 TEST_SIZE = 0.2
 SEED = 42
 HIGH_RISK = 70
 WARN_RISK = 40
+REJECT_EMPTY, REJECT_LONG, REJECT_LARGE = "empty", "too_long", "too_large"
 MODEL_NAMES = ("random_forest", "svm", "ensemble")
 
 # ---------------------------------------------------------------------------
@@ -58,15 +58,11 @@ URGENCY_10 = [
 URL_PATTERN_RANGE = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 # URL finder with the escaped class (stops at the first '/' after the host)
 URL_PATTERN_ESCAPED = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$\-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
-# URL finder of the risk analysis and of the text cleaner
-URL_PATTERN_NONSPACE = r"http[s]?://\S+"
-EMAIL_TOKEN_PATTERN = r"\S+@\S+"
 IP_PATTERN_LOOSE = r"\d+\.\d+\.\d+\.\d+"
 IP_PATTERN_BOUNDED = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 SHORTENERS_4 = ["bit.ly", "tinyurl.com", "goo.gl", "t.co"]
 SHORTENERS_5 = ["bit.ly", "tinyurl.com", "goo.gl", "t.co", "ow.ly"]
 SENDER_PATTERNS = [r"noreply@", r"donotreply@", r"[0-9]+@", r"@[0-9]+\.", r"[a-z]+[0-9]+@"]
-CONFIG_URL_PATTERNS = [r"bit\.ly", r"tinyurl\.com", r"goo\.gl", r"t\.co", r"\d+\.\d+\.\d+\.\d+", r"[a-z]+\d+[a-z]+\.com"]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: dimension seeds (keyword, category, weight) etc.
@@ -104,13 +100,6 @@ URL_PATTERN_SEED = [
     (r"secure.*bank.*\.tk", "suspicious", 8.0),
     (r"paypal.*verify.*\.tk", "suspicious", 9.0),
 ]
-CONFIG_SEED = [
-    ("model_version", "1.0.0", "Current model version"),
-    ("last_training_date", "2024-01-01", "Last model training date"),
-    ("prediction_threshold", "0.5", "Threshold for phishing classification"),
-    ("max_email_length", "10000", "Maximum email length for processing"),
-    ("cleanup_interval_days", "90", "Days to keep old records"),
-]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: English stop words (Spark's StopWordsRemover default list)

@@ -2,8 +2,7 @@
 
 Each report is one scan with conditional aggregates (partial aggregation on the
 map side), never one statement per number. Look-back windows are explicit
-``as_of`` parameters so results are reproducible and the ``>=`` bound is pushed
-into the Parquet scan.
+``as_of`` parameters so results are reproducible; the ``>=`` bound reaches the scan where the log is a stored table.
 """
 
 from __future__ import annotations
@@ -170,8 +169,11 @@ def recent_predictions(emails: DataFrame, preds: DataFrame, limit: int = 50) ->
     """L1: newest ``limit`` ensemble rows with their mail (top-k, ties broken by id)."""
     p = preds.filter(F.col("model_name") == "ensemble").select(
         F.col("id").alias("pid"), "email_id", "prediction_label", "confidence", "risk_score", "timestamp")
+    # ids first: the newest rows whose mail exists, then only those (at most ``limit``) meet the parsed mails
+    top = (p.join(emails.select(F.col("id").alias("email_id")), "email_id", "left_semi")
+           .orderBy(F.desc("timestamp"), F.desc("pid")).limit(limit))
     e = emails.select("id", "sender_email", "subject")
-    j = p.join(e, p["email_id"] == e["id"], "inner")
+    j = e.join(F.broadcast(top), F.col("email_id") == F.col("id"), "inner")
     subj = F.coalesce(F.col("subject"), F.lit(""))
     return (j.orderBy(F.desc("timestamp"), F.desc("pid")).limit(limit)
             .select(F.col("pid").alias("id"),

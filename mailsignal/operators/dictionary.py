@@ -1,22 +1,17 @@
 """Keyword and URL-pattern dimensions: match, upsert, de-duplicate.
 
-Matching is a theta join (substring / regex) of a large fact side with a small
-dictionary. The dictionary is broadcast only after its size is checked; a
-larger dictionary is cut into broadcast-sized pieces that are matched one after
-another and unioned, so memory per task stays bounded and no rows are lost.
+Matching is a substring or regex test of every text against a small dictionary. The dictionary's entries
+become literals of one array expression, ``inline`` makes rows of those found: no join, no shuffle, and each
+regex is compiled once.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsignal import lexicon as L
 
-BROADCAST_ROWS = 50_000
-
 
 def keyword_dimension(spark: SparkSession) -> DataFrame:
     rows = [(k, c, float(w), True) for k, c, w in L.KEYWORD_SEED]
@@ -28,30 +23,28 @@ def url_pattern_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pattern string, pattern_type string, weight double, is_active boolean")
 
 
-def config_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(L.CONFIG_SEED), "config_key string, config_value string, description string")
+def keyword_entries() -> list[tuple]:
+    """(keyword, category, weight, is_active) of the seeded dimension."""
+    return [(k, c, float(w), True) for k, c, w in L.KEYWORD_SEED]
+
+
+def url_pattern_entries() -> list[tuple]:
+    """(pattern, pattern_type, weight, is_active) of the seeded dimension."""
+    return [(p, t, float(w), True) for p, t, w in L.URL_PATTERN_SEED]
 
 
-def _bounded_theta_join(facts: DataFrame, dim: DataFrame, cond, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    n = dim.count()
-    pieces = max(1, math.ceil(n / limit))
-    if pieces == 1:
-        return facts.join(F.broadcast(dim), cond(facts, dim), "inner")
-    tagged = dim.withColumn("_piece", F.pmod(F.xxhash64(F.col(key)), F.lit(pieces)))
-    out = None
-    for i in range(pieces):
-        part = F.broadcast(tagged.filter(F.col("_piece") == i).drop("_piece"))
-        j = facts.join(part, cond(facts, part), "inner")
-        out = j if out is None else out.unionByName(j)
-    return out
+def _found(entries: list[tuple], names: tuple[str, str], hit) -> Column:
+    """Array of the active entries (a null flag counts as active) for which ``hit`` holds."""
+    row = lambda e: F.struct(F.lit(e[0]).alias(names[0]), F.lit(e[1]).alias(names[1]), F.lit(float(e[2])).alias("weight"))
+    cases = [F.when(hit(e[0]), row(e)) for e in entries if e[3] is None or e[3]]
+    empty = F.array().cast(f"array<struct<{names[0]}:string,{names[1]}:string,weight:double>>")
+    return F.array_compact(F.array(*cases)) if cases else empty
 
 
-def keyword_hits(mails: DataFrame, keywords: DataFrame, text_col: str = "text", id_col: str = "email_id") -> DataFrame:
+def keyword_hits(mails: DataFrame, entries: list[tuple], text_col: str = "text", id_col: str = "email_id") -> DataFrame:
     """L4: one row per (mail, active keyword found as a substring of the lower-cased text)."""
-    active = keywords.filter(F.coalesce(F.col("is_active"), F.lit(True))).select("keyword", "category", "weight")
-    facts = mails.select(F.col(id_col).alias("email_id"), F.lower(F.col(text_col)).alias("_low"))
-    j = _bounded_theta_join(facts, active, lambda f, d: F.col("_low").contains(d["keyword"]), "keyword")
-    return j.select("email_id", "keyword", "category", "weight")
+    low = mails.select(F.col(id_col).alias("email_id"), F.lower(F.col(text_col)).alias("_low"))
+    return low.select("email_id", F.inline(_found(entries, ("keyword", "category"), lambda k: F.col("_low").contains(k))))
 
 
 def keyword_category_score(hits: DataFrame) -> DataFrame:
@@ -61,10 +54,9 @@ def keyword_category_score(hits: DataFrame) -> DataFrame:
                  F.round(F.sum("weight"), 6).alias("weighted_score")))
 
 
-def url_pattern_hits(urls: DataFrame, patterns: DataFrame, url_col: str = "url") -> DataFrame:
+def url_pattern_hits(urls: DataFrame, entries: list[tuple], url_col: str = "url") -> DataFrame:
     """One row per (URL, active pattern whose regex finds a match in it)."""
-    active = patterns.filter(F.coalesce(F.col("is_active"), F.lit(True))).select("pattern", "pattern_type", "weight")
-    return _bounded_theta_join(urls, active, lambda f, d: F.expr(f"`{url_col}` rlike pattern"), "pattern")
+    return urls.select("*", F.inline(_found(entries, ("pattern", "pattern_type"), lambda p: F.col(url_col).rlike(p))))
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str, update_cols: list[str], as_of: str | None = None) -> DataFrame:

@@ -10,8 +10,8 @@ from mailsignal.functions import text as T
 
 # A header line is "name: value" with a printable name and no blank; folded
 # continuation lines start with a blank or tab. The block ends at the first
-# line that is not a header (a blank line is consumed with it).
-HEADER_BLOCK = r"^((?:[!-9;-~]+:[^\n]*(?:\n[ \t][^\n]*)*(?:\n|$))*)"
+# line that is not a header (a blank line is consumed with it). Possessive repeats: no recursion, no retries.
+HEADER_BLOCK = r"^((?:[!-9;-~]++:[^\n]*+(?:\n[ \t][^\n]*+)*+(?:\n|$))*+)"
 STRIP_WS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
 
@@ -22,8 +22,9 @@ def strip_ws(c) -> Column:
 
 
 def header_value(block: Column, name: str) -> Column:
-    """First header ``name`` (case-insensitive) in the block, '' if absent."""
-    return F.regexp_extract(block, r"(?im)^" + name + r":[ \t]*([^\n]*)", 1)
+    """First header ``name`` (case-insensitive) in the block, '' if absent; folded lines are joined by a blank."""
+    value = F.regexp_extract(block, r"(?im)^" + name + r":[ \t]*+([^\n]*+(?:\n[ \t][^\n]*+)*+)", 1)
+    return F.regexp_replace(value, r"\n[ \t]+", " ")
 
 
 def split_headers(df: DataFrame, text_col: str = "raw_text") -> DataFrame:

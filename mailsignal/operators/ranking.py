@@ -41,7 +41,8 @@ def rank_within(df: DataFrame, group_col: str | None, order_cols: list[str], ran
     stats = r.groupBy("_pid", g).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
     w = Window.partitionBy(g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    ranks = (r.join(stats.select("_pid", g, "_off", "_first"), ["_pid", g], "inner")
+    s = stats.select(F.col("_pid").alias("_spid"), F.col(g).alias("_sg"), "_off", "_first")
+    ranks = (r.join(s, (F.col("_pid") == F.col("_spid")) & F.col(g).eqNullSafe(F.col("_sg")), "inner")
              .select(id_col, (F.col("_off") + F.col("_local") - F.col("_first")).cast("bigint").alias(rank_col)))
     out = src.join(ranks, id_col, "inner")
     return out if group_col else out.drop("_g")
@@ -64,5 +65,6 @@ def running_sum(df: DataFrame, group_col: str, order_cols: list[str], value_col:
     stats = r.groupBy("_pid", group_col).agg(F.sum(value_col).alias("_tot"))
     w = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0)))
-    out = r.join(stats.select("_pid", group_col, "_off"), ["_pid", group_col], "inner")
-    return out.withColumn(out_col, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
+    s = stats.select(F.col("_pid").alias("_spid"), F.col(group_col).alias("_sg"), "_off")
+    out = r.join(s, (F.col("_pid") == F.col("_spid")) & F.col(group_col).eqNullSafe(F.col("_sg")), "inner")
+    return out.withColumn(out_col, F.col("_off") + F.col("_local")).drop("_pid", "_spid", "_sg", "_local", "_off")

@@ -78,8 +78,8 @@ def retention(emails: DataFrame, preds: DataFrame, activity: DataFrame, as_of: s
     kept_activity = activity.filter(F.col("timestamp") >= cut)
     kept_preds = preds.filter(F.col("timestamp") >= cut)
     referenced = kept_preds.filter(F.col("email_id").isNotNull()).select(F.col("email_id").alias("id")).distinct()
-    doomed = emails.filter(F.col("timestamp") < cut).join(referenced, "id", "left_anti").select("id")
-    kept_emails = emails.join(doomed, "id", "left_anti")
+    marked = emails.join(referenced.withColumn("_used", F.lit(True)), "id", "left")
+    kept_emails = marked.filter((F.col("timestamp") >= cut) | F.col("_used")).drop("_used")
     return kept_emails, kept_preds, kept_activity
 
 

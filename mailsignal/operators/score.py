@@ -21,10 +21,15 @@ def _c(x) -> Column:
 
 
 def reject_reason(text_col: str = "text", max_len: int = L.MAX_EMAIL_LENGTH) -> Column:
-    """Why a request is refused (B1-B3): empty after trim (or missing), too long; null if fine."""
+    """Why the request form refuses a mail (B1-B3): empty after trim (or missing), too long; null if fine.
+    The limit belongs to the form alone: batch and stream scoring take every mail that is not blank."""
     t = strip_ws(text_col)
-    return (F.when(F.length(t) == 0, F.lit("Please provide email content"))
-             .when(F.length(t) > max_len, F.lit(f"Email too long. Max length: {max_len} characters")))
+    return F.when(F.length(t) == 0, F.lit(L.REJECT_EMPTY)).when(F.length(t) > max_len, F.lit(L.REJECT_LONG))
+
+
+def not_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The mails that are scored: all but blank ones, trimmed."""
+    return df.withColumn(text_col, strip_ws(text_col)).filter(F.length(text_col) > 0)
 
 
 def admissible(df: DataFrame, text_col: str = "text", max_len: int = L.MAX_EMAIL_LENGTH) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sampling, splitting and corpus construction."""
+"""Sampling, splitting and corpus construction (G1-G7). A null label is a class of its own."""
 
 from __future__ import annotations
 
@@ -20,8 +20,8 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str = "label", test_
     seeded-hash order go to 'test', the rest to 'train'."""
     h = df.withColumn("_h", seeded_hash(seed, id_col))
     r = rank_within(h, label_col, ["_h", id_col], "_rank")
-    counts = F.broadcast(class_counts(df, label_col))   # one row per class
-    out = r.join(counts, label_col, "inner")
+    counts = F.broadcast(class_counts(df, label_col).withColumnRenamed(label_col, "_c"))   # one row per class
+    out = r.join(counts, F.col(label_col).eqNullSafe(F.col("_c")), "inner").drop("_c")
     is_test = F.col("_rank") < F.round(F.col("n_class") * test_size)
     return out.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_rank", "n_class")
 
@@ -46,7 +46,8 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     stats = (class_counts(df, label_col)
              .withColumn("class_weight", F.sum("n_class").over(everything).cast("double")
                          / (F.count(F.lit(1)).over(everything) * F.col("n_class"))))
-    return df.join(F.broadcast(stats.select(label_col, "class_weight")), label_col, "inner")
+    weights = F.broadcast(stats.select(F.col(label_col).alias("_c"), "class_weight"))
+    return df.join(weights, F.col(label_col).eqNullSafe(F.col("_c")), "inner").drop("_c")
 
 
 def corpus_summary(df: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:

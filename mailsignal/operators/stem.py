@@ -1,8 +1,7 @@
 """Porter stemming of token arrays (D5) and the full preprocessing chain.
 
-The stemmer is Python, so it runs once per *distinct* token (an Arrow-batched
-pandas UDF over the de-duplicated vocabulary), and the (token, stem) table is
-joined back to the token stream; frequent tokens cost one call in total.
+The stemmer is Python: a pandas UDF takes the token arrays of an Arrow batch and stems each distinct token of the
+batch once. Tokens never leave their row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,24 +12,20 @@ from pyspark.sql import functions as F
 
 from mailsignal.functions import text as T
 from mailsignal.session import ship_package
-from mailsignal.operators.textjobs import distinct_tokens, lemmatize
+from mailsignal.operators.textjobs import lemmatize
 
 
-@F.pandas_udf("string")
-def porter_stem(tokens: pd.Series) -> pd.Series:
+@F.pandas_udf("array<string>")
+def porter_stems(tokens: pd.Series) -> pd.Series:
     from mailsignal.functions.porter import stem
-    return tokens.map(stem)
-
-
-def stem_table(df: DataFrame, toks_col: str) -> DataFrame:
-    """(token, lemma=stem) for every distinct token of the column."""
-    ship_package(df.sparkSession)
-    return distinct_tokens(df, toks_col).select("token", porter_stem("token").alias("lemma"))
+    known = {t: stem(t) for t in {t for row in tokens if row is not None for t in row}}
+    return tokens.map(lambda row: None if row is None else [known[t] for t in row])
 
 
 def stem_tokens(df: DataFrame, toks_col: str, id_col: str) -> DataFrame:
     """(id, lemmas): each token replaced by its Porter stem, order kept."""
-    return lemmatize(df, toks_col, stem_table(df, toks_col), id_col)
+    ship_package(df.sparkSession)
+    return df.select(id_col, porter_stems(toks_col).alias("lemmas"))
 
 
 def preprocess_chain(df: DataFrame, text_col: str, id_col: str, use_stemming: bool = True,

@@ -1,12 +1,9 @@
 """TF-IDF as relational jobs (F1-F5, F8, F9) and the sparse vector form for Spark ML.
 
-Plan shape (one text shuffle): documents are hash-partitioned on their id once,
-then exploded to terms. Per-document term counts (groupBy id, term), the L2 norm
-(window over id) and the join with the vocabulary all reuse that partitioning.
-Only the document-frequency aggregate shuffles on the term, after partial
-aggregation, so a term that occurs in every document costs one row per task.
-The fitted vocabulary holds at most ``max_features`` rows: that bound is what
-makes broadcasting it safe.
+Plan shape: texts never move. Vocabulary statistics aggregate (term) and distinct (document, term) rows with
+partial sums, so a term that occurs in every document costs one row per task. Weights join the exploded terms with the
+fitted vocabulary first, which drops most of them before they are counted per document. The vocabulary holds at most
+``max_features`` rows: that bound is what makes broadcasting it safe.
 """
 
 from __future__ import annotations
@@ -26,28 +23,21 @@ def analyzer(text_col: str = "text") -> Column:
 
 
 def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, terms) with the documents hash-partitioned on id (the single text shuffle)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = docs.select(id_col, text_col).repartition(n, id_col)
-    toks = spread.select(id_col, analyzer(text_col).alias("_toks"))
+    """(id, terms): unigrams and bigrams of each document, where it lies."""
+    toks = docs.select(id_col, analyzer(text_col).alias("_toks"))
     return toks.select(id_col, T.with_bigrams("_toks").alias("terms"))
 
 
-def term_counts(terms: DataFrame, id_col: str) -> DataFrame:
-    """(id, term, tf): per-document term counts (no shuffle after ``doc_terms``)."""
-    return (terms.select(id_col, F.explode("terms").alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf")))
-
-
 def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str, max_features: int = L.MAX_FEATURES,
                    min_df: int = L.MIN_DF, max_df: float = L.MAX_DF) -> DataFrame:
     """terms with min_df <= df <= max_df * n_docs, then the ``max_features`` most frequent
     (total count desc, term asc); index = position in term order. Columns: term, idx, df, total, n_docs."""
-    terms = doc_terms(docs, id_col, text_col)
-    tc = term_counts(terms, id_col)
     n_docs = docs.select(id_col).count()
-    stats = tc.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("df"),
-                                   F.sum("tf").cast("bigint").alias("total"))
+    # one scan: an occurrence row per term and a document row per distinct term of a text, summed per term
+    terms = doc_terms(docs, id_col, text_col)
+    row = lambda occurrence, document: lambda t: F.struct(t.alias("term"), F.lit(occurrence).alias("o"), F.lit(document).alias("d"))
+    rows = terms.select(F.inline(F.concat(F.transform("terms", row(1, 0)), F.transform(F.array_distinct("terms"), row(0, 1)))))
+    stats = rows.groupBy("term").agg(F.sum("d").cast("bigint").alias("df"), F.sum("o").cast("bigint").alias("total"))
     band = stats.filter((F.col("df") >= min_df) & (F.col("df") <= math.floor(max_df * n_docs)))
     top = band.orderBy(F.desc("total"), "term").limit(max_features)   # top-k: bounded by max_features
     return (top.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("bigint"))
@@ -60,30 +50,34 @@ def idf_column(df_col: str = "df", n_col: str = "n_docs") -> Column:
 
 
 def tfidf(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str, sublinear: bool = L.SUBLINEAR_TF,
-          digits: int | None = 9) -> DataFrame:
+          digits: int | None = 9, carry: tuple = ()) -> DataFrame:
     """(id, term, idx, weight) for vocabulary terms only (unseen terms dropped),
-    weight = tf' * idf, L2-normalised per document; tf' = 1 + ln(tf) when sublinear."""
+    weight = tf' * idf, L2-normalised per document; tf' = 1 + ln(tf) when sublinear. Columns named in
+    ``carry`` (functions of the id, such as its label) ride along."""
     v = F.broadcast(vocab.select("term", "idx", idf_column().alias("idf")))   # <= max_features rows
-    tc = term_counts(doc_terms(docs, id_col, text_col), id_col).join(v, "term", "inner")
+    toks = docs.select(id_col, *carry, analyzer(text_col).alias("_toks"))
+    terms = toks.select(id_col, *carry, F.explode(T.with_bigrams("_toks")).alias("term"))
+    tc = (terms.join(v, "term", "inner").groupBy(id_col, *carry, "term", "idx", "idf")
+          .agg(F.count(F.lit(1)).cast("bigint").alias("tf")))
     tfw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) if sublinear else F.col("tf").cast("double")
     w = tc.withColumn("_w", tfw * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     out = w.withColumn("weight", F.col("_w") / norm)
     if digits is not None:
         out = out.withColumn("weight", F.round("weight", digits))
-    return out.select(id_col, "term", "idx", "weight")
+    return out.select(id_col, *carry, "term", "idx", "weight")
 
 
-def chi2_scores(weights: DataFrame, labels: DataFrame, id_col: str, label_col: str = "label") -> DataFrame:
-    """F8: chi-squared of non-negative feature sums against the class:
+def chi2_scores(weights: DataFrame, labels: DataFrame, label_col: str = "label") -> DataFrame:
+    """F8, on weights that carry the label: chi-squared of non-negative feature sums against the class:
     observed O[c, t] = sum of w over class-c documents, expected E[c, t] = P(c) * T[t] with
     T[t] = sum_c O[c, t]. Since sum_c E = T, chi2[t] = sum_c O^2 / (P(c) T) - T, which needs
     only the observed cells (no terms x classes grid)."""
-    lab = labels.select(id_col, label_col)
+    lab = labels.select(label_col)
     everything = Window.partitionBy()
     prior = (lab.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))       # one row per class
              .withColumn("p_c", F.col("n_c") / F.sum("n_c").over(everything)).select(label_col, "p_c"))
-    obs = weights.join(lab, id_col, "inner").groupBy("term", label_col).agg(F.sum("weight").alias("o"))
+    obs = weights.groupBy("term", label_col).agg(F.sum("weight").alias("o"))
     cells = obs.join(F.broadcast(prior), label_col, "inner")
     return cells.groupBy("term").agg(
         (F.sum(F.col("o") * F.col("o") / F.col("p_c")) / F.sum("o") - F.sum("o")).alias("chi2"))
@@ -96,7 +90,7 @@ def select_k_best(scores: DataFrame, k: int = 1000) -> DataFrame:
 
 def standard_scale(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
     """(x - mean) / population std per column; a constant column is divided by 1.
-    The statistics are one aggregate row, attached with a broadcast equi-join on a constant key."""
+    The statistics are one aggregate row, attached to every row (a join with a one-row side)."""
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}")]

@@ -38,8 +38,8 @@ TRACKER_AS_OF = views.TRACKER_AS_OF
 
 @query
 def risk_report(spark, sf_dir):
-    """Admissible mails -> rule analysis -> risk band; per band: mails, mean risk, mails with URLs."""
-    m = S.analyze(S.admissible(views.raw_mails(spark, sf_dir), "raw_text"), "raw_text")
+    """Mails -> rule analysis -> risk band; per band: mails, mean risk, mails with URLs."""
+    m = S.analyze(S.not_blank(views.raw_mails(spark, sf_dir), "raw_text"), "raw_text")
     return (m.withColumn("band", S.risk_band("risk_score"))
             .groupBy("band")
             .agg(F.count(F.lit(1)).cast("bigint").alias("mails"),
@@ -50,8 +50,8 @@ def risk_report(spark, sf_dir):
 
 @query
 def top_risk_mails(spark, sf_dir):
-    """Top 20 admissible mails by risk score (ties by id): the report's top-k list."""
-    m = S.analyze(S.admissible(views.raw_mails(spark, sf_dir), "raw_text"), "raw_text")
+    """Top 20 mails by risk score (ties by id): the report's top-k list."""
+    m = S.analyze(S.not_blank(views.raw_mails(spark, sf_dir), "raw_text"), "raw_text")
     return (m.orderBy(F.desc("risk_score"), "email_id").limit(20)
             .select("email_id", "risk_score", S.risk_band("risk_score").alias("band"),
                     F.array_join("suspicious_indicators", "; ").alias("indicators")))
@@ -163,7 +163,7 @@ def risk_band(spark, sf_dir):
 
 @query
 def email_hash(spark, sf_dir):
-    m = S.admissible(views.raw_mails(spark, sf_dir), "raw_text")
+    m = S.not_blank(views.raw_mails(spark, sf_dir), "raw_text")
     return m.select("email_id", S.email_hash("raw_text").alias("email_hash"))
 
 
@@ -312,19 +312,19 @@ def retention_cascade(spark, sf_dir):
 @query
 def keyword_hits(spark, sf_dir):
     m = views.raw_mails(spark, sf_dir)
-    return D.keyword_hits(m, D.keyword_dimension(spark), "raw_text")
+    return D.keyword_hits(m, D.keyword_entries(), "raw_text")
 
 
 @query
 def keyword_category_score(spark, sf_dir):
     m = views.raw_mails(spark, sf_dir)
-    return D.keyword_category_score(D.keyword_hits(m, D.keyword_dimension(spark), "raw_text"))
+    return D.keyword_category_score(D.keyword_hits(m, D.keyword_entries(), "raw_text"))
 
 
 @query
 def url_pattern_hits(spark, sf_dir):
     p = C.url_hosts(C.parse_mails(views.raw_mails(spark, sf_dir)))
-    hits = D.url_pattern_hits(p, D.url_pattern_dimension(spark), "url")
+    hits = D.url_pattern_hits(p, D.url_pattern_entries(), "url")
     return (hits.groupBy("email_id", "pos", "pattern_type")
             .agg(F.count(F.lit(1)).cast("bigint").alias("hits"), F.round(F.sum("weight"), 6).alias("weight"))
             .withColumn("pos", F.col("pos").cast("bigint")))
@@ -581,8 +581,8 @@ def tfidf_transform(spark, sf_dir):
 def chi2_select(spark, sf_dir):
     from mailsignal.operators import vectorize as V
     c = _corpus(spark, sf_dir)
-    w = V.tfidf(c, V.fit_vocabulary(c, "email_id", "raw_text"), "email_id", "raw_text")
-    s = V.chi2_scores(w, c, "email_id").withColumn("chi2", F.round("chi2", 6))
+    w = V.tfidf(c, V.fit_vocabulary(c, "email_id", "raw_text"), "email_id", "raw_text", carry=("label",))
+    s = V.chi2_scores(w, c).withColumn("chi2", F.round("chi2", 6))
     return V.select_k_best(s, 1000)
 
 
@@ -697,8 +697,7 @@ def metric_history(spark, sf_dir):
     from mailsignal.operators import evaluate as J
     ev = _eval(spark, sf_dir)
     comp = J.model_comparison(ev, "model_name")
-    size = _corpus(spark, sf_dir).count()
-    return J.metric_history(comp, "model_name", MAIL_AS_OF, size, notes="hold-out evaluation")
+    return J.metric_history(comp, ev, "model_name", MAIL_AS_OF, notes="hold-out evaluation")
 
 
 @query
@@ -878,7 +877,7 @@ def preprocess_chain(spark, sf_dir):
     return chain(_mails(spark, sf_dir), "raw_text", "email_id")
 
 
-# -- files and encodings (A1, A2, A12, C3) ---------------------------------------------------
+# -- files and encodings (A1, A2, A3, A12) ---------------------------------------------------
 
 @query
 def csv_corpus_roundtrip(spark, sf_dir):
@@ -905,6 +904,42 @@ def json_result_encode(spark, sf_dir):
 
 
 @query
-def email_multipart(spark, sf_dir):
+def mail_files(spark, sf_dir):
+    """A3: every conversation written as one text file under the shared folder, scanned as uploaded mail files."""
+    import uuid
+    from mailsignal.session import scratch_path
     from mailsignal.sources import files
-    return files.mime_bodies(_mails(spark, sf_dir)).select("email_id", F.md5("body").alias("body_md5"))
+    path = scratch_path(spark, "mail_files", uuid.uuid4().hex)
+    turns = load(spark, sf_dir, "conversations")
+    line = F.concat(F.lpad(F.col("turn").cast("string"), 9, "0"), F.lit(" "), "role", F.lit(": "), F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " "))
+    mails = turns.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))  # one conversation a row
+    mails.repartition("conv_id").write.partitionBy("conv_id").text(path)
+    got = files.read_mail_files(spark, path)
+    return got.select(F.regexp_extract("path", "conv_id=(-?[0-9]+)", 1).cast("bigint").alias("conv_id"), "reject_reason",
+                      F.md5(F.rtrim(F.col("text"), F.lit("\n"))).alias("text_md5"))
+
+
+# -- dimensions (A10, M8, N3) over the event log ----------------------------------------------
+
+def _user_rows(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return e.select(F.col("user_id").alias("key"), F.col("event_type").alias("category"), F.col("value").alias("weight"),
+                    F.struct("ts", "event_id").alias("at"), (F.col("event_id") % 2).alias("half"))
+
+
+@query
+def dimension_newest(spark, sf_dir):
+    """M8: one row per user, the newest event's."""
+    newest = D.dedup_newest(_user_rows(spark, sf_dir).drop("half"), "key", "at")
+    return newest.select("key", "category", "weight", F.col("at.ts").alias("updated_at"))
+
+
+@query
+def dimension_upsert(spark, sf_dir):
+    """The newest even events per user as the table, the newest odd ones with a purchase or sign-up as updates of
+    its weight; updated rows are touched."""
+    rows = _user_rows(spark, sf_dir)
+    base = D.dedup_newest(rows.filter("half = 0 and key % 5 <> 0").drop("half"), "key", "at")
+    new = D.dedup_newest(rows.filter("half = 1 and category in ('purchase', 'signup')").drop("half"), "key", "at")
+    table = base.select("key", "category", "weight", F.col("at.ts").alias("updated_at"))
+    return D.upsert(table, new.select("key", "category", "weight"), "key", ["weight"], as_of=TRACKER_AS_OF)

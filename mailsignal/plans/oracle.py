@@ -30,11 +30,10 @@ FROM scored ORDER BY risk_score DESC, email_id LIMIT 20""", "scored"))
 
 # -- admission --------------------------------------------------------------------
 oracle("admissible_emails", with_views("""
-SELECT email_id, length(raw_text)::BIGINT AS n_chars, label FROM adm2""", "scored"))
+SELECT email_id, length(raw_text)::BIGINT AS n_chars, label FROM adm2 WHERE length(raw_text) <= 10000""", "scored"))
 
 oracle("rejected_emails", with_views(f"""
-SELECT email_id, CASE WHEN length(raw_text) = 0 THEN 'Please provide email content'
-  ELSE 'Email too long. Max length: {L.MAX_EMAIL_LENGTH} characters' END AS reject_reason
+SELECT email_id, CASE WHEN length(raw_text) = 0 THEN 'empty' ELSE 'too_long' END AS reject_reason
 FROM adm WHERE length(raw_text) = 0 OR length(raw_text) > {L.MAX_EMAIL_LENGTH}""", "scored"))
 
 # -- parsing ----------------------------------------------------------------------
@@ -645,7 +644,7 @@ SELECT metric, model_name AS best_model, CAST(value AS DOUBLE) AS value FROM (
 oracle("metric_history", with_views(_EV + f"""
 SELECT model_name, unnest(['accuracy', 'precision', 'recall', 'f1_score', 'roc_auc']) AS metric_name,
        CAST(unnest([accuracy, precision, recall, f1_score, roc_auc]) AS DOUBLE) AS metric_value,
-       {MAIL_AS_OF} AS evaluation_date, CAST((SELECT count(*) FROM raw_mails) AS INTEGER) AS dataset_size,
+       {MAIL_AS_OF} AS evaluation_date, CAST((SELECT count(*) FROM scored) AS INTEGER) AS dataset_size,
        'hold-out evaluation' AS notes FROM comp""", "scored"))
 
 oracle("prediction_outcomes", with_views(_EV + """
@@ -653,5 +652,40 @@ SELECT email_id, label AS actual, coalesce(prediction, 0) AS predicted, coalesce
        substr(raw_text, 1, 60) || '...' AS preview FROM ev WHERE model_name = 'ensemble'""", "scored"))
 
 # -- files ----------------------------------------------------------------------------------
-oracle("email_multipart", with_views("SELECT email_id, md5(body) AS body_md5 FROM parsed", "emails"))
+oracle("mail_files", """
+SELECT conv_id, NULL::VARCHAR AS reject_reason, md5(string_agg(line, chr(10) ORDER BY line)) AS text_md5
+FROM (SELECT conv_id, lpad(turn::VARCHAR, 9, '0') || ' ' || role || ': ' || regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g') AS line
+      FROM conversations) GROUP BY conv_id""")
+
+# -- dimensions -------------------------------------------------------------------------------
+_NEWEST = """
+SELECT user_id AS key, event_type AS category, value AS weight, ts AS updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE {cond}) WHERE rn = 1"""
+oracle("dimension_newest", _NEWEST.format(cond="true"))
+oracle("dimension_upsert", f"""
+WITH b AS ({_NEWEST.format(cond="event_id % 2 = 0 AND user_id % 5 <> 0")}),
+n AS ({_NEWEST.format(cond="event_id % 2 = 1 AND event_type IN ('purchase', 'signup')")})
+SELECT coalesce(b.key, n.key) AS key, coalesce(b.category, n.category) AS category, coalesce(n.weight, b.weight) AS weight,
+       CASE WHEN n.key IS NOT NULL THEN {TRACKER_AS_OF} ELSE b.updated_at END AS updated_at
+FROM b FULL JOIN n ON b.key = n.key""")
+
+# -- streams (the state after all input) ------------------------------------------------------
+oracle("stream_score", with_views(f"""
+SELECT email_id, received_at, risk_score, {BAND} AS band, suspicious_indicators, rf_prediction AS ensemble_prediction,
+       CASE WHEN rf_prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END AS ensemble_label, rf_confidence AS ensemble_confidence,
+       rf_prediction = svm_prediction AS ensemble_agreement, substr(sha256(raw_text), 1, 10) AS email_hash
+FROM scored""", "scored"))
+oracle("stream_feedback", with_views(_FEEDBACK_APPLY, "tracker", "feedback"))
+oracle("stream_live_accuracy", with_views("""
+, w AS (SELECT unnest(generate_series(date_trunc('hour', timestamp) - INTERVAL 23 HOUR, date_trunc('hour', timestamp), INTERVAL 1 HOUR)) AS window_start,
+               actual_label, correct FROM tracker)
+SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*)::BIGINT AS total, count(actual_label)::BIGINT AS labeled,
+       count(CASE WHEN correct = 1 THEN 1 END)::BIGINT AS correct,
+       coalesce(round(count(CASE WHEN correct = 1 THEN 1 END)::DOUBLE / nullif(count(actual_label), 0) * 100, 2), 0.0) AS accuracy
+FROM w GROUP BY window_start""", "tracker"))
+oracle("stream_daily_trend", with_views("""
+SELECT CAST(timestamp AS DATE) AS date, count(*)::BIGINT AS total_predictions, sum(correct)::BIGINT AS correct_predictions,
+       round(CAST(avg(confidence) AS DECIMAL(38,9)), 3)::DOUBLE AS avg_confidence,
+       round(sum(correct)::DOUBLE / count(*) * 100, 2) AS accuracy
+FROM tracker WHERE actual_label IS NOT NULL GROUP BY 1""", "tracker"))
 oracle("csv_corpus_roundtrip", ORACLE["corpus_preprocess"])

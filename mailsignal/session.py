@@ -27,6 +27,8 @@ def build_session(master: str | None = None, app: str = "mailsignal",
     conf = dict(_DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", os.environ.get("MAILSIGNAL_DRIVER_MEMORY", "16g"))
+    if master and master.startswith("local"):
+        conf["spark.mailsignal.scanPartitions"] = str(shuffle_partitions)  # small single-split files in tests and bench
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -39,8 +41,8 @@ def build_session(master: str | None = None, app: str = "mailsignal",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is only read here.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster that setting must point at shared storage and is only read here. Only where it is unset
+    and driver and executors are one process (``local[...]``, as in tests) a fresh scratch folder is created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="mailsignal-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

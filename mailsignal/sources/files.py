@@ -1,9 +1,8 @@
 """File sources and sinks: labelled CSV corpora (A1, A2), uploaded mail files (A3),
-JSON request/result text (A11, A12), MIME multipart bodies (C3)."""
+JSON request/result text (A11, A12)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +24,18 @@ def read_corpus_csv(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA)
 
 
 def read_mail_files(spark: SparkSession, path: str, max_bytes: int = L.MAX_UPLOAD_BYTES) -> DataFrame:
-    """A3: one mail per file; extension (text after the last dot, any case) in txt/eml/msg, at most
-    ``max_bytes``; bytes decoded as UTF-8 with invalid sequences dropped; blank content rejected."""
+    """A3: one mail per file with an extension (text after the last dot, any case) of txt/eml/msg; bytes decoded
+    as UTF-8 with invalid sequences dropped. ``reject_reason`` says why a file is refused (blank, or more
+    than ``max_bytes``, then without text); null where it is taken."""
+    from mailsignal.operators.parse import strip_ws
     ext = "|".join(L.ALLOWED_EXTENSIONS)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-             .filter(F.lower("path").rlike(r"\.(" + ext + r")$") & (F.col("length") <= max_bytes)))
+             .filter(F.lower("path").rlike(r"\.(" + ext + r")$")))
     # bytes -> string, invalid sequences -> U+FFFD (make_valid_utf8), then the replacements dropped
     text = F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "\uFFFD", "")
-    out = files.select("path", "length", text.alias("text"))
-    from mailsignal.operators.parse import strip_ws
-    return out.filter(F.length(strip_ws("text")) > 0)
+    out = files.select("path", "length", F.when(F.col("length") <= max_bytes, text).alias("text"))
+    return out.withColumn("reject_reason", F.when(F.col("length") > max_bytes, F.lit(L.REJECT_LARGE))
+                          .when(F.length(strip_ws("text")) == 0, F.lit(L.REJECT_EMPTY)))
 
 
 def result_json(df: DataFrame) -> Column:
@@ -53,42 +54,3 @@ def result_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(individual.alias("individual_predictions"), ens.alias("ensemble_prediction"),
                               analysis.alias("email_analysis"),
                               F.date_format("predicted_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")))
-
-
-def is_multipart(header_block: Column) -> Column:
-    return header_block.rlike(r"(?im)^content-type:[ \t]*multipart/")
-
-
-def _mime_bodies(batches):
-    """Per batch: walk each multipart mail; concatenate text/plain parts and tag-stripped text/html parts."""
-    import email
-    import re
-
-    tag = re.compile(r"<[^>]*>")
-    for pdf in batches:
-        bodies = []
-        for raw in pdf["raw_text"]:
-            msg = email.message_from_string(raw or "")
-            out = []
-            for part in msg.walk():
-                ctype = part.get_content_type()
-                if ctype in ("text/plain", "text/html"):
-                    payload = part.get_payload(decode=True) or b""
-                    txt = payload.decode("utf-8", errors="ignore")
-                    out.append(tag.sub("", txt) if ctype == "text/html" else txt)
-            bodies.append("".join(out))
-        yield pd.DataFrame({"email_id": pdf["email_id"], "body": bodies})
-
-
-def mime_bodies(df: DataFrame, id_col: str = "email_id", text_col: str = "raw_text") -> DataFrame:
-    """Body text of every mail; multipart mails (header declares it) are decoded part by part in
-    an Arrow-batched ``mapInPandas``; the rest keep the header/body split of the table job."""
-    from mailsignal.operators.parse import split_headers
-    from mailsignal.session import ship_package
-
-    ship_package(df.sparkSession)
-    p = split_headers(df.select(F.col(id_col).alias("email_id"), F.col(text_col).alias("raw_text")))
-    multi = p.filter(is_multipart(F.col("header_block"))).select("email_id", "raw_text")
-    decoded = multi.mapInPandas(_mime_bodies, "email_id long, body string")
-    simple = p.filter(~is_multipart(F.col("header_block"))).select("email_id", "body")
-    return simple.unionByName(decoded)

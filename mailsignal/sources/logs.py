@@ -17,8 +17,8 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admissible mails with rule analysis, stand-in model outputs and the ensemble."""
-    m = score.admissible(views.raw_mails(spark, sf_dir), "raw_text")
+    """All mails that are not blank, with rule analysis, stand-in model outputs and the ensemble."""
+    m = score.not_blank(views.raw_mails(spark, sf_dir), "raw_text")
     m = score.analyze(m, "raw_text")
     p_rf, p_svm = views.stand_in_scores(F.col("email_id"))
     m = m.select("*", *score.model_result(p_rf, "rf"), *score.model_result(p_svm, "svm"))
@@ -26,9 +26,9 @@ def scored_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``predictions`` log (A5): three rows per scored mail. A few rows carry a null or an
-    unknown mail id, as a log written by independent requests can."""
-    p = score.fan_out(scored_mails(spark, sf_dir))
+    """``predictions`` log (A5): three rows per scored mail. Every 31st mail has not been scored yet, and a few
+    rows carry a null or an unknown mail id, as a log written by independent requests can."""
+    p = score.fan_out(scored_mails(spark, sf_dir).filter(F.col("email_id") % 31 != 7))
     eid = F.col("email_id")
     bad = (F.when(eid % 103 == 0, F.lit(None).cast("bigint"))
             .when(eid % 101 == 0, -eid - 1).otherwise(eid))

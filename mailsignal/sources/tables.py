@@ -9,15 +9,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return with_parallelism_floor(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def with_parallelism_floor(df: DataFrame) -> DataFrame:
-    """A scan of few large files (one row group each) yields fewer splits than there are cores,
-    and the per-row text work would run in a handful of tasks. Below the floor, spread the rows
-    round-robin once; a scan of many files (the cluster case) already has enough splits and is
-    returned untouched."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """The table as it is split on disk. A session may ask for another number of partitions with
+    ``spark.mailsignal.scanPartitions`` (the local sessions of tests and bench do: their tables are one row
+    group each); it is a setting, never derived from the data."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    wanted = spark.conf.get("spark.mailsignal.scanPartitions", None)
+    return df.repartition(int(wanted)) if wanted else df

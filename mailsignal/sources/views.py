@@ -38,8 +38,8 @@ SUBJECTS = [
     "Team lunch",
 ]
 CLOSINGS = [
-    "URGENT: your account has been suspended. Click here to verify your details at "
-    "http://secure-login.example-verify.com/account?id=7 before access expires!!",
+    "URGENT! This mailbox is suspended as of today: click here, verify who you are on "
+    "http://secure-login.example-verify.com/account?id=7 and do it before your access expires!!",
     "Congratulations, you are the WINNER of our lottery prize! Claim $5,000 now at "
     "http://bit.ly/claim-prize and http://192.168.10.44/claim",
     "Security alert: confirm identity and update payment within 24 hours via "

@@ -25,7 +25,7 @@ def test_dedup_keeps_newest(spark):
 
 def test_url_pattern_seed_matches(spark):
     urls = spark.createDataFrame([("http://bit.ly/x",), ("http://10.0.0.1/a",), ("https://example.org",)], "url string")
-    hits = D.url_pattern_hits(urls, D.url_pattern_dimension(spark))
+    hits = D.url_pattern_hits(urls, D.url_pattern_entries())
     got = sorted((r.url, r.pattern_type) for r in hits.collect())
     assert ("http://bit.ly/x", "shortened") in got and ("http://10.0.0.1/a", "suspicious") in got
     assert not [g for g in got if g[0] == "https://example.org"]

@@ -19,10 +19,11 @@ def test_admission_edges(spark):
     data = [(1, None), (2, ""), (3, "   \n\t "), (4, "x" * 10000), (5, " " + "y" * 10001), (6, "ok")]
     df = spark.createDataFrame(data, "id int, text string")
     got = dict(rows(df.withColumn("r", S.reject_reason("text")), "id", "r"))
-    assert got[1] == got[2] == got[3] == "Please provide email content"
+    assert got[1] == got[2] == got[3] == "empty"
     assert got[4] is None and got[6] is None
-    assert got[5] == "Email too long. Max length: 10000 characters"
+    assert got[5] == "too_long"
     assert sorted(r.id for r in S.admissible(df).collect()) == [4, 6]
+    assert sorted(r.id for r in S.not_blank(df).collect()) == [4, 5, 6]      # scoring has no length limit
 
 
 def test_clean_text_edges(spark):
@@ -59,12 +60,14 @@ def test_header_edges(spark):
     data = [(1, "Subject: hi\nfrom: A <a@b.c>\nSubject: second\n\nbody text"),
             (2, "no header here\n\nbody"),
             (3, "\nSubject: hidden?\n\nbody"),
-            (4, "From: x@y.z\nnot a header line\nmore")]
+            (4, "From: x@y.z\nnot a header line\nmore"),
+            (5, "Subject: one\n two\n\tthree\nTo: a@b.c\n\nbody")]
     df = spark.createDataFrame(data, "id int, raw_text string")
     got = {r.id: r for r in C.split_headers(df).collect()}
     assert got[1].subject == "hi" and got[1].sender == "A <a@b.c>" and got[1].body == "body text"
     assert got[2].subject == "" and got[2].body == "no header here\n\nbody"
     assert got[3].subject == "hidden?"                  # the leading newline is trimmed first
+    assert got[5].subject == "one two three" and got[5].receiver == "a@b.c" and got[5].body == "body"
     assert got[4].sender == "x@y.z" and got[4].body == "not a header line\nmore"
 
 
@@ -129,3 +132,46 @@ def test_metric_edges(spark):
     assert J.roc_auc(df, "model_name").first().roc_auc == 0.5         # all scores tied
     single = spark.createDataFrame([("m", 1, 1, 0.2)], "model_name string, label int, prediction int, score double")
     assert J.roc_auc(single, "model_name").first().roc_auc is None
+
+
+def test_patterns_on_long_inputs(spark):
+    url = "http://" + "a1%20b/" * 30_000
+    data = [(1, url), (2, "\n".join(f"X-{i}: v" for i in range(20_000)) + "\n\nbody"), (3, "x" * 1_000_000), (4, "a@" + "b" * 1_000_000 + " ok")]
+    df = spark.createDataFrame(data, "id int, raw_text string")
+    got = {r.id: r for r in df.select("id", E.url_list("raw_text").alias("u"), E.url_count_escaped("raw_text").alias("n"),
+                                      T.clean_text("raw_text").alias("c")).collect()}
+    assert got[1].u == [url] and got[1].n == 1 and got[4].c == "ok" and got[3].c == "x" * 1_000_000
+    heads = {r.id: r for r in C.split_headers(df).collect()}
+    assert heads[2].body == "body" and heads[2].header_block.count("X-") == 20_000
+
+
+def test_safe_patterns_equal_the_originals(spark):
+    import random
+    import re
+    from mailsignal import lexicon as L
+    rng = random.Random(5)
+    parts = ["http://", "https://", "a.b", "/x?y=1", "%2f", "%zz", "%", "$-_", "!*\\(),", " ", "~", "#", "é", "x@y.z", "@", "@a", "b@"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for r in df.select("id", E.url_list("t").alias("a"), E.url_count_escaped("t").alias("b"), F.regexp_replace("t", T.EMAIL_TOKEN, " ").alias("c")).collect():
+        t = texts[r.id]
+        assert r.a == re.findall(L.URL_PATTERN_RANGE, t) and r.b == len(re.findall(L.URL_PATTERN_ESCAPED, t))
+        assert r.c == re.sub("[^ ]+@[^ ]+", " ", t)
+
+
+def test_null_labels_stay(spark):
+    from mailsignal.operators import split as G
+    df = spark.createDataFrame([(i, [0, 1, None][i % 3]) for i in range(30)], "id int, label int")
+    assert G.stratified_split(df, "id").count() == G.class_weights(df).count() == G.stratified_folds(df, "id").count() == 30
+    assert {r.label: r["count"] for r in G.stratified_split(df, "id").filter("split = 'test'").groupBy("label").count().collect()} == {0: 2, 1: 2, None: 2}
+
+
+def test_porter_worked_examples():
+    from mailsignal.functions.porter import stem
+    examples = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled",
+                "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi",
+                "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration", "digitizer": "digit", "operator": "oper",
+                "formaliti": "formal", "triplicate": "triplic", "electrical": "electr", "hopeful": "hope", "goodness": "good", "revival": "reviv",
+                "allowance": "allow", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt", "effective": "effect", "probate": "probat",
+                "cease": "ceas", "controll": "control", "roll": "roll"}
+    assert {w: stem(w) for w in examples} == examples

@@ -1,4 +1,4 @@
-"""File sources/sinks and MIME decoding on hand-made inputs."""
+"""File sources and sinks on hand-made inputs."""
 
 import os
 import tempfile
@@ -20,18 +20,10 @@ def test_mail_file_scan(spark):
         f.write(b"ignored")
     with open(os.path.join(d, "archive.tar.msg"), "wb") as f:
         f.write(b"From: x@y.z\n\nhello")
-    got = {os.path.basename(r.path): r.text for r in files.read_mail_files(spark, d).collect()}
-    assert set(got) == {"a.TXT", "archive.tar.msg"}
-    assert got["a.TXT"] == "Subject: hi\n\nbody é"
-
-
-def test_mime_multipart(spark):
-    raw = ("From: a@b.c\nContent-Type: multipart/alternative; boundary=XX\n\n--XX\nContent-Type: text/plain\n\n"
-           "plain part\n--XX\nContent-Type: text/html\n\n<p>html <b>part</b></p>\n--XX--\n")
-    df = spark.createDataFrame([(1, raw), (2, "Subject: s\n\nsimple body")], "email_id long, raw_text string")
-    got = {r.email_id: r.body for r in files.mime_bodies(df).collect()}
-    assert got[2] == "simple body"
-    assert "plain part" in got[1] and "html part" in got[1] and "<b>" not in got[1]
+    got = {os.path.basename(r.path): (r.text, r.reject_reason) for r in files.read_mail_files(spark, d, max_bytes=24).collect()}
+    assert set(got) == {"a.TXT", "b.eml", "archive.tar.msg"}
+    assert got["a.TXT"] == ("Subject: hi\n\nbody é", None) and got["b.eml"][1] == "empty"
+    assert {r.reject_reason for r in files.read_mail_files(spark, d, max_bytes=3).collect()} == {"too_large"}
 
 
 def test_csv_roundtrip_equals_direct(spark):

@@ -43,15 +43,27 @@ def test_auc_of_negated_scores(spark):
     assert abs(a + b - 1.0) < 1e-12
 
 
-def test_chunked_dictionary_join_equals_broadcast(spark):
-    m = views.raw_mails(spark, SMALL)
-    kw = D.keyword_dimension(spark)
-    one = D.keyword_hits(m, kw, "raw_text")
-    facts = m.select(F.col("email_id"), F.lower("raw_text").alias("_low"))
-    active = kw.select("keyword", "category", "weight")
-    chunked = D._bounded_theta_join(facts, active, lambda f, d: F.col("_low").contains(d["keyword"]), "keyword",
-                                    limit=3).select("email_id", "keyword", "category", "weight")
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, chunked.collect()))
+def test_inactive_entries_are_skipped(spark):
+    m = spark.createDataFrame([(1, "URGENT prize")], "email_id long, raw_text string")
+    entries = [("urgent", "a", 1.0, True), ("prize", "b", 2.0, False), ("gent", "c", 3.0, None)]
+    assert sorted(r.keyword for r in D.keyword_hits(m, entries, "raw_text").collect()) == ["gent", "urgent"]
+    assert D.keyword_hits(m, [], "raw_text").count() == 0
+
+
+def _split_copy(spark, path, name, files):
+    spark.read.parquet(f"{SMALL}/{name}.parquet").repartition(files).write.parquet(f"{path}/{name}.parquet")
+
+
+def test_streams_over_table_folders(spark, tmp_path):
+    from mailsignal.operators import retention as R
+    from mailsignal.streaming import jobs
+    for name in ("documents", "events"):
+        _split_copy(spark, str(tmp_path), name, 5)
+    assert jobs.stream_score(spark, str(tmp_path)).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    base = str(tmp_path / "corrections")
+    want = sorted(map(str, R.feedback_apply(views.tracker(spark, SMALL), views.feedback(spark, SMALL)).collect()))
+    for _ in range(2):  # several batches, then a restart on the same folder
+        assert sorted(map(str, jobs.stream_feedback(spark, str(tmp_path), base, files_per_trigger=1).collect())) == want
 
 
 def test_stream_score_equals_batch(spark):
