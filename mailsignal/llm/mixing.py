@@ -75,7 +75,7 @@ def multipliers(histogram: DataFrame, wanted: DataFrame, most: float = MOST) ->
         x = F.col("multiplier")
         low = F.when(gap < 0, x).otherwise(F.col("low"))
         high = F.when(gap > 0, x).otherwise(F.col("high"))
-        step = x - gap / F.col("slope")
+        step = x - F.try_divide(gap, F.col("slope"))
         middle = (F.when(low == float("-inf"), 2 * high - 1).when(high == float("inf"), 2 * low + 1).otherwise((low + high) / 2))
         good = F.col("slope").isNotNull() & (F.col("slope") > 0) & (step > low) & (step < high) & (F.abs(step - x) < 2 + F.abs(x))
         done = F.coalesce(F.abs(gap) <= TOLERANCE * F.col("target"), F.lit(True))
