@@ -1,5 +1,7 @@
 """Substring dedup by seed and extend: remove passages that an earlier document already holds.
 
+0. Copies. A text equal to that of a smaller document is removed whole (if it has a window at all) and is
+   no one's smallest holder, so it sends nothing.
 1. Seeds. Of the word k-grams in each window of ``min_words`` words the one with the least hash is
    winnowed out; two equal windows have the same seed, so every repeat of that length holds a common
    one. A document sends each of its seeds once.
@@ -101,6 +103,7 @@ def _seed_rows(size: int, seed: int):
 
 
 def _window_rows(size: int, seed: int):
+    """As ``_seed_rows``, of the windows whose seed is shared; a row with a value is settled."""
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
@@ -121,19 +124,19 @@ def _window_rows(size: int, seed: int):
                 once = _first_of(one, two, d)
                 one, two, d = one[once], two[once], d[once]
                 head = _first_of(one, two)
-                known = ~head  # a smaller document of this run has the window
-                rows = _rows(np.where(head, one, _own_key(one, d)), one, d, known)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(two.view(np.int64))], names=[*rows.schema.names, "check"])
+                # but for the head of a group, a smaller document of this run has the window
+                rows = _rows(np.where(head, one, _own_key(one, d)), one, d, head)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(two.view(np.int64))], names=["key", "value", "d", "check"])
     return run
 
 
 def _cut(size: int, seed: int):
-    """Carried columns, text, gone windows -> carried columns, kept text, counts, spans."""
+    """Carried columns, text, gone windows, whether a copy -> carried columns, kept text, counts, spans."""
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
             for lo, hi, buf, offs in slices(batch.column(1), RUN_BYTES):
-                gone = lists.slice(lo, hi - lo)
+                gone, copy = lists.slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo).to_pylist()
                 owner = np.repeat(np.arange(hi - lo), gone.value_lengths().fill_null(0).to_numpy())
                 counts, removed, texts, spans = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), [], []
                 words, word_offs = _words(buf, offs) if len(owner) else (None, None)
@@ -151,6 +154,8 @@ def _cut(size: int, seed: int):
                     every = buf[offs[i]:offs[i + 1]].tobytes().split()
                     counts[i] = len(every)
                     mark = drop[word_offs[i]:word_offs[i + 1]] if len(owner) else drop
+                    if copy[i] and len(every) >= size:
+                        mark = np.ones(len(every), bool)
                     if mark.any():
                         removed[i] = int(mark.sum())
                         step = np.flatnonzero(np.diff(np.concatenate(([0], mark.view(np.int8), [0]))))
@@ -174,22 +179,26 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     ship_package(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("t"),
-                       F.col(id_col).cast("long").alias("d"))
-    row_type = "key long, value long, d long, known boolean"
-    meet = base.select("d", "t").mapInArrow(_seed_rows(min_words, seed_words), row_type)
+                       F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"))
+    # a copy is told by its text's hash in the list of its id: all joins are on the id alone and read one exchange
+    named = base.where("d is not null and t is not null").select("d", "h", F.sha2("t", 256).alias("sha"))
+    first = named.groupBy("sha").agg(F.min("d").alias("first"))
+    copies = named.join(first, "sha").where("d > first").groupBy("d").agg(F.collect_set("h").alias("twins"))
+    marked = base.join(copies, "d", "left").withColumn("copy", F.coalesce(F.array_contains("twins", F.col("h")), F.lit(False)))
+    meet = marked.where(~F.col("copy")).select("d", "t", "row").mapInArrow(_seed_rows(min_words, seed_words), "key long, value long, d long, known boolean")
     w = Window.partitionBy("key")
     seeds = (meet.withColumn("shared", F.col("known") | (F.min("d").over(w) < F.max("d").over(w))).where("shared")
              .groupBy("d").agg(F.collect_list(F.coalesce("value", "key")).alias("seeds")))
-    # "row" is passed along unused: with the same columns, both joins read one exchange of the texts
-    found = (base.join(seeds, "d", "left").select("d", "t", "seeds", "row")
-             .mapInArrow(_window_rows(min_words, seed_words), row_type + ", check long"))
+    # "row" is passed along unused: with the same columns, the joins read one exchange of the texts
+    found = (base.join(seeds, "d", "left").select("d", "t", "seeds", "row", "h")
+             .mapInArrow(_window_rows(min_words, seed_words), "key long, value long, d long, check long"))
     w = Window.partitionBy("key", "check")
-    gone = (found.withColumn("earlier", F.col("known") | (F.min("d").over(w) < F.col("d"))).where("earlier")
+    gone = (found.withColumn("earlier", F.col("value").isNotNull() | (F.min("d").over(w) < F.col("d"))).where("earlier")
             .groupBy("d").agg(F.collect_list(F.coalesce("value", "key")).alias("gone")))
     schema = T.StructType([base.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()),
                            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    return base.join(gone, "d", "left").select("row", "t", "gone").mapInArrow(_cut(min_words, seed_words), schema)
+    return marked.join(gone, "d", "left").select("row", "t", "gone", "copy").mapInArrow(_cut(min_words, seed_words), schema)
 
 
 def op3_substring_dedup(docs: DataFrame) -> DataFrame:
