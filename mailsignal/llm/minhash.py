@@ -16,10 +16,12 @@ Links without all pairs.
    vertex is compared with the most central of its buckets' leaders only. Verified links are joined
    to components.
 3. Rest round: buckets whose members lie in one component are done. Among the members of the
-   others, shingles that only one of them has are counted. With u shared shingles of n a vertex
-   reaches a similarity of u / n at most, and a pair min(u) / (n + n' - min(u)); pairs of different
-   components that could still reach the limit are all verified. So no pair of a bucket goes
-   unexamined: it is in one component, or excluded by an exact bound, or compared on full sets.
+   others and their leaders, shingles that only one of them has are counted. Of the n shingles of a vertex
+   with the leader it was compared with, a lie in the leader's set and e more are not its own
+   alone. Two vertices of one leader share at most min(a) + min(e), any two at most min(a + e). Pairs of
+   different components that could still reach the limit under these bounds are all verified, each in the
+   first bucket it shares. So no pair of a bucket goes unexamined: it is in one component, or excluded by an
+   exact bound, or compared on full sets. An id with several texts is never excluded.
 
 Verification compares the full sets of 64-bit shingle hashes. Texts of candidates are stored once in
 the shared folder. Null text counts as empty; a text without words is linked with nothing. Rows of one
@@ -135,7 +137,7 @@ def _shingle_rows(batches):
 
 
 def _verify(percent: int):
-    """(a, b, text of a, text of b) -> the (a, b) that reach the limit."""
+    """(a, b, text of a, text of b) -> a, b, shared shingles, and whether they reach the limit."""
     def one(column, i):
         raw = np.frombuffer((column[i].as_py() or "").encode(), np.uint8)
         return shingles(raw, np.array([0, len(raw)]))[0]
@@ -144,18 +146,22 @@ def _verify(percent: int):
         last_id, last_set = None, None
         for batch in batches:
             a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            good = np.zeros(len(a), bool)
+            good, shared = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
             for i in range(len(a)):
                 left = one(batch.column(2), i)
                 text = batch.column(3)[i].as_py()
                 if last_id != text:
                     last_id, last_set = text, one(batch.column(3), i)
                 both = len(np.intersect1d(left, last_set, assume_unique=True))
+                shared[i] = both
                 good[i] = both > 0 and 100 * both >= percent * (len(left) + len(last_set) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared), pa.array(good)], names=["a", "b", "shared", "linked"])
     return run
 
 
+_COMPARED = "a long, b long, shared long, linked boolean"
+
+
 def _identified(docs: DataFrame, id_col: str, text_col: str):
     """Id, or for a null one a code of the text."""
     code = F.lit(NO_ID) + F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit((1 << 60) - 1))
@@ -183,30 +189,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     texts = stored(base.join(choice, base["d"] == choice["v"]).select("v", "leader", "t").dropDuplicates(["v", "t"]), "texts")
     own = texts.where("leader is not null").select("v", "leader", "t")
     led = texts.select(F.col("v").alias("leader"), F.col("t").alias("u")).join(own.select("leader").distinct(), "leader", "left_semi")
-    edges = stored(own.join(led, "leader").select("v", "leader", "t", "u").mapInArrow(_verify(percent), "a long, b long"), "links")
+    compared = stored(own.join(led, "leader").select("v", "leader", "t", "u").mapInArrow(_verify(percent), _COMPARED), "links")
+    edges = compared.where("linked").select("a", "b")
     first = stored(components(edges), "roots")
 
     # rest round
     placed = members.join(first, "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root"))
     open_keys = lambda m: m.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     open_ = stored(placed.join(open_keys(placed), "key", "left_semi"), "open")
-    there = open_.select("v").distinct()
+    near = texts.join(open_.select("v").distinct(), "v", "left_semi")
+    there = near.select("v").union(near.where("leader is not null").select("leader")).distinct()
     alone = (texts.join(there, "v", "left_semi").select("v", "t").mapInArrow(_shingle_rows, "shingle long, v long")
              .groupBy("shingle").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v = w")
              .groupBy("v").agg(F.count(F.lit(1)).alias("alone")))
-    able = (open_.join(alone, "v", "left").withColumn("u", F.col("n") - F.coalesce("alone", F.lit(0)))
-            .where(100 * F.col("u") >= percent * F.col("n")))
+    by_leader = compared.groupBy(F.col("a").alias("v")).agg(F.max("b").alias("leader"), F.max("shared").alias("a"))
+    facts = (near.groupBy("v").agg(F.count(F.lit(1)).alias("texts")).join(alone, "v", "left").join(by_leader, "v", "left")
+             .select("v", "leader", (F.col("texts") > 1).alias("several"), F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("a", F.lit(0)).alias("a")))
+    able = open_.join(facts, "v").withColumn("u", F.col("n") - F.col("alone")).where(F.col("several") | (100 * F.col("u") >= percent * F.col("n")))
     able = able.join(open_keys(able), "key", "left_semi")
+    able = able.join(able.groupBy("v").agg(F.collect_set("key").alias("keys")), "v")
     most = able.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    able = able.join(most, "key")
-    other = able.where("root <> main").select("key", *[F.col(c).alias(c + "1") for c in ("v", "root", "n", "u")])
-    u = F.least("u", "u1")
+    able = able.join(most, "key").select("key", "v", "root", "main", "n", "u", "a", "leader", "several", "keys")
+    other = able.where("root <> main").select("key", *[F.col(c).alias(c + "1") for c in ("v", "root", "n", "u", "a", "leader", "several", "keys")])
+    most_shared = F.least("u", "u1", F.when(F.col("leader") == F.col("leader1"), F.least("a", "a1") + F.least(F.col("u") - F.col("a"), F.col("u1") - F.col("a1"))))
     pairs = other.join(able, "key").where(
         (F.col("root") != F.col("root1")) & ((F.col("root") == F.col("main")) | (F.col("v1") < F.col("v")))
-        & (100 * u >= percent * (F.col("n") + F.col("n1") - u))).select(F.col("v1").alias("a"), F.col("v").alias("b")).distinct()
+        & (F.col("several") | F.col("several1") | (100 * most_shared >= percent * (F.col("n") + F.col("n1") - most_shared)))
+        & (F.array_min(F.array_intersect("keys", "keys1")) == F.col("key"))).select(F.col("v1").alias("a"), F.col("v").alias("b")).distinct()
     left = pairs.join(texts.select(F.col("v").alias("a"), "t"), "a")
     more = left.join(texts.select(F.col("v").alias("b"), F.col("t").alias("u")), "b").select("a", "b", "t", "u")
-    edges = edges.union(more.mapInArrow(_verify(percent), "a long, b long"))
+    edges = edges.union(more.mapInArrow(_verify(percent), _COMPARED).where("linked").select("a", "b"))
     final = stored(components(edges), "roots")
     member = classes.join(final, "v", "left").select("same", F.coalesce("root", "v").alias("root"))
     some = full.select("d", "n", "same").join(member, "same").select("d", F.col("n").alias("n_shingles"), "root")
