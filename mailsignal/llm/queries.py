@@ -40,17 +40,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_substring_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
-p AS (SELECT rid, doc_id, unnest(generate_series(1, len(w)::BIGINT - 12)) AS s, w FROM d),
-g AS (SELECT rid, doc_id, s, array_to_string(w[s:s + 12], ' ') AS gram FROM p),
-f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram HAVING count(*) > 1),
-hit AS (SELECT g.rid, g.s FROM g JOIN f USING (gram) WHERE f.first < g.doc_id),
-gone AS (SELECT rid, list_distinct(flatten(list(generate_series(s, s + 12)))) AS cuts FROM hit GROUP BY rid),
-k AS (SELECT d.rid, d.doc_id, w, coalesce(cuts, []) AS cuts FROM d LEFT JOIN gone USING (rid)),
-e AS (SELECT rid, unnest(w) AS word, unnest(generate_series(1, len(w)::BIGINT)) AS i FROM d),
-cut AS (SELECT rid, unnest(cuts) AS i FROM gone),
-kept AS (SELECT e.rid, string_agg(word, ' ' ORDER BY e.i) AS t FROM e ANTI JOIN cut ON e.rid = cut.rid AND e.i = cut.i GROUP BY e.rid)
-SELECT k.doc_id, len(w)::BIGINT AS n_words, len(cuts)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM k LEFT JOIN kept USING (rid)""",
+e AS (SELECT rid, doc_id, unnest(w) AS word, unnest(generate_series(1, len(w)::BIGINT)) AS i, len(w)::BIGINT AS n FROM d),
+g AS (SELECT *, CASE WHEN i <= n - 12 THEN string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS gram FROM e),
+f AS (SELECT gram, min(doc_id) AS first FROM g WHERE gram IS NOT NULL GROUP BY gram),
+h AS (SELECT g.*, coalesce(f.first < g.doc_id, false) AS hit FROM g LEFT JOIN f USING (gram)),
+c AS (SELECT *, bool_or(hit) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM h),
+k AS (SELECT rid, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM c GROUP BY rid)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)""",
     "op4_minhash_near_dedup": rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -78,21 +75,24 @@ SELECT conv_id, any_value(turns)::BIGINT AS n_turns, sha256(string_agg(role || c
 FROM p GROUP BY conv_id""",
     "op10_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-g AS (SELECT rid, k, unnest(generate_series(1, len(w)::BIGINT - k + 1)) AS s, w FROM d, (VALUES (3), (12)) AS t(k)),
-f AS (SELECT rid, k, s, count(*) OVER (PARTITION BY rid, k, array_to_string(w[s:s + k - 1], ' ')) AS n FROM g),
-h AS (SELECT rid, k, s, n FROM f WHERE n > 1 UNION ALL
-      SELECT rid, 151, s, count(*) OVER (PARTITION BY rid, array_to_string(w[s:s + 150], ' ')) FROM f JOIN d USING (rid)
-      WHERE k = 12 AND n > 1 AND s + 150 <= len(w)),
-c AS (SELECT rid, k, count(DISTINCT i) AS covered FROM (SELECT rid, k, unnest(generate_series(s, s + k - 1)) AS i FROM h WHERE n > 1) GROUP BY rid, k),
-m AS (SELECT rid, max(covered) FILTER (k = 3) AS three, max(covered) FILTER (k = 12) AS far, max(covered) FILTER (k = 151) AS long FROM c GROUP BY rid),
+e AS (SELECT rid, unnest(w) AS word, unnest(generate_series(1, len(w)::BIGINT)) AS i, len(w)::BIGINT AS n FROM d),
+g AS (SELECT *, CASE WHEN i <= n - 2 THEN string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) END AS g3,
+      CASE WHEN i <= n - 11 THEN string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) END AS g12 FROM e WINDOW o AS (PARTITION BY rid ORDER BY i)),
+f AS (SELECT rid, i, n, word, g3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, g3) > 1 AS r3, g12 IS NOT NULL AND count(*) OVER (PARTITION BY rid, g12) > 1 AS r12 FROM g),
+c AS (SELECT rid, bool_or(r3) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, bool_or(r12) OVER (o ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS c12
+      FROM f WINDOW o AS (PARTITION BY rid ORDER BY i)),
+m AS (SELECT rid, count(*) FILTER (c3) AS three, count(*) FILTER (c12) AS far FROM c GROUP BY rid),
+x AS (SELECT rid, CASE WHEN i <= n - 150 THEN string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 150 FOLLOWING) END AS g151
+      FROM f WHERE rid IN (SELECT rid FROM m WHERE far > 150)),
+long AS (SELECT DISTINCT rid FROM (SELECT rid FROM x WHERE g151 IS NOT NULL GROUP BY rid, g151 HAVING count(*) > 1)),
 l AS (SELECT rid, count(*) - count(DISTINCT line) AS dup FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 r AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
-             coalesce(three, 0)::BIGINT AS n_repeat_words, coalesce(far, 0) AS far, coalesce(long, 0) AS long
+             coalesce(three, 0)::BIGINT AS n_repeat_words, coalesce(far, 0) AS far, rid IN (SELECT rid FROM long) AS long
       FROM d LEFT JOIN m USING (rid) LEFT JOIN l USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (far > 0.3 * n_words OR long > 0) AS kept
+       NOT base_failed AND NOT (far > 0.3 * n_words OR long) AS kept
 FROM b""",
 }
