@@ -1,8 +1,8 @@
 """Spark ML layer.
 
-Features: the relational TF-IDF long form is packed into one sparse vector per
-mail (a small per-row helper; the vocabulary is at most ``max_features`` wide)
-and assembled with the 8 metadata columns. Training data is the training split
+Features: the relational TF-IDF long form is packed into one sparse vector per mail by built-in
+expressions (the vector's own struct, stored in the shared folder and read back under the vector
+type) and assembled with the 8 metadata columns. Training data is the training split
 only; TF-IDF is fitted on it (no leakage). Both models train with balanced class
 weights. The linear SVM gets standardised input without centring so vectors
 stay sparse; its margin is calibrated to a probability by Platt scaling fitted on
@@ -11,47 +11,67 @@ a held-out fold.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from mailsignal import lexicon as L
 from mailsignal.functions import features as E
 from mailsignal.operators import split as G
 from mailsignal.operators import vectorize as V
-from mailsignal.session import ensure_checkpoint_dir, ship_package
+from mailsignal.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 
-@F.udf(VectorUDT())
-def _sparse(size, idx, vals):
-    return SparseVector(int(size), [int(i) for i in idx], [float(v) for v in vals])
+def packed_weights(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str, n_features: int) -> DataFrame:
+    """(id, tfidf) with the struct a sparse vector is stored as; a mail with no vocabulary term gets empty arrays."""
+    w = V.tfidf(docs, vocab, id_col, text_col, digits=None)
+    entry = F.struct(F.col("idx").cast("int").alias("i"), F.col("weight").alias("w"))
+    packed = w.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_e"))   # one mail's terms
+    e = F.coalesce(F.col("_e"), F.array().cast("array<struct<i:int,w:double>>"))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(n_features).cast("int").alias("size"),
+                      F.transform(e, lambda x: x["i"]).alias("indices"), F.transform(e, lambda x: x["w"]).alias("values"))
+    return docs.select(id_col).join(packed, id_col, "left").select(id_col, vector.alias("tfidf"))
 
 
 def tfidf_vectors(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str, n_features: int) -> DataFrame:
-    """(id, tfidf) sparse vectors; a mail with no vocabulary term gets an empty vector."""
-    ship_package(docs.sparkSession)
-    w = V.tfidf(docs, vocab, id_col, text_col, digits=None)
-    packed = (w.groupBy(id_col)
-              .agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_e")))
-    packed = packed.select(id_col, F.transform("_e", lambda x: x["idx"]).alias("_i"),
-                           F.transform("_e", lambda x: x["weight"]).alias("_v"))
-    base = docs.select(id_col).join(packed, id_col, "left")
-    return base.select(id_col, _sparse(F.lit(n_features), F.coalesce("_i", F.array().cast("array<bigint>")),
-                                       F.coalesce("_v", F.array().cast("array<double>"))).alias("tfidf"))
+    """(id, tfidf) sparse vectors, read back from the shared folder under the vector type."""
+    path = scratch_path(docs.sparkSession, "vectors", uuid.uuid4().hex)
+    packed_weights(docs, vocab, id_col, text_col, n_features).write.parquet(path)
+    schema = StructType([docs.schema[id_col], StructField("tfidf", VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def assembled_rows(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str, n_features: int) -> DataFrame:
+    """F6 in long form: (id, idx, value) of the non-zero TF-IDF weights and of all metadata columns."""
+    tf = V.tfidf(docs, vocab, id_col, text_col, digits=None).select(id_col, "idx", F.col("weight").alias("value"))
+    meta = F.array(*[F.struct(F.lit(n_features + i).cast("bigint").alias("idx"), c.cast("double").alias("value"))
+                     for i, c in enumerate(E.metadata_vector_columns(text_col))])
+    return tf.unionByName(docs.select(id_col, F.inline(meta)))
+
+
+def align(rows: DataFrame, schema: DataFrame) -> DataFrame:
+    """(id, name, value) rows of any frame under the saved (idx, name) schema: extra names go, missing
+    ones are absent, which is zero in the sparse form, and the order is the schema's."""
+    return rows.join(F.broadcast(schema.select("idx", "name")), "name", "inner").drop("name")   # the schema is max_features + 8 rows
 
 
 def feature_frame(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str, label_col: str,
                   n_features: int) -> DataFrame:
     """id, label, tfidf vector, 8 metadata columns and the assembled ``features`` vector."""
-    meta = docs.select(id_col, label_col, *[c.cast("double").alias(c_name) for c, c_name in
+    kept = [c for c in docs.columns if c not in (id_col, label_col, text_col)]
+    meta = docs.select(id_col, label_col, *kept, *[c.cast("double").alias(c_name) for c, c_name in
                                             zip(E.metadata_vector_columns(text_col), E.METADATA_NAMES)])
     vec = tfidf_vectors(docs, vocab, id_col, text_col, n_features)
     j = meta.join(vec, id_col, "inner")
@@ -93,24 +113,29 @@ class Trained:
     platt: PipelineModel
     train: DataFrame
     test: DataFrame
+    every: DataFrame
 
 
 def _margin(df: DataFrame) -> DataFrame:
     return df.withColumn("margin", vector_to_array("svm_raw")[1])
 
 
-def train(corpus: DataFrame, id_col: str = "email_id", text_col: str = "raw_text", label_col: str = "label",
-          num_trees: int = 100, max_depth: int = 20) -> Trained:
-    """H8: split -> fit TF-IDF on train -> features -> forest + SVM (+ Platt on a held-out fold)."""
+def fit_features(corpus: DataFrame, id_col: str = "email_id", text_col: str = "raw_text", label_col: str = "label"):
+    """(corpus with its split, vocabulary fitted on the training part, number of terms)."""
     ensure_checkpoint_dir(corpus.sparkSession)
     s = G.stratified_split(corpus, id_col, label_col)
-    train_docs = s.filter(F.col("split") == "train").drop("split")
-    test_docs = s.filter(F.col("split") == "test").drop("split")
-    vocab = V.fit_vocabulary(train_docs, id_col, text_col).checkpoint(eager=True)
-    n_terms = vocab.count()
-    tr = G.class_weights(feature_frame(train_docs, vocab, id_col, text_col, label_col, n_terms), label_col)
+    vocab = V.fit_vocabulary(s.filter(F.col("split") == "train"), id_col, text_col).checkpoint(eager=True)
+    return s, vocab, vocab.count()
+
+
+def train(corpus: DataFrame, id_col: str = "email_id", text_col: str = "raw_text", label_col: str = "label",
+          num_trees: int = 100, max_depth: int = 20, fitted=None) -> Trained:
+    """H8: split -> fit TF-IDF on train -> features -> forest + SVM (+ Platt on a held-out fold)."""
+    s, vocab, n_terms = fitted or fit_features(corpus, id_col, text_col, label_col)
+    every = feature_frame(s, vocab, id_col, text_col, label_col, n_terms).checkpoint(eager=True)
+    tr = G.class_weights(every.filter(F.col("split") == "train"), label_col)
     tr = G.stratified_folds(tr, id_col, label_col, k=5).checkpoint(eager=True)
-    te = feature_frame(test_docs, vocab, id_col, text_col, label_col, n_terms).checkpoint(eager=True)
+    te = every.filter(F.col("split") == "test")
     forest = Pipeline(stages=[random_forest(label_col, num_trees=num_trees, max_depth=max_depth)]).fit(tr)
     n = tr.count()
     # Platt scaling without leakage: SVM on folds 1-4, calibrator on fold 0's margins
@@ -120,7 +145,7 @@ def train(corpus: DataFrame, id_col: str = "email_id", text_col: str = "raw_text
                              LogisticRegression(featuresCol="m_vec", labelCol=label_col, predictionCol="platt_pred",
                                                 probabilityCol="svm_prob", rawPredictionCol="platt_raw")]).fit(held)
     svm = linear_svm(n).fit(tr)
-    return Trained(vocab, n_terms, forest, svm, platt, tr, te)
+    return Trained(vocab, n_terms, forest, svm, platt, tr, te, every)
 
 
 def score(t: Trained, feats: DataFrame, id_col: str = "email_id") -> DataFrame:
@@ -155,6 +180,62 @@ def grid_search(t: Trained, label_col: str = "label", parallelism: int = 2) -> D
     return spark.createDataFrame(rows, "num_trees int, max_depth int, mean_f1 double, std_f1 double")
 
 
+def cv_scores(t: Trained, label_col: str = "label", k: int = 5) -> DataFrame:
+    """H6: F1 of class 1 on each of the k stratified folds, their mean and population std, for the forest and the SVM."""
+    ev = MulticlassClassificationEvaluator(labelCol=label_col, metricName="fMeasureByLabel", metricLabel=1.0)
+    rows = []
+    for name, column in (("random_forest", "rf_pred"), ("svm", "svm_pred")):
+        scores = []
+        for fold in range(k):
+            fit = t.train.filter(F.col("fold") != fold)
+            job = Pipeline(stages=[random_forest(label_col)]) if name == "random_forest" else linear_svm(fit.count())
+            scores.append(float(ev.evaluate(job.fit(fit).transform(t.train.filter(F.col("fold") == fold)), {ev.predictionCol: column})))
+        mean = sum(scores) / k
+        rows.append((name, scores, mean, (sum((x - mean) ** 2 for x in scores) / k) ** 0.5))
+    return t.train.sparkSession.createDataFrame(rows, "model_name string, fold_f1 array<double>, mean_f1 double, std_f1 double")
+
+
+FOURIER, GAMMA_SEED = 256, 17
+
+
+def fourier_features(size: int, seed: int = GAMMA_SEED, d: int = FOURIER):
+    """Arrow-batched column function: scaled sparse vectors (indices, values) -> ``d`` random Fourier features of the
+    Gaussian kernel with gamma = 1 / size (the 'scale' setting for features of unit variance)."""
+    @F.pandas_udf("array<double>")
+    def features(indices: pd.Series, values: pd.Series) -> pd.Series:
+        rng = np.random.default_rng(seed)
+        w, b = rng.normal(0, np.sqrt(2.0 / size), (size, d)), rng.uniform(0, 2 * np.pi, d)
+        out = [np.sqrt(2.0 / d) * np.cos(np.asarray(v, float) @ w[np.asarray(i, int)] + b) for i, v in zip(indices, values)]
+        return pd.Series(out)
+    return features
+
+
+def rbf_svm(t: Trained, c: float = 1.0, label_col: str = "label", id_col: str = "email_id") -> DataFrame:
+    """H3: Gaussian-kernel SVM as a linear one on random Fourier features of the scaled vectors, with Platt
+    scaling fitted on fold 0; predictions for every mail."""
+    ship_package(t.train.sparkSession)
+    size = t.n_features + len(E.METADATA_NAMES)
+    scaler = t.svm.stages[0]
+    def mapped(df: DataFrame) -> DataFrame:
+        path = scratch_path(df.sparkSession, "fourier", uuid.uuid4().hex)
+        scaler.transform(df).select(id_col, "scaled").write.parquet(path)   # read back as the struct a vector is stored as
+        raw = df.sparkSession.read.schema(f"{id_col} long, scaled struct<type:tinyint,size:int,indices:array<int>,values:array<double>>").parquet(path)
+        s = F.col("scaled")
+        dense = s["type"] == 1
+        z = fourier_features(size)(F.when(dense, F.sequence(F.lit(0), F.lit(size - 1))).otherwise(s["indices"]), s["values"])
+        return df.drop("features").join(raw.select(id_col, array_to_vector(z).alias("features")), id_col)
+    train_rows = mapped(t.train).checkpoint(eager=True)
+    n = train_rows.count()
+    svm = LinearSVC(labelCol=label_col, featuresCol="features", weightCol="class_weight", regParam=1.0 / (c * max(n, 1)), maxIter=100,
+                    predictionCol="svm_pred", rawPredictionCol="svm_raw")
+    held = _margin(svm.fit(train_rows.filter(F.col("fold") != 0)).transform(train_rows.filter(F.col("fold") == 0)))
+    platt = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="m_vec"),
+                             LogisticRegression(featuresCol="m_vec", labelCol=label_col, predictionCol="platt_pred",
+                                                probabilityCol="svm_prob", rawPredictionCol="platt_raw")]).fit(held)
+    out = platt.transform(_margin(svm.fit(train_rows).transform(mapped(t.every))))
+    return out.select(id_col, label_col, "split", F.col("svm_pred").cast("int").alias("prediction"), vector_to_array("svm_prob")[1].alias("probability_phishing"))
+
+
 def feature_importance(t: Trained, top_n: int = 20) -> DataFrame:
     """H7: forest importances joined to the feature names, top n (n = min(20, width))."""
     imp = t.forest.stages[-1].featureImportances

@@ -530,7 +530,7 @@ SELECT doc_id, label, CASE WHEN rn < round(n_class * {L.TEST_SIZE}) THEN 'test'
          count(*) OVER (PARTITION BY toxic) AS n_class
   FROM labels)""")
 
-oracle("split_then_fit", with_views(f"""
+_TRAIN_VOCAB = f"""
 , sp AS (SELECT email_id, CASE WHEN rn < round(n_class * {L.TEST_SIZE}) THEN 'test' ELSE 'train' END AS split FROM (
   SELECT email_id, row_number() OVER (PARTITION BY label ORDER BY {_H.format(id='email_id')}, email_id) - 1 AS rn,
          count(*) OVER (PARTITION BY label) AS n_class FROM raw_mails)),
@@ -544,7 +544,8 @@ nd AS (SELECT count(*) AS n FROM sp WHERE split = 'train'),
 vocab0 AS (SELECT term, df, total FROM st, nd WHERE df >= {L.MIN_DF} AND df <= floor({L.MAX_DF} * n)
            ORDER BY total DESC, term LIMIT {L.MAX_FEATURES}),
 vocab AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS idx, df, n AS n_docs FROM vocab0, nd),
-w0 AS (SELECT tc.email_id, tc.term, v.idx,
+"""
+oracle("split_then_fit", with_views(_TRAIN_VOCAB + """w0 AS (SELECT tc.email_id, tc.term, v.idx,
               (1 + ln(tc.tf)) * (ln(CAST(v.n_docs + 1 AS DOUBLE) / CAST(v.df + 1 AS DOUBLE)) + 1) AS w
        FROM tc JOIN vocab v USING (term) JOIN sp USING (email_id) WHERE sp.split = 'test')
 SELECT email_id, term, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY email_id)), 9) AS weight FROM w0""",
@@ -657,6 +658,32 @@ SELECT conv_id, NULL::VARCHAR AS reject_reason, md5(string_agg(line, chr(10) ORD
 FROM (SELECT conv_id, lpad(turn::VARCHAR, 9, '0') || ' ' || role || ': ' || regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g') AS line
       FROM conversations) GROUP BY conv_id""")
 
+# -- trained features (vocabulary of the training split) ---------------------------------------
+_SCHEMA = _TRAIN_VOCAB.rstrip().rstrip(",") + """
+, schema_rows AS (SELECT idx, term AS name FROM vocab
+  UNION ALL SELECT (SELECT count(*) FROM vocab) + i, n FROM (VALUES """ + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_META_COLS)) + """) x(i, n))
+"""
+oracle("feature_schema", with_views(_SCHEMA + "SELECT idx::BIGINT AS idx, name FROM schema_rows", "raw_mails"))
+oracle("feature_counts", with_views(_SCHEMA + """
+SELECT (SELECT count(*) FROM vocab) AS tfidf_features, 8::BIGINT AS metadata_features, count(*) AS total_features FROM schema_rows""", "raw_mails"))
+oracle("feature_assembly", with_views(_SCHEMA + _META + """
+, fw AS (SELECT tc.email_id, v.idx, (1 + ln(tc.tf)) * (ln(CAST(v.n_docs + 1 AS DOUBLE) / CAST(v.df + 1 AS DOUBLE)) + 1) AS w
+  FROM tc JOIN vocab v USING (term))
+SELECT email_id, idx::BIGINT AS idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY email_id)), 9) AS value FROM fw
+""" + "".join(f"UNION ALL SELECT email_id, (SELECT count(*) FROM vocab) + {i}, CAST({c} AS DOUBLE) FROM meta\n" for i, c in enumerate(_META_COLS)), "raw_mails"))
+oracle("feature_align", with_views(_SCHEMA + f"""
+, c1 AS (SELECT conv_id * 1000 + turn AS msg_id, list_filter(regexp_extract_all({light('text')}, '(\\w\\w+)', 1),
+                     lambda w: length(w) >= 1 AND NOT list_contains({_STOP}, w)) AS t FROM conversations),
+c2 AS (SELECT msg_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS terms FROM c1),
+ctc AS (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest(terms) AS term FROM c2) GROUP BY 1, 2),
+cst AS (SELECT term, count(*) AS df, sum(tf) AS total FROM ctc GROUP BY 1),
+cn AS (SELECT count(*) AS n FROM conversations),
+cv AS (SELECT term, df, n FROM cst, cn WHERE df >= {L.MIN_DF} AND df <= floor({L.MAX_DF} * n) ORDER BY total DESC, term LIMIT {L.MAX_FEATURES}),
+cw AS (SELECT msg_id, term, (1 + ln(tf)) * (ln(CAST(n + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1) AS w FROM ctc JOIN cv USING (term)),
+cx AS (SELECT msg_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)), 9) AS value FROM cw)
+SELECT msg_id, idx::BIGINT AS idx, value FROM cx JOIN schema_rows ON name = term""", "raw_mails"))
+oracle("model_roundtrip", "SELECT doc_id AS email_id, TRUE AS same FROM documents")
+
 # -- dimensions -------------------------------------------------------------------------------
 _NEWEST = """
 SELECT user_id AS key, event_type AS category, value AS weight, ts AS updated_at FROM (
