@@ -533,9 +533,16 @@ def metadata_numeric(spark, sf_dir):
 
 @query
 def json_request_decode(spark, sf_dir):
-    """Decode request JSON with defaults for missing fields (PERMISSIVE: malformed -> defaults)."""
-    e = load(spark, sf_dir, "events").select("event_id", "props")
-    d = e.select("event_id", F.from_json("props", "k bigint, email_text string, actual_label int").alias("j"))
+    """Decode request JSON with defaults for missing fields (PERMISSIVE: malformed -> defaults). The
+    event payloads, which hold ``k`` only, and one request per conversation turn, some without a text or a label
+    and every 11th cut off."""
+    e = load(spark, sf_dir, "events").select("event_id", F.col("props").alias("body"))
+    i = F.col("event_id")
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), "turn", "text")
+    body = F.to_json(F.struct(F.col("turn").alias("k"), F.when(i % 7 != 0, F.col("text")).alias("email_text"),
+                              F.when(i % 3 != 0, (i % 2).cast("int")).alias("actual_label")))
+    requests = turns.select("event_id", F.when(i % 11 == 0, F.substring(body, 1, 5)).otherwise(body).alias("body"))
+    d = e.unionByName(requests).select("event_id", F.from_json("body", "k bigint, email_text string, actual_label int").alias("j"))
     return d.select("event_id", F.coalesce("j.k", F.lit(0)).cast("bigint").alias("k"),
                     F.coalesce("j.email_text", F.lit("")).alias("email_text"),
                     F.col("j.actual_label").alias("actual_label"))

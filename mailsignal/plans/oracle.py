@@ -455,7 +455,11 @@ SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE),
 oracle("json_request_decode", """
 SELECT event_id, coalesce(TRY_CAST(json_extract(props, '$.k') AS BIGINT), 0)::BIGINT AS k,
        coalesce(json_extract_string(props, '$.email_text'), '') AS email_text,
-       TRY_CAST(json_extract(props, '$.actual_label') AS INTEGER) AS actual_label FROM events""")
+       TRY_CAST(json_extract(props, '$.actual_label') AS INTEGER) AS actual_label FROM events
+UNION ALL
+SELECT i, CASE WHEN i % 11 = 0 THEN 0 ELSE turn END, CASE WHEN i % 11 = 0 OR i % 7 = 0 THEN '' ELSE coalesce(text, '') END,
+       CASE WHEN i % 11 <> 0 AND i % 3 <> 0 THEN (i % 2)::INTEGER END
+FROM (SELECT conv_id * 1000 + turn AS i, turn, text FROM conversations)""")
 
 oracle("percent_text", with_views("""
 SELECT email_id, printf('%.1f%%', rf_confidence * 100) AS confidence_text FROM scored""", "scored"))
