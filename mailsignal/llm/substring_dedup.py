@@ -130,8 +130,9 @@ def _window_rows(size: int, seed: int):
     return run
 
 
-def _cut(size: int, seed: int):
-    """Carried columns, text, gone windows, whether a copy -> carried columns, kept text, counts, spans."""
+def _cut(size: int, seed: int, layout: bool):
+    """Carried columns, text, gone windows, whether a copy -> carried columns, kept text, counts, spans. With
+    ``layout`` a text that loses nothing stays as it is."""
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
@@ -151,7 +152,8 @@ def _cut(size: int, seed: int):
                     edge[at + size] -= 1  # starts are distinct, so are ends
                     drop = np.cumsum(edge[:-1]) > 0
                 for i in range(hi - lo):
-                    every = buf[offs[i]:offs[i + 1]].tobytes().split()
+                    whole = buf[offs[i]:offs[i + 1]].tobytes()
+                    every = whole.split()
                     counts[i] = len(every)
                     mark = drop[word_offs[i]:word_offs[i + 1]] if len(owner) else drop
                     if copy[i] and len(every) >= size:
@@ -163,7 +165,7 @@ def _cut(size: int, seed: int):
                         every = [w for w, out in zip(every, mark.tolist()) if not out]
                     else:
                         spans.append([])
-                    texts.append(b" ".join(every))
+                    texts.append(whole if layout and not removed[i] else b" ".join(every))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(texts, pa.binary()).cast(pa.utf8()), pa.array(counts), pa.array(removed),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
@@ -172,10 +174,10 @@ def _cut(size: int, seed: int):
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", layout: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``row`` (struct of its columns but the text), ``kept_text`` (kept words
     joined by one space), ``n_words``, ``n_removed``, and ``spans`` (word positions of the removed maximal
-    repeats, end exclusive)."""
+    repeats, end exclusive). With ``layout`` texts that lose nothing keep their white space."""
     ship_package(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("t"),
@@ -198,7 +200,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     schema = T.StructType([base.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()),
                            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    return marked.join(gone, "d", "left").select("row", "t", "gone", "copy").mapInArrow(_cut(min_words, seed_words), schema)
+    return marked.join(gone, "d", "left").select("row", "t", "gone", "copy").mapInArrow(_cut(min_words, seed_words, layout), schema)
 
 
 def op3_substring_dedup(docs: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ def op3_substring_dedup(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut out of the texts; ``n_chars`` (where there is one) follows the new text,
-    rows of which nothing is left are dropped, untouched texts stay as they are apart from white space."""
-    out = remove_repeats(docs).where("n_words > n_removed")
+    rows of which nothing is left are dropped, texts that lose nothing stay as they are."""
+    out = remove_repeats(docs, layout=True).where("n_words > n_removed")
     fresh = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return out.select(*[(fresh[c] if c in fresh else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -168,6 +168,8 @@ def test_spans_and_columns(spark):
     cut = substring_dedup.without_repeats(docs)
     assert cut.dtypes == docs.dtypes
     assert all(words(r["text"]) and r["n_chars"] == len(r["text"]) for r in cut.collect())
+    alone = frame(spark, [(1, " two\n lines\t", "en", "a"), (2, "x", None, None)])
+    assert sorted(r["text"] for r in substring_dedup.without_repeats(alone).collect()) == [" two\n lines\t", "x"]
 
 
 # 4
