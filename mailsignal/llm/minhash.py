@@ -205,20 +205,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     by_leader = compared.groupBy(F.col("a").alias("v")).agg(F.max("b").alias("leader"), F.max("shared").alias("a"))
     facts = (near.groupBy("v").agg(F.count(F.lit(1)).alias("texts")).join(alone, "v", "left").join(by_leader, "v", "left")
              .select("v", "leader", (F.col("texts") > 1).alias("several"), F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("a", F.lit(0)).alias("a")))
-    able = open_.join(facts, "v").withColumn("u", F.col("n") - F.col("alone")).where(F.col("several") | (100 * F.col("u") >= percent * F.col("n")))
-    able = able.join(open_keys(able), "key", "left_semi")
+    # stored step by step: each step uses the one before several times, and its plan would grow with every use
+    able = stored(open_.join(facts, "v").withColumn("u", F.col("n") - F.col("alone")).where(F.col("several") | (100 * F.col("u") >= percent * F.col("n"))), "able")
+    able = stored(able.join(open_keys(able), "key", "left_semi"), "able")
     able = able.join(able.groupBy("v").agg(F.collect_set("key").alias("keys")), "v")
     most = able.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    able = able.join(most, "key").select("key", "v", "root", "main", "n", "u", "a", "leader", "several", "keys")
+    able = stored(able.join(most, "key").select("key", "v", "root", "main", "n", "u", "a", "leader", "several", "keys"), "able")
     other = able.where("root <> main").select("key", *[F.col(c).alias(c + "1") for c in ("v", "root", "n", "u", "a", "leader", "several", "keys")])
     most_shared = F.least("u", "u1", F.when(F.col("leader") == F.col("leader1"), F.least("a", "a1") + F.least(F.col("u") - F.col("a"), F.col("u1") - F.col("a1"))))
-    pairs = other.join(able, "key").where(
+    pairs = stored(other.join(able, "key").where(
         (F.col("root") != F.col("root1")) & ((F.col("root") == F.col("main")) | (F.col("v1") < F.col("v")))
         & (F.col("several") | F.col("several1") | (100 * most_shared >= percent * (F.col("n") + F.col("n1") - most_shared)))
-        & (F.array_min(F.array_intersect("keys", "keys1")) == F.col("key"))).select(F.col("v1").alias("a"), F.col("v").alias("b")).distinct()
+        & (F.array_min(F.array_intersect("keys", "keys1")) == F.col("key"))).select(F.col("v1").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
     left = pairs.join(texts.select(F.col("v").alias("a"), "t"), "a")
     more = left.join(texts.select(F.col("v").alias("b"), F.col("t").alias("u")), "b").select("a", "b", "t", "u")
-    edges = edges.union(more.mapInArrow(_verify(percent), _COMPARED).where("linked").select("a", "b"))
+    linked = stored(more.mapInArrow(_verify(percent), _COMPARED).where("linked").select("a", "b"), "links")
+    edges = edges.union(linked)
     final = stored(components(edges), "roots")
     member = classes.join(final, "v", "left").select("same", F.coalesce("root", "v").alias("root"))
     some = full.select("d", "n", "same").join(member, "same").select("d", F.col("n").alias("n_shingles"), "root")
