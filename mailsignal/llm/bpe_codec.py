@@ -24,7 +24,7 @@ from mailsignal.llm import bpe, pretokens
 from mailsignal.llm.textscan import slices
 from mailsignal.session import ship_package
 
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 RUN_BYTES = 2 << 20
 
 
