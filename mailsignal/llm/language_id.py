@@ -3,7 +3,7 @@
 Training. For each language the byte strings of 1 to ``ORDER`` + 1 bytes in its training texts are counted: a context tree
 with the counts of what followed each context. Contexts seen fewer than ``MIN_COUNT`` times are cut, so depth
 varies. Texts are whole, ASCII and Latin-1 letters are folded to lower case, and the sample is bounded: at
-most ``TEXTS`` documents per language, those with the least hash of their id.
+most ``TEXTS`` documents per language, those with the least hash of their id among the lowest few of all.
 
 Code length. After context c with n followers, q of them distinct, byte s costs -log2(n(s) / (n + q)); an unseen s
 costs the escape -log2(q / (n + q)) and what it costs after c without its first byte; at last 8 bits. Counts
@@ -78,8 +78,13 @@ def train(labelled: DataFrame, texts: int = TEXTS) -> list[tuple]:
     """(lang, size, code, n) rows of the context trees of a bounded sample of (doc, text, lang)."""
     ship_package(labelled.sparkSession)
     known = labelled.where("lang is not null and text is not null and doc is not null")
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
-    ids = known.select("doc", "lang").distinct().withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= texts).select("doc", "lang")
+    # a hash below a language's threshold first: of a hot language only about 4 * texts ids meet in one task
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << 40))
+    distinct = known.select("doc", "lang").distinct()
+    share = distinct.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * texts / F.count(F.lit(1))).alias("share"))  # one row per language
+    low = distinct.join(F.broadcast(share), "lang").where(place < F.col("share") * F.lit(float(1 << 40)))
+    least = Window.partitionBy("lang").orderBy(place, "doc")
+    ids = low.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= texts).select("doc", "lang")
     sample = known.join(F.broadcast(ids), ["doc", "lang"])  # at most ``texts`` ids per language
     counts = sample.select("lang", "text").mapInArrow(_count_rows, "lang string, size int, code long, n long")
     counts = counts.groupBy("lang", "size", "code").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_COUNT) | (F.col("size") == 1))
