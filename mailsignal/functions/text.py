@@ -8,6 +8,8 @@ that Spark and the SQL oracle read the same characters.
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ EMAIL_TOKEN = "(?<!" + NWS + ")" + NWS + r"[^@ \t\n\x0B\f\r]*+@" + NWS + "++"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_SCRIPT_STYLE = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)[ \t\n\f\r]*>"
 HTML_TAG = r"<[a-zA-Z/!?][^>]*>"
+# A character reference with or without its semicolon: decimal, hexadecimal or a name.
+REFERENCE = r"&(?:#(?:[0-9]++|[xX][0-9a-fA-F]++)(?![0-9a-fA-F])|[a-zA-Z][a-zA-Z0-9]*+);?"
+REFERENCE_BUCKETS = 64
 
 
 def _c(x) -> Column:
@@ -35,14 +40,59 @@ def squeeze_ws(c) -> Column:
     return F.trim(F.regexp_replace(_c(c), WS + "+", " "))
 
 
+def _name_table() -> list[dict[str, str]]:
+    """HTML5 reference names (without semicolon) and their characters, dealt to buckets by CRC-32, as a map is searched in order."""
+    out: list[dict[str, str]] = [{} for _ in range(REFERENCE_BUCKETS)]
+    for name, chars in html5.items():
+        name = name.rstrip(";")
+        out[crc32(name.encode()) % REFERENCE_BUCKETS][name] = chars
+    return out
+
+
+NAME_TABLE = _name_table()
+#: Numeric references to C1 controls mean the Windows-1252 characters of these bytes, where it has one.
+WINDOWS_1252 = {str(n): bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _literal_map(pairs: dict[str, str]) -> Column:
+    """One string literal, which the optimizer folds to a map; the separators are no characters of the table."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _numeric_reference(body: Column) -> Column:
+    """'#65' or '#x41' to its character; U+FFFD for zero, surrogates and what is beyond Unicode."""
+    is_hex = body.rlike("^#[xX]")
+    digits = F.regexp_replace(body, "^#[xX]?0*", "")
+    number = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    utf32 = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    short = F.length(digits).between(1, 7)      # 10FFFF is 1114111: longer ones are beyond, and would overflow
+    return F.when(short & valid, F.coalesce(F.element_at(_literal_map(WINDOWS_1252), number.cast("string")), utf32)).otherwise("\ufffd")
+
+
+def decode_references(c) -> Column:
+    """Decode every numeric and HTML5-named character reference in one pass from left to right; unknown names stay."""
+    names = F.array(*[_literal_map(b) for b in NAME_TABLE])
+
+    def one(ref: Column) -> Column:
+        body = F.translate(ref, "&;", "")
+        bucket = F.element_at(names, (F.crc32(body.cast("binary")) % REFERENCE_BUCKETS).cast("int") + 1)
+        return F.when(body.startswith("#"), _numeric_reference(body)).otherwise(F.coalesce(F.element_at(bucket, body), ref))
+
+    def every(x: Column) -> Column:
+        between, refs = F.split(x, REFERENCE, -1), F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0))
+        return F.array_join(F.zip_with(between, refs, lambda b, r: F.concat(b, F.coalesce(one(r), F.lit("")))), "")
+
+    # the one-element array evaluates the text once for all its uses
+    return F.transform(F.array(_c(c)), lambda x: F.when(x.contains("&"), every(x)).otherwise(x))[0]
+
+
 def html_to_text(c) -> Column:
-    """Drop comments, script/style blocks and tags (no separator), decode entities."""
+    """Drop comments, script/style blocks and tags (no separator), decode character references."""
     t = F.regexp_replace(_c(c), HTML_COMMENT, "")
     t = F.regexp_replace(t, HTML_SCRIPT_STYLE, "")
     t = F.regexp_replace(t, HTML_TAG, "")
-    for ent, ch in L.HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    return decode_references(t)
 
 
 def clean_text(c) -> Column:

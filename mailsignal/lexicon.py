@@ -124,7 +124,7 @@ STOP_WORDS = [
 ]
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: HTML entities decoded by the HTML-to-text step (&amp; last)
+# FIXED VALUES: HTML entities the SQL oracle decodes (&amp; last); functions/text.py decodes all of HTML5
 # ---------------------------------------------------------------------------
 HTML_ENTITIES = [
     ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
