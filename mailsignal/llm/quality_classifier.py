@@ -160,6 +160,7 @@ def held_out(id_col: str = "doc_id"):
 def op8_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
     ids = known.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    ids = ids.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # ids only: the sample is of documents that are there
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     labelled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").alias("doc"), "text", "label")
     out = score(docs.select("doc_id", "text"), train(labelled))
