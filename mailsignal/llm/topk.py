@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, chunk: i
     if not size:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     of = lambda i: F.element_at(F.create_map(*[F.lit(x) for d, s in size.items() for x in (d, s[i])]), F.col("dim"))
-    dealt = lambda i: F.pmod(F.xxhash64("v", F.lit(i)), of(i))
+    dealt = lambda i: F.pmod(F.xxhash64("v", "codes", F.lit(i)), of(i))
     chunks = (coded.where(of(0).isNotNull()).withColumn("chunk", dealt(0)).groupBy("dim", "chunk")
               .agg(F.collect_list(F.struct("v", "codes")).alias("vectors"))
               .withColumn("block", F.explode(F.sequence(F.lit(0), of(1) - 1))))
