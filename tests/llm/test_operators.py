@@ -59,7 +59,7 @@ def passages(seed, n, vocabulary=300, parts=12):
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = QUERIES[key](spark, SMALL)
     want = con.execute(ORACLE[key]).df()
