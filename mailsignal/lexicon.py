@@ -122,11 +122,3 @@ STOP_WORDS = [
     "cannot", "could", "here's", "how's", "let's", "ought", "that's", "there's", "what's", "when's",
     "where's", "who's", "why's", "would",
 ]
-
-# ---------------------------------------------------------------------------
-# FIXED VALUES: HTML entities the SQL oracle decodes (&amp; last); functions/text.py decodes all of HTML5
-# ---------------------------------------------------------------------------
-HTML_ENTITIES = [
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&amp;", "&"),
-]

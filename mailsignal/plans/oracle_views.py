@@ -6,6 +6,8 @@ prefixes a query with the CTEs it names, in dependency order.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from mailsignal import lexicon as L
 from mailsignal.sources import views as V
 
@@ -50,13 +52,31 @@ def wcount(x: str) -> str:
     return f"len(list_filter(string_split_regex(coalesce({x}, ''), {q(WS + '+')}), lambda w: w <> ''))::BIGINT"
 
 
+#: What looks like a character reference. A decimal one that runs into letters a-f is none and stays.
+REFERENCE = r"&(?:#[xX][0-9a-fA-F]+|#[0-9][0-9a-fA-F]*|[a-zA-Z][a-zA-Z0-9]*);?"
+#: Python's own table of HTML5 names, with and without semicolon, as a SQL map.
+_NAMES = sorted({n.rstrip(";"): c for n, c in html5.items()}.items())
+NAMES = f"MAP({qlist(n for n, _ in _NAMES)}, {qlist(c for _, c in _NAMES)})"
+#: The characters that numbers 128 to 159 stand for (Windows-1252); five of them are themselves.
+LOW_CONTROLS = qlist(bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(128, 160))
+
+
+def references(x: str) -> str:
+    """Every character reference of ``x`` in one pass: the text is split at them and joined with what they stand for."""
+    body = "replace(replace(r, '&', ''), ';', '')"
+    number = f"CASE WHEN lower(r)[3:3] = 'x' THEN try_cast('0x' || {body}[3:] AS BIGINT) ELSE try_cast({body}[2:] AS BIGINT) END"
+    char = (f"list_transform([{number}], lambda n: CASE WHEN n BETWEEN 128 AND 159 THEN ({LOW_CONTROLS})[(n - 127)::BIGINT] "
+            "WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111 THEN chr(n::INTEGER) ELSE chr(65533) END)[1]")
+    one = (f"CASE WHEN regexp_matches(r, '^&#[0-9]+[a-fA-F]') THEN r WHEN r[2:2] = '#' THEN {char} ELSE coalesce({NAMES}[{body}], r) END")
+    return (f"list_transform([{x}], lambda t: CASE WHEN contains(t, '&') THEN array_to_string(list_transform(list_zip(string_split_regex(t, {q(REFERENCE)}), "
+            f"list_transform(regexp_extract_all(t, {q(REFERENCE)}), lambda r: {one})), lambda z: z[1] || coalesce(z[2], '')), '') ELSE t END)[1]")
+
+
 def html_text(x: str) -> str:
     t = f"regexp_replace({x}, {q(r'(?s)<!--.*?-->')}, '', 'g')"
     t = f"regexp_replace({t}, {q(r'(?is)<(script|style)\b[^>]*>.*?</(script|style)[ \t\n\f\r]*>')}, '', 'g')"
     t = f"regexp_replace({t}, {q(r'<[a-zA-Z/!?][^>]*>')}, '', 'g')"
-    for ent, ch in L.HTML_ENTITIES:
-        t = f"replace({t}, {q(ent)}, {q(ch)})"
-    return t
+    return references(t)
 
 
 def squeeze(x: str) -> str:
