@@ -14,9 +14,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -24,13 +26,13 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from mailsignal import lexicon as L
 from mailsignal.functions import features as E
+from mailsignal.operators import forest
 from mailsignal.operators import split as G
 from mailsignal.operators import vectorize as V
 from mailsignal.session import ensure_checkpoint_dir, scratch_path, ship_package
@@ -165,24 +167,77 @@ def score(t: Trained, feats: DataFrame, id_col: str = "email_id") -> DataFrame:
     return S.ensemble(out)
 
 
-#: The grids of the reference's tuning. Its ``min_samples_split`` has no Spark equivalent, which leaves 54 distinct of 162
-#: forest settings. Unlimited depth (None) is Spark's limit of 30. The linear kernel has no gamma: 15 SVM settings.
-FOREST_GRID = {"num_trees": (50, 100, 200), "max_depth": (10, 20, None), "min_instances": (1, 2, 4), "max_features": ("sqrt", "log2")}
+#: The grids of the reference's tuning: 162 forest settings and, as the linear kernel has no gamma, 15 SVM settings.
+#: Unlimited depth (None) is Spark's limit of 30.
+FOREST_GRID = {"num_trees": (50, 100, 200), "max_depth": (10, 20, None), "min_split": (2, 5, 10), "min_instances": (1, 2, 4), "max_features": ("sqrt", "log2")}
 SVM_GRID = {"kernel": ("rbf", "linear"), "c": (0.1, 1.0, 10.0), "gamma": ("scale", "auto", 0.01, 0.1)}
-GRID_FOLDS = 3
+#: The older stack's wider grids (its folds: 5): all features, a larger C, two more gammas and the polynomial kernel.
+WIDE_FOREST_GRID = {**FOREST_GRID, "max_features": ("sqrt", "log2", "all")}
+WIDE_SVM_GRID = {"kernel": ("rbf", "linear", "poly"), "c": (0.1, 1.0, 10.0, 100.0), "gamma": ("scale", "auto", 0.001, 0.01, 0.1, 1.0)}
+GRID_FOLDS, WIDE_FOLDS = 3, 5
 DEPTH_LIMIT = 30
-_GRID_SCHEMA = ("model_name string, num_trees int, max_depth int, min_instances int, max_features string, kernel string, "
+FOREST_MEMORY_MB = 1024   # Spark's memory for the statistics of the nodes of one job; more nodes a job, fewer jobs
+ROWS_PER_TASK = 4096      # iterative fits run one job a step: a task of fewer rows costs more to start than to run
+_GRID_SCHEMA = ("model_name string, num_trees int, max_depth int, min_split int, min_instances int, max_features string, kernel string, "
                 "c double, gamma string, mean_f1 double, std_f1 double")
 
 
-def _cross_validate(rows: DataFrame, estimator, grid: list[dict], label_col: str, k: int, parallelism: int) -> list[tuple[float, float]]:
-    """(mean, population std) of class 1's F1 over the folds of ``rows``, per setting."""
-    ev = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol=estimator.getPredictionCol(),
-                                           metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k, parallelism=parallelism,
-                        collectSubModels=False)
-    model = cv.fit(rows)
-    return [(float(m), float(d)) for m, d in zip(model.avgMetrics, model.stdMetrics)]
+def _side_by_side(jobs: list, parallelism: int) -> list:
+    """Results of argument-free functions, some at a time, in order."""
+    with ThreadPool(max(1, min(parallelism, len(jobs) or 1))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(j) for j in jobs])
+
+
+def _compact(df: DataFrame, rows: int) -> DataFrame:
+    """Stored once, in as many parts as its rows need."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK))).checkpoint(eager=True)
+
+
+def stored_vectors(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, vector): a vector column as the struct it is stored as."""
+    path = scratch_path(df.sparkSession, "vectors", uuid.uuid4().hex)
+    df.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("vector")).write.parquet(path)
+    return df.sparkSession.read.schema("id long, vector struct<type:tinyint,size:int,indices:array<int>,values:array<double>>").parquet(path)
+
+
+def forest_nodes(model) -> DataFrame:
+    """The node table of a fitted forest, saved under the shared folder."""
+    spark = SparkSession.active()
+    path = scratch_path(spark, "forests", uuid.uuid4().hex)
+    model.write().save(path)
+    return forest.nodes(spark, path)
+
+
+def _forest_scores(folds: DataFrame, size: int, grid: dict, label_col: str, id_col: str, k: int, parallelism: int) -> DataFrame:
+    """F1 of every forest setting on every fold, from one fit a fold for each (min_instances, max_features): the largest number of trees,
+    grown to the largest depth; all other settings are parts of it."""
+    spark = folds.sparkSession
+    settings = [forest.Setting(*c) for c in product(grid["num_trees"], grid["max_depth"], grid["min_split"])]
+    deepest = DEPTH_LIMIT if None in grid["max_depth"] else max(grid["max_depth"])
+    vectors = stored_vectors(folds, id_col, "features")
+    label = folds.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), "fold")
+    parts = [folds.filter(F.col("fold") != f) for f in range(k)]
+
+    def job(fold: int, least: int, features: str):
+        def run():
+            rf = random_forest(label_col, num_trees=max(grid["num_trees"]), max_depth=deepest, min_instances=least)
+            fitted = rf.setFeatureSubsetStrategy(features).setMaxMemoryInMB(FOREST_MEMORY_MB).fit(parts[fold])
+            held = label.filter(F.col("fold") == fold)
+            f1 = forest.f1_by_setting(forest.votes(vectors.join(held.select("id"), "id", "left_semi"), forest_nodes(fitted), size, settings), held, settings)
+            # one number a setting; a setting without rows in this fold scores 0
+            found = {r["setting"]: r["f1"] for r in f1.collect()}
+            return [(s.trees, s.depth, s.min_split, least, features, fold, float(found.get(i, 0.0))) for i, s in enumerate(settings)]
+        return run
+
+    rows = _side_by_side([job(*c) for c in product(range(k), grid["min_instances"], grid["max_features"])], parallelism)
+    return spark.createDataFrame([r for part in rows for r in part], "num_trees int, max_depth int, min_split int, min_instances int, max_features string, fold int, f1 double")
+
+
+def _svm_f1(rows: DataFrame, features: str, c: float, label_col: str, fold: int) -> float:
+    fit = rows.filter(F.col("fold") != fold)
+    model = _svc(features, label_col, 1.0 / (c * max(fit.count(), 1))).fit(fit)
+    ev = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol="svm_pred", metricName="fMeasureByLabel", metricLabel=1.0)
+    return float(ev.evaluate(model.transform(rows.filter(F.col("fold") == fold))))
 
 
 def _gammas(scaled: DataFrame, size: int, names) -> dict:
@@ -193,38 +248,45 @@ def _gammas(scaled: DataFrame, size: int, names) -> dict:
 
 
 def grid_search(t: Trained, label_col: str = "label", id_col: str = "email_id", forest_grid: dict = FOREST_GRID,
-                svm_grid: dict = SVM_GRID, k: int = GRID_FOLDS, parallelism: int = 2) -> DataFrame:
+                svm_grid: dict = SVM_GRID, k: int = GRID_FOLDS, parallelism: int = 6) -> DataFrame:
     """H5/H6: forest and SVM grids with F1 of class 1 over ``k`` stratified folds; per setting mean and population std
-    of the fold scores. The scaler is fitted on the whole training part, as in the reference. Gaussian kernels are
-    linear ones on random Fourier features; equal gammas are fitted once and reported under each of their names."""
-    spark = t.train.sparkSession
-    folds = G.stratified_folds(t.train.drop("fold"), id_col, label_col, k=k).checkpoint(eager=True)
-    rows = []
-    rf = random_forest(label_col)
-    settings = list(product(*(forest_grid[p] for p in ("num_trees", "max_depth", "min_instances", "max_features"))))
-    grid = [{rf.numTrees: n, rf.maxDepth: DEPTH_LIMIT if d is None else d, rf.minInstancesPerNode: m, rf.featureSubsetStrategy: f}
-            for n, d, m, f in settings]
-    for (n, d, m, f), f1 in zip(settings, _cross_validate(folds, rf, grid, label_col, k, parallelism) if grid else []):
-        rows.append(("random_forest", n, d, m, f, None, None, None, *f1))
-
-    fit_rows = folds.count() * (k - 1) / k
-    scaler, size, cs = t.svm.stages[0], t.n_features + len(E.METADATA_NAMES), svm_grid["c"]
-
-    def svm_f1(df: DataFrame, features: str) -> list[tuple[float, float]]:
-        svm = _svc(features, label_col)
-        return _cross_validate(df, svm, [{svm.regParam: 1.0 / (c * max(fit_rows, 1))} for c in cs], label_col, k, parallelism)
+    of the fold scores. The scaler is fitted on the whole training part, as in the reference. Forest settings are read from one large
+    forest a fold for each (min_instances, max_features): equal in distribution to fits of their own, not bit for bit. Gaussian
+    kernels are linear ones on random Fourier features, polynomial ones on tensor sketches; equal gammas are fitted once and
+    reported under each of their names."""
+    spark, size = t.train.sparkSession, t.n_features + len(E.METADATA_NAMES)
+    n = t.train.count()
+    folds = _compact(G.stratified_folds(t.train.drop("fold"), id_col, label_col, k=k), n)
+    none = lambda kind: F.lit(None).cast(kind)
+    scores = _forest_scores(folds, size, forest_grid, label_col, id_col, k, parallelism) if all(forest_grid.values()) else None
 
+    scaler = t.svm.stages[0]
+    scaled = scaler.transform(folds)
+    spaces = {}   # (kernel, gamma) -> its rows
     if "linear" in svm_grid["kernel"]:
-        scaled = scaler.transform(folds).select(label_col, "class_weight", "fold", "scaled").checkpoint(eager=True)
-        rows += [("svm", None, None, None, None, "linear", float(c), None, *f1) for c, f1 in zip(cs, svm_f1(scaled, "scaled"))]
-    if "rbf" in svm_grid["kernel"]:
-        done: dict = {}
-        for name, gamma in _gammas(scaler.transform(folds), size, svm_grid["gamma"]).items():
-            if gamma not in done:
-                mapped = kernel_features(folds, scaler, size, id_col, gamma).select(label_col, "class_weight", "fold", "features")
-                done[gamma] = svm_f1(mapped.checkpoint(eager=True), "features")
-            rows += [("svm", None, None, None, None, "rbf", float(c), str(name), *f1) for c, f1 in zip(cs, done[gamma])]
-    return spark.createDataFrame(rows, _GRID_SCHEMA)
+        spaces["linear", None] = (_compact(scaled.select(label_col, "class_weight", "fold", "scaled"), n), "scaled")
+    gammas = _gammas(scaled, size, svm_grid["gamma"])
+    for kernel, mapped in (("rbf", kernel_features), ("poly", poly_features)):
+        if kernel in svm_grid["kernel"]:
+            for gamma in dict.fromkeys(gammas.values()):
+                rows = mapped(folds, scaler, size, id_col, gamma).select(label_col, "class_weight", "fold", "features")
+                spaces[kernel, gamma] = (_compact(rows, n), "features")
+    runs = list(product(spaces, svm_grid["c"], range(k)))
+    f1 = _side_by_side([lambda r=r: _svm_f1(*spaces[r[0]], r[1], label_col, r[2]) for r in runs], parallelism)
+    found = {r: x for r, x in zip(runs, f1)}
+    rows = []
+    for (kernel, gamma), c, fold in runs:
+        names = [None] if kernel == "linear" else [str(g) for g, value in gammas.items() if value == gamma]
+        rows += [(kernel, float(c), name, found[(kernel, gamma), c, fold]) for name in names]
+    svm = spark.createDataFrame(rows, "kernel string, c double, gamma string, f1 double")
+    stats = [F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1")]
+    order = [c.split()[0] for c in _GRID_SCHEMA.split(", ")]
+    out = (svm.groupBy("kernel", "c", "gamma").agg(*stats).withColumn("model_name", F.lit("svm"))
+           .withColumns({c: none("int") for c in ("num_trees", "max_depth", "min_split", "min_instances")}).withColumn("max_features", none("string")).select(order))
+    if scores is None:
+        return out
+    grown = scores.groupBy("num_trees", "max_depth", "min_split", "min_instances", "max_features").agg(*stats)
+    return grown.withColumn("model_name", F.lit("random_forest")).withColumns({"kernel": none("string"), "c": none("double"), "gamma": none("string")}).select(order).union(out)
 
 
 def cv_scores(t: Trained, label_col: str = "label", k: int = 5) -> DataFrame:
@@ -258,16 +320,43 @@ def fourier_features(size: int, seed: int = GAMMA_SEED, d: int = FOURIER, gamma:
     return features
 
 
+POLY_DEGREE, POLY_WIDTH, POLY_SEED = 3, 512, 23
+
+
+def tensor_sketch(size: int, gamma: float, degree: int = POLY_DEGREE, d: int = POLY_WIDTH, seed: int = POLY_SEED):
+    """Arrow-batched column function: sparse vectors (indices, values) -> tensor sketch of the kernel (gamma x.y) ** degree:
+    one count sketch a factor, multiplied in the Fourier domain, so inner products of sketches estimate the kernel."""
+    @F.pandas_udf("array<double>")
+    def features(indices: pd.Series, values: pd.Series) -> pd.Series:
+        rng = np.random.default_rng(seed)
+        cell, sign = rng.integers(0, d, (degree, size)), rng.choice([-1.0, 1.0], (degree, size))
+        out = []
+        for i, v in zip(indices, values):
+            i, v, product_ = np.asarray(i, int), np.sqrt(gamma) * np.asarray(v, float), 1.0
+            for f in range(degree):
+                product_ = product_ * np.fft.rfft(np.bincount(cell[f, i], sign[f, i] * v, d))
+            out.append(np.fft.irfft(product_, d))
+        return pd.Series(out)
+    return features
+
+
+def _mapped_features(df: DataFrame, scaler, size: int, id_col: str, function) -> DataFrame:
+    """``df`` with its ``features`` scaled and mapped by a column function of (indices, values)."""
+    ship_package(df.sparkSession)
+    raw = stored_vectors(scaler.transform(df), id_col, "scaled")   # read back as the struct a vector is stored as
+    s = F.col("vector")
+    z = function(F.when(s["type"] == 1, F.sequence(F.lit(0), F.lit(size - 1))).otherwise(s["indices"]), s["values"])
+    return df.drop("features").join(raw.select(F.col("id").alias(id_col), array_to_vector(z).alias("features")), id_col)
+
+
 def kernel_features(df: DataFrame, scaler, size: int, id_col: str, gamma: float | None = None) -> DataFrame:
     """``df`` with its ``features`` scaled and mapped to random Fourier features."""
-    ship_package(df.sparkSession)
-    path = scratch_path(df.sparkSession, "fourier", uuid.uuid4().hex)
-    scaler.transform(df).select(id_col, "scaled").write.parquet(path)   # read back as the struct a vector is stored as
-    raw = df.sparkSession.read.schema(f"{id_col} long, scaled struct<type:tinyint,size:int,indices:array<int>,values:array<double>>").parquet(path)
-    s = F.col("scaled")
-    dense = s["type"] == 1
-    z = fourier_features(size, gamma=gamma)(F.when(dense, F.sequence(F.lit(0), F.lit(size - 1))).otherwise(s["indices"]), s["values"])
-    return df.drop("features").join(raw.select(id_col, array_to_vector(z).alias("features")), id_col)
+    return _mapped_features(df, scaler, size, id_col, fourier_features(size, gamma=gamma))
+
+
+def poly_features(df: DataFrame, scaler, size: int, id_col: str, gamma: float) -> DataFrame:
+    """``df`` with its ``features`` scaled and mapped to tensor sketches of the polynomial kernel of degree 3."""
+    return _mapped_features(df, scaler, size, id_col, tensor_sketch(size, gamma))
 
 
 def _svc(features: str, label_col: str, reg: float = 0.0) -> LinearSVC:
