@@ -11,7 +11,7 @@ Candidates. ``BANDS`` bands of ``BINS / BANDS`` coordinates are hashed to bucket
 of 32 bands of 4 with probability 5e-6.
 
 Links without all pairs.
-1. Equal word sequences are one class; its smallest id is a vertex.
+1. Equal word sequences are one class and one vertex; its number is the class's smallest id (where an id has several texts, a code for all but one).
 2. Star round: each bucket names its most central member (largest sum of its bucket sizes), and each
    vertex is compared with the most central of its buckets' leaders only. Verified links are joined
    to components.
@@ -21,12 +21,14 @@ Links without all pairs.
    alone. Two vertices of one leader share at most min(a) + min(e), any two at most min(a + e). Pairs of
    different components that could still reach the limit under these bounds are all verified, each in the
    first bucket it shares. So no pair of a bucket goes unexamined: it is in one component, or excluded by an
-   exact bound, or compared on full sets. An id with several texts is never excluded.
+   exact bound, or compared on full sets.
 
 Verification compares the full sets of 64-bit shingle hashes. Texts of candidates are stored once in
-the shared folder. Null text counts as empty; a text without words is linked with nothing. Rows of one
-id count as one document; a null id is replaced by a code of its text above every real id (2^62 up) and
-is no component's smallest id unless nothing else is there (then component_id is null).
+the shared folder, whole, of any length. Null text counts as empty; a text without words is linked with nothing. Components are found on
+texts. ``op4_minhash_near_dedup`` then counts the rows of one id as one document and joins the components of its texts;
+``one_of_each`` keeps one row of each component of texts, so an id with two unlike texts loses neither. A null id is replaced by a
+code of its text above every real id (2^62 up; real ids lie below 2^61) and is no component's smallest id unless nothing else is there (then
+component_id is null). Empty tables give no rows; extra columns never matter.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from mailsignal.session import ship_package
 SHINGLE = 5
 PERCENT = 75
 BINS, BANDS = 128, 32
-NO_ID = 1 << 62
+NO_ID, NO_VERTEX = 1 << 62, 1 << 61
 _GROUP = 256  # texts sketched at a time: text and bin take 15 bits of a packed word
 _SEED = np.random.default_rng(0xB1A5).integers(1, 1 << 63, (2 * BINS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -124,8 +126,8 @@ def _sketch_rows(batches):
             used = count > 0
             offsets = np.concatenate(([0], np.cumsum(np.where(used, BANDS, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(same, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[used].reshape(-1)))], names=["d", "n", "same", "bands"])
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(same, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[used].reshape(-1)))], names=["d", "h", "n", "same", "bands"])
 
 
 def _shingle_rows(batches):
@@ -169,13 +171,18 @@ def _identified(docs: DataFrame, id_col: str, text_col: str):
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: d (id or code), n_shingles, root (the least d of its component)."""
+    """One row per row of ``docs``: d (id or code), h (hash of the text), n_shingles, root (a number of its component of texts; null for
+    a text without words)."""
     ship_package(docs.sparkSession)
-    base = docs.select(_identified(docs, id_col, text_col).alias("d"), F.col(text_col).alias("t"))
-    rows = stored(base.mapInArrow(_sketch_rows, "d long, n long, same binary, bands array<long>"), "sketches")
+    base = docs.select(_identified(docs, id_col, text_col).alias("d"), F.col(text_col).alias("t"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    rows = stored(base.mapInArrow(_sketch_rows, "d long, h long, n long, same binary, bands array<long>"), "sketches")
     full = rows.where("n > 0")
-    classes = full.groupBy("same").agg(F.min("d").alias("v"))
-    vertices = full.join(classes.withColumn("d", F.col("v")), ["same", "d"])
+    least_id = full.groupBy("same").agg(F.min("d").alias("d"))
+    one = full.join(least_id, ["same", "d"]).groupBy("same", "d").agg(F.min(F.struct("h", "n", "bands")).alias("one")).select("same", "d", "one.*")
+    first_of = one.groupBy("d").agg(F.min("h").alias("first"))   # an id may be the smallest one of several classes
+    code = F.lit(NO_VERTEX) + F.xxhash64("same").bitwiseAND(F.lit((1 << 60) - 1))
+    vertices = stored(one.join(first_of, "d").withColumn("v", F.when(F.col("h") == F.col("first"), F.col("d")).otherwise(code)).drop("first"), "vertices")
+    classes = vertices.select("same", "v")
     in_band = vertices.select("v", "n", F.explode("bands").alias("key"))
     crowded = in_band.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(in_band.join(crowded, "key").select("key", "v", "n", "size"), "members")
@@ -186,7 +193,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     named = members.select("key", "v").join(heads, "key").where(F.col("v") != -F.col("head.v"))
     choice = named.groupBy("v").agg((-F.max("head").getField("v")).alias("leader"))
     choice = weight.select("v").join(choice, "v", "left")
-    texts = stored(base.join(choice, base["d"] == choice["v"]).select("v", "leader", "t").dropDuplicates(["v", "t"]), "texts")
+    chosen = choice.join(vertices.select("v", "d", "h"), "v")
+    texts = stored(base.join(chosen, ["d", "h"]).select("v", "leader", "t").dropDuplicates(["v"]), "texts")
     own = texts.where("leader is not null").select("v", "leader", "t")
     led = texts.select(F.col("v").alias("leader"), F.col("t").alias("u")).join(own.select("leader").distinct(), "leader", "left_semi")
     compared = stored(own.join(led, "leader").select("v", "leader", "t", "u").mapInArrow(_verify(percent), _COMPARED), "links")
@@ -203,19 +211,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
              .groupBy("shingle").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v = w")
              .groupBy("v").agg(F.count(F.lit(1)).alias("alone")))
     by_leader = compared.groupBy(F.col("a").alias("v")).agg(F.max("b").alias("leader"), F.max("shared").alias("a"))
-    facts = (near.groupBy("v").agg(F.count(F.lit(1)).alias("texts")).join(alone, "v", "left").join(by_leader, "v", "left")
-             .select("v", "leader", (F.col("texts") > 1).alias("several"), F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("a", F.lit(0)).alias("a")))
+    facts = (near.select("v").join(alone, "v", "left").join(by_leader, "v", "left")
+             .select("v", "leader", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("a", F.lit(0)).alias("a")))
     # stored step by step: each step uses the one before several times, and its plan would grow with every use
-    able = stored(open_.join(facts, "v").withColumn("u", F.col("n") - F.col("alone")).where(F.col("several") | (100 * F.col("u") >= percent * F.col("n"))), "able")
+    able = stored(open_.join(facts, "v").withColumn("u", F.col("n") - F.col("alone")).where(100 * F.col("u") >= percent * F.col("n")), "able")
     able = stored(able.join(open_keys(able), "key", "left_semi"), "able")
     able = able.join(able.groupBy("v").agg(F.collect_set("key").alias("keys")), "v")
     most = able.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    able = stored(able.join(most, "key").select("key", "v", "root", "main", "n", "u", "a", "leader", "several", "keys"), "able")
-    other = able.where("root <> main").select("key", *[F.col(c).alias(c + "1") for c in ("v", "root", "n", "u", "a", "leader", "several", "keys")])
+    able = stored(able.join(most, "key").select("key", "v", "root", "main", "n", "u", "a", "leader", "keys"), "able")
+    other = able.where("root <> main").select("key", *[F.col(c).alias(c + "1") for c in ("v", "root", "n", "u", "a", "leader", "keys")])
     most_shared = F.least("u", "u1", F.when(F.col("leader") == F.col("leader1"), F.least("a", "a1") + F.least(F.col("u") - F.col("a"), F.col("u1") - F.col("a1"))))
     pairs = stored(other.join(able, "key").where(
         (F.col("root") != F.col("root1")) & ((F.col("root") == F.col("main")) | (F.col("v1") < F.col("v")))
-        & (F.col("several") | F.col("several1") | (100 * most_shared >= percent * (F.col("n") + F.col("n1") - most_shared)))
+        & (100 * most_shared >= percent * (F.col("n") + F.col("n1") - most_shared))
         & (F.array_min(F.array_intersect("keys", "keys1")) == F.col("key"))).select(F.col("v1").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
     left = pairs.join(texts.select(F.col("v").alias("a"), "t"), "a")
     more = left.join(texts.select(F.col("v").alias("b"), F.col("t").alias("u")), "b").select("a", "b", "t", "u")
@@ -223,23 +231,45 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     edges = edges.union(linked)
     final = stored(components(edges), "roots")
     member = classes.join(final, "v", "left").select("same", F.coalesce("root", "v").alias("root"))
-    some = full.select("d", "n", "same").join(member, "same").select("d", F.col("n").alias("n_shingles"), "root")
-    return some.union(rows.where("n = 0").select("d", "n", "d"))
+    some = full.select("d", "h", "n", "same").join(member, "same").select("d", "h", F.col("n").alias("n_shingles"), "root")
+    return some.union(rows.where("n = 0").select("d", "h", "n", F.lit(None).cast("long")))
 
 
 def _real(c: str):
     return F.when(F.col(c) < NO_ID, F.col(c))
 
 
+def _by_document(found: DataFrame) -> DataFrame:
+    """Rows of ``near_duplicates`` -> d, n_shingles, least: the smallest d of the component when rows of one id are one document."""
+    found = stored(found, "rows")
+    held = found.where("root is not null").select("d", "root").distinct()
+    least = held.groupBy("root").agg(F.min("d").alias("least"))
+    several = held.groupBy("d").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("d", "a")
+    joined = stored(components(held.join(several, "d").where("a <> root").select("a", F.col("root").alias("b"))), "ids")
+    top = F.coalesce("top", "root")
+    least = least.join(joined.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", top)
+    least = least.join(least.groupBy("top").agg(F.min("least").alias("all")), "top").select("root", F.col("all").alias("least"))
+    full = found.where("root is not null").join(least, "root").select("d", "n_shingles", "least")
+    # a text without words belongs with its id's other texts, if any
+    of_id = held.join(least, "root").select("d", "least").distinct()
+    bare = found.where("root is null").join(of_id, "d", "left").select("d", "n_shingles", F.coalesce("least", "d").alias("least"))
+    return full.union(bare)
+
+
 def op4_minhash_near_dedup(docs: DataFrame) -> DataFrame:
-    out = near_duplicates(docs.select("doc_id", "text"))
-    return out.select(_real("d").alias("doc_id"), "n_shingles", _real("root").alias("component_id"), (F.col("d") == F.col("root")).alias("kept"))
+    out = _by_document(near_duplicates(docs.select("doc_id", "text")))
+    return out.select(_real("d").alias("doc_id"), "n_shingles", _real("least").alias("component_id"), (F.col("d") == F.col("least")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, all columns; of rows with one id the one with
-    the least text hash."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("d = root").select("d").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _identified(docs, "doc_id", "text").alias("d"))
-    w = Window.partitionBy("d").orderBy(F.xxhash64("row.text"))
-    return rows.join(kept, "d").withColumn("rank", F.row_number().over(w)).where("rank = 1").select("row.*")
+    """One row of each component of texts, all columns: the smallest id's, of its texts there the one with the least hash. Texts without words
+    stay once an id."""
+    found = stored(near_duplicates(docs.select("doc_id", "text")), "rows")
+    best = F.min(F.struct("d", "h")).alias("best")
+    kept = found.where("root is not null").groupBy("root").agg(best).union(found.where("root is null").groupBy("d").agg(best)).select("best.*").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _identified(docs, "doc_id", "text").alias("d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
+    # of rows alike in id and text one stays: numbered per task first, so that no task gets all of them
+    turn = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
+    many = rows.join(kept, ["d", "h"]).withColumns({"at": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
+    few = many.withColumn("turn", turn("d", "h", "part")).where("turn = 1")
+    return few.withColumn("turn", turn("d", "h")).where("turn = 1").select("row.*")

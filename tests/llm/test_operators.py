@@ -198,6 +198,53 @@ def brute_near(rows):
     return sorted(((r[0], len(sets[a]), least.get(find(a))) for a, r in enumerate(rows)), key=str)
 
 
+def check_one_of_each(rows, kept):
+    """One row of each component of texts: the smallest id's; texts without words once an id."""
+    texts = [(i, t) for i, t, *_ in rows]
+    sets = [shingle_set(t) for _, t in texts]
+    label = list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                label[find(a)] = find(b)
+    groups = {}
+    for a, r in enumerate(texts):
+        groups.setdefault(find(a) if sets[a] else ("bare", r[0] if r[0] is not None else r[1]), []).append(r)
+    assert len(kept) == len(groups)
+    for members in groups.values():
+        held = [k for k in kept if k in members]
+        known = [m[0] for m in members if m[0] is not None]
+        assert len(held) >= 1 and (not known or min(known) in [h[0] for h in held])
+
+
+def test_ids_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a, "en", "x"), (7, a, "en", "x"), (7, b, "en", "x"), (9, b + " more", "en", "x")]
+    got = minhash.op4_minhash_near_dedup(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(3, 3, True), (7, 3, False), (9, 3, False)} and len(got) == 4
+    assert {(r["doc_id"], r["text"]) for r in minhash.one_of_each(frame(spark, rows)).collect()} == {(3, a), (7, b)}
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_random_repeated_ids(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(60), t, g, s) for _, t, g, s in families(seed, 8, 10) + passages(seed, 40)]
+    rows += rng.choices(rows, k=20) + [(5, None, "en", "x"), (5, "", "en", "x"), (77, " ", "en", "x"), (77, None, "en", "x")] + [(8, rows[0][1].upper(), "en", "x")] * 3
+    got = minhash.op4_minhash_near_dedup(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_near(rows)
+    of_id = {}
+    for r in got:
+        of_id.setdefault(r["doc_id"], set()).add((r["component_id"], r["kept"]))
+    assert all(len(v) == 1 for v in of_id.values())
+    check_one_of_each(rows, [(r["doc_id"], r["text"]) for r in minhash.one_of_each(frame(spark, rows)).collect()])
+
+
 def families(seed, groups, copies):
     """Groups of near copies at all distances around the limit, so that many members miss each other or the centre."""
     rng = random.Random(seed)
@@ -219,9 +266,7 @@ def test_near_duplicates(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
     kept = minhash.one_of_each(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    want = {r[2] for r in brute_near(rows)}
-    assert set(ids) - {None} == want - {None} and len(ids) == len(set(ids))
+    check_one_of_each(rows, [(r["doc_id"], r["text"]) for r in kept.collect()])
     assert minhash.op4_minhash_near_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
