@@ -21,6 +21,13 @@ def cutoff(as_of: str, days: int = 0, hours: int = 0) -> Column:
     return ts(as_of) - F.make_dt_interval(days=F.lit(days), hours=F.lit(hours))
 
 
+def since(log: DataFrame, as_of: str, days: int = 0, hours: int = 0) -> DataFrame:
+    """Rows of the look-back window; a stored log's earlier days are not read."""
+    cut = cutoff(as_of, days=days, hours=hours)
+    rows = log.filter(F.col("timestamp") >= cut)
+    return rows.filter(F.col("day") >= F.to_date(cut)) if "day" in log.columns else rows
+
+
 def _ratio_pct(num: Column, den: Column, scale: int = 2) -> Column:
     return F.coalesce(F.round(F.try_divide(num.cast("double"), den.cast("double")) * 100.0, scale), F.lit(0.0))
 
@@ -48,7 +55,7 @@ def tracker_overall(tracker: DataFrame) -> DataFrame:
 
 def tracker_recent(tracker: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """K2: the same three counts inside the look-back window."""
-    recent = tracker.filter(F.col("timestamp") >= cutoff(as_of, hours=hours))
+    recent = since(tracker, as_of, hours=hours)
     return recent.agg(
         F.count(F.lit(1)).cast("bigint").alias("recent_total"),
         F.count("actual_label").cast("bigint").alias("recent_labeled"),
@@ -58,7 +65,7 @@ def tracker_recent(tracker: DataFrame, as_of: str, hours: int = 24) -> DataFrame
 
 def class_breakdown(tracker: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """K3: count and average confidence per predicted class in the window."""
-    recent = tracker.filter(F.col("timestamp") >= cutoff(as_of, hours=hours))
+    recent = since(tracker, as_of, hours=hours)
     return (recent.groupBy("prediction")
             .agg(F.count(F.lit(1)).cast("bigint").alias("count"),
                  F.coalesce(round_avg("confidence", 3), F.lit(0.0)).alias("avg_confidence"))
@@ -68,7 +75,7 @@ def class_breakdown(tracker: DataFrame, as_of: str, hours: int = 24) -> DataFram
 
 def confidence_bins(tracker: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """K4: >= 0.9 high, [0.7, 0.9) medium, < 0.7 low."""
-    recent = tracker.filter(F.col("timestamp") >= cutoff(as_of, hours=hours))
+    recent = since(tracker, as_of, hours=hours)
     c = F.col("confidence")
     return recent.agg(
         _count_if(c >= 0.9).alias("high_confidence"),
@@ -107,7 +114,7 @@ def accuracy_trend(tracker: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 def prediction_statistics(preds: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """K6: ensemble rows of the last ``days`` days; zeros when empty."""
-    p = preds.filter((F.col("model_name") == "ensemble") & (F.col("timestamp") >= cutoff(as_of, days=days)))
+    p = since(preds, as_of, days=days).filter(F.col("model_name") == "ensemble")
     agg = p.agg(F.count(F.lit(1)).cast("bigint").alias("total_predictions"),
                 _count_if(F.col("prediction") == 1).alias("phishing_detected"),
                 F.avg("confidence").alias("_avg"),
@@ -133,7 +140,7 @@ def model_performance(preds: DataFrame, models=L.MODEL_NAMES) -> DataFrame:
 
 def model_daily_summary(preds: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """K8: by model and day over the last ``days`` days (newest day first, then model)."""
-    p = preds.filter(F.col("timestamp") >= cutoff(as_of, days=days))
+    p = since(preds, as_of, days=days)
     return (p.groupBy("model_name", F.to_date("timestamp").alias("prediction_date"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("total_predictions"),
                  _count_if(F.col("prediction") == 1).alias("phishing_detected"),
@@ -144,7 +151,7 @@ def model_daily_summary(preds: DataFrame, as_of: str, days: int = 30) -> DataFra
 
 def daily_statistics(preds: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """K9: ensemble rows by day over the last ``days`` days."""
-    p = preds.filter((F.col("model_name") == "ensemble") & (F.col("timestamp") >= cutoff(as_of, days=days)))
+    p = since(preds, as_of, days=days).filter(F.col("model_name") == "ensemble")
     return (p.groupBy(F.to_date("timestamp").alias("date"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("total_emails"),
                  _count_if(F.col("prediction") == 1).alias("phishing_count"),
@@ -156,8 +163,7 @@ def daily_statistics(preds: DataFrame, as_of: str, days: int = 90) -> DataFrame:
 
 def recent_phishing(emails: DataFrame, preds: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Ensemble phishing rows of the last ``days`` days joined to their mail, newest first."""
-    p = preds.filter((F.col("model_name") == "ensemble") & (F.col("prediction") == 1)
-                     & (F.col("timestamp") >= cutoff(as_of, days=days)))
+    p = since(preds, as_of, days=days).filter((F.col("model_name") == "ensemble") & (F.col("prediction") == 1))
     e = emails.select("id", "sender_email", "subject")
     return (e.join(p.select("email_id", "prediction_label", "confidence", "risk_score", "timestamp"),
                    e["id"] == p["email_id"], "inner")

@@ -112,18 +112,18 @@ def emails_table(spark, sf_dir):
 
 @query
 def prediction_fanout(spark, sf_dir):
-    p = logs.predictions(spark, sf_dir)
+    p = logs.stored(spark, sf_dir, "predictions").drop("day", "batch")
     return p.withColumn("suspicious_indicators", F.array_join("suspicious_indicators", "; "))
 
 
 @query
 def activity_log(spark, sf_dir):
-    return logs.activity(spark, sf_dir)
+    return logs.stored(spark, sf_dir, "user_activity").drop("day", "batch")
 
 
 @query
 def tracker_correct_flag(spark, sf_dir):
-    return logs.tracker(spark, sf_dir).select("id", "prediction", "actual_label", "correct")
+    return logs.stored(spark, sf_dir, "tracker").select("id", "prediction", "actual_label", "correct")
 
 
 # -- scoring (I2-I10) -----------------------------------------------------------------
@@ -210,37 +210,37 @@ def accuracy_trend(spark, sf_dir):
 
 @query
 def prediction_statistics(spark, sf_dir):
-    return K.prediction_statistics(logs.predictions(spark, sf_dir), MAIL_AS_OF, days=30)
+    return K.prediction_statistics(logs.stored(spark, sf_dir, "predictions"), MAIL_AS_OF, days=30)
 
 
 @query
 def model_performance(spark, sf_dir):
-    return K.model_performance(logs.predictions(spark, sf_dir))
+    return K.model_performance(logs.stored(spark, sf_dir, "predictions"))
 
 
 @query
 def model_daily_summary(spark, sf_dir):
-    return K.model_daily_summary(logs.predictions(spark, sf_dir), MAIL_AS_OF, days=30)
+    return K.model_daily_summary(logs.stored(spark, sf_dir, "predictions"), MAIL_AS_OF, days=30)
 
 
 @query
 def daily_statistics(spark, sf_dir):
-    return K.daily_statistics(logs.predictions(spark, sf_dir), MAIL_AS_OF, days=90)
+    return K.daily_statistics(logs.stored(spark, sf_dir, "predictions"), MAIL_AS_OF, days=90)
 
 
 @query
 def recent_phishing(spark, sf_dir):
-    return K.recent_phishing(logs.emails(spark, sf_dir), logs.predictions(spark, sf_dir), MAIL_AS_OF, days=30)
+    return K.recent_phishing(logs.stored(spark, sf_dir, "emails"), logs.stored(spark, sf_dir, "predictions"), MAIL_AS_OF, days=30)
 
 
 @query
 def recent_predictions(spark, sf_dir):
-    return K.recent_predictions(logs.emails(spark, sf_dir), logs.predictions(spark, sf_dir), limit=50)
+    return K.recent_predictions(logs.stored(spark, sf_dir, "emails"), logs.stored(spark, sf_dir, "predictions"), limit=50)
 
 
 @query
 def model_titles(spark, sf_dir):
-    p = logs.predictions(spark, sf_dir).select("model_name").distinct()
+    p = logs.stored(spark, sf_dir, "predictions").select("model_name").distinct()
     return K.model_titles(p)
 
 
@@ -277,34 +277,50 @@ def feedback_valid(spark, sf_dir):
 
 @query
 def orphan_emails(spark, sf_dir):
-    return R.orphan_emails(logs.emails(spark, sf_dir), logs.predictions(spark, sf_dir), MAIL_AS_OF, days=90) \
-        .select("id", "timestamp")
+    """L3 on a log whose oldest days an earlier clean-up has removed."""
+    left = logs.stored(spark, sf_dir, "predictions").filter(F.col("day") >= F.lit(views.CLEANED_UP_TO).cast("date"))
+    return R.orphan_emails(logs.stored(spark, sf_dir, "emails"), left, MAIL_AS_OF, days=90).select("id", "timestamp")
 
 
 @query
 def orphan_predictions(spark, sf_dir):
-    return R.orphan_predictions(logs.emails(spark, sf_dir), logs.predictions(spark, sf_dir)) \
+    return R.orphan_predictions(logs.stored(spark, sf_dir, "emails"), logs.stored(spark, sf_dir, "predictions")) \
         .select("id", "email_id", "model_name")
 
 
+def _cleaned(spark, sf_dir):
+    """The stored logs, and a store of its own with the same rows after a clean-up of 90 days (both done once)."""
+    from mailsignal.sources.store import LogStore
+    full = logs.store(spark, sf_dir)
+    mine = LogStore(spark, full.root + "-cleaned")
+    mine.append("load", **{t: full.read(t).drop("day", "batch") for t in ("emails", "predictions", "user_activity")})
+    mine.retention(MAIL_AS_OF, days=90)
+    return full, mine
+
+
 @query
 def retention_keep(spark, sf_dir):
-    ke, _, _ = R.retention(logs.emails(spark, sf_dir), logs.predictions(spark, sf_dir),
-                           logs.activity(spark, sf_dir), MAIL_AS_OF, days=90)
-    return ke.select("id", "timestamp")
+    """The mails that the rewritten store still holds."""
+    return _cleaned(spark, sf_dir)[1].read("emails").select("id", "timestamp")
 
 
 @query
 def retention_counts(spark, sf_dir):
-    return R.retention_counts(logs.emails(spark, sf_dir), logs.predictions(spark, sf_dir),
-                              logs.activity(spark, sf_dir), MAIL_AS_OF, days=90)
+    """Rows deleted per table, by what the store held before and holds after its clean-up."""
+    full, mine = _cleaned(spark, sf_dir)
+    out = None
+    for t in ("user_activity", "predictions", "emails"):
+        n = lambda store, sign: store.read(t).agg((sign * F.count(F.lit(1))).alias("n"))  # noqa: E731,B023
+        one = n(full, 1).unionByName(n(mine, -1)).agg(F.sum("n").cast("bigint").alias("deleted")).select(F.lit(t).alias("table_name"), "deleted")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
 def retention_cascade(spark, sf_dir):
-    ke, kp, _ = R.retention(logs.emails(spark, sf_dir), logs.predictions(spark, sf_dir),
-                            logs.activity(spark, sf_dir), MAIL_AS_OF, days=90)
-    return R.retention_cascade(ke, kp).select("id", "email_id", "model_name")
+    """Predictions left in the rewritten store whose mail is left as well."""
+    mine = _cleaned(spark, sf_dir)[1]
+    return R.retention_cascade(mine.read("emails"), mine.read("predictions")).select("id", "email_id", "model_name")
 
 
 # -- dictionaries (L4, L5) ------------------------------------------------------------

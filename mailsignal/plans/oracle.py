@@ -253,9 +253,9 @@ SELECT event_id, email_hash, TRY_CAST(actual_label AS INTEGER) AS actual_label F
 WHERE email_hash IS NOT NULL AND email_hash <> '' AND TRY_CAST(actual_label AS INTEGER) IS NOT NULL""")
 
 oracle("orphan_emails", with_views(f"""
-SELECT id, timestamp FROM emails
+SELECT id, timestamp FROM emails e
 WHERE {_since(90).replace('>=', '<')}
-  AND id NOT IN (SELECT DISTINCT email_id FROM predictions WHERE email_id IS NOT NULL)""", "emails", "predictions"))
+  AND NOT EXISTS (SELECT 1 FROM predictions p WHERE p.email_id = e.id AND p.timestamp >= TIMESTAMP '{V.CLEANED_UP_TO}')""", "emails", "predictions"))
 
 oracle("orphan_predictions", with_views("""
 SELECT id, email_id, model_name FROM predictions p

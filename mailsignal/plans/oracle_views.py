@@ -190,7 +190,7 @@ predictions AS (
          model_name, CAST(prediction AS INTEGER) AS prediction, prediction_label,
          CAST(confidence AS DOUBLE) AS confidence, CAST(probability_legitimate AS DOUBLE) AS probability_legitimate,
          CAST(probability_phishing AS DOUBLE) AS probability_phishing, risk_score, suspicious_indicators, timestamp
-  FROM fan WHERE email_id % 31 <> 7
+  FROM fan
 )"""
 
 EMAILS = f"""

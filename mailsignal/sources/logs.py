@@ -1,6 +1,5 @@
-"""The analytics tables (emails, predictions, activity, tracker, feedback) as the
-scoring job would write them, derived from the driver tables through the
-library's own operators."""
+"""The analytics tables (emails, predictions, activity, tracker, feedback) as the scoring job writes them, derived from the
+driver tables through the library's own operators, and the store that reports read them from."""
 
 from __future__ import annotations
 
@@ -8,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsignal.operators import parse, score
+from mailsignal.session import scratch_path
 from mailsignal.sources import views
+from mailsignal.sources.store import LogStore, fingerprint
 
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +27,9 @@ def scored_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``predictions`` log (A5): three rows per scored mail. Every 31st mail has not been scored yet, and a few
-    rows carry a null or an unknown mail id, as a log written by independent requests can."""
-    p = score.fan_out(scored_mails(spark, sf_dir).filter(F.col("email_id") % 31 != 7))
+    """``predictions`` log (A5): three rows for each mail that is not blank. A few rows carry a null or an unknown mail id, as a log written
+    by independent requests can."""
+    p = score.fan_out(scored_mails(spark, sf_dir))
     eid = F.col("email_id")
     bad = (F.when(eid % 103 == 0, F.lit(None).cast("bigint"))
             .when(eid % 101 == 0, -eid - 1).otherwise(eid))
@@ -52,3 +53,19 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 tracker = views.tracker
 feedback = views.feedback
+
+
+def store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """The stored logs of the mails and events under ``sf_dir``. The folder's name tells the input files, and
+    batches are appended once, so the first report of a session fills it and the others read it."""
+    key = fingerprint(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/events.parquet")
+    out = LogStore(spark, scratch_path(spark, "logs", key))
+    live = out.snapshot().get("emails", {}).get("batches", {})
+    if "load" not in live:
+        preds, tracked = predictions(spark, sf_dir), tracker(spark, sf_dir)
+        out.append("load", emails=emails(spark, sf_dir), predictions=preds, user_activity=activity(spark, sf_dir), tracker=tracked)
+    return out
+
+
+def stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return store(spark, sf_dir).read(table)
