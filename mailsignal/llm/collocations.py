@@ -41,8 +41,9 @@ from mailsignal.session import ship_package
 
 MIN_COUNT, LIMIT, DROP_PERCENT = 10, 2000, 50
 SCALE = 1_000_000
-SLICE = 4 << 20
-BITS = 25
+SLICE = 1 << 20
+ROWS = 1 << 16  # rows of one batch sent on
+BITS = 24
 UNKNOWN = "und"
 
 _KIND = np.zeros(256, np.uint8)  # 1: blank, 2: end of a piece
@@ -103,7 +104,8 @@ class _Words:
     def strings(self, at: np.ndarray, k: int) -> pa.Array:
         a, b = self.start[at], self.end[at + k - 1]
         offs = np.concatenate(([0], np.cumsum(b - a)))
-        data = self.bytes[np.arange(offs[-1]) - np.repeat(offs[:-1] - a, b - a)]
+        kind = np.int32 if offs[-1] < 1 << 31 and len(self.bytes) < 1 << 31 else np.int64
+        data = self.bytes[np.arange(offs[-1], dtype=kind) - np.repeat((offs[:-1] - a).astype(kind), b - a)]
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
 
 
@@ -114,11 +116,13 @@ def _hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _count_rows(k: int, sets):
     """(lang, text) -> (lang, phrase, n) of each slice; with k = 1 the empty phrase counts all words."""
+    names = ["lang", "phrase", "n"]
+
     def run(batches):
-        known: dict[str, int] = {}
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
-            codes = np.array([known.setdefault(g, _lang_code(g)) for g in names], np.uint64)
+            coded = batch.column(0).dictionary_encode()
+            langs, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            codes = np.array([_lang_code(g) for g in langs.to_pylist()], np.uint64)[which]
             for lo, hi, buf, offs in slices(batch.column(1), SLICE):
                 w = _Words(buf, offs, codes[lo:hi])
                 at = w.grams(k)
@@ -132,11 +136,13 @@ def _count_rows(k: int, sets):
                         x, y = at, at + 1
                         at = at[has["all"][x] & has["all"][y] & ((has["left"][x] & has["right"][y]) | has["top"][x] | has["top"][y])]
                 if len(at):
-                    first, n = w.counted(at, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi][w.text[first]], pa.string()), w.strings(first, k), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                    every, n = w.counted(at, k)
+                    for i in range(0, len(every), ROWS):
+                        first = every[i:i + ROWS]
+                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(which[lo + w.text[first]])), w.strings(first, k), pa.array(n[i:i + ROWS], pa.int64())], names=names)
                 if k == 1 and w.count:
-                    per, where = np.unique(names[lo:hi][w.text].astype(str), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(per, pa.string()), pa.array([""] * len(per)), pa.array(where, pa.int64())], names=["lang", "phrase", "n"])
+                    per, where = np.unique(which[lo + w.text], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(per)), pa.array([""] * len(per)), pa.array(where, pa.int64())], names=names)
     return run
 
 
