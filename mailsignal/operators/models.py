@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -20,19 +21,19 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from mailsignal import lexicon as L
 from mailsignal.functions import features as E
-from mailsignal.operators import forest
+from mailsignal.operators import forest, scorers
 from mailsignal.operators import split as G
 from mailsignal.operators import vectorize as V
 from mailsignal.session import ensure_checkpoint_dir, scratch_path, ship_package
@@ -138,17 +139,17 @@ def train(corpus: DataFrame, id_col: str = "email_id", text_col: str = "raw_text
     s, vocab, n_terms = fitted or fit_features(corpus, id_col, text_col, label_col)
     every = feature_frame(s, vocab, id_col, text_col, label_col, n_terms).checkpoint(eager=True)
     tr = G.class_weights(every.filter(F.col("split") == "train"), label_col)
-    tr = G.stratified_folds(tr, id_col, label_col, k=5).checkpoint(eager=True)
-    te = every.filter(F.col("split") == "test")
-    forest = Pipeline(stages=[random_forest(label_col, num_trees=num_trees, max_depth=max_depth)]).fit(tr)
     n = tr.count()
+    tr = _compact(G.stratified_folds(tr, id_col, label_col, k=5), n)
+    te = every.filter(F.col("split") == "test")
+    grown = random_forest(label_col, num_trees=num_trees, max_depth=max_depth).setMaxMemoryInMB(FOREST_MEMORY_MB)
     # Platt scaling without leakage: SVM on folds 1-4, calibrator on fold 0's margins
-    svm_cal = linear_svm(n).fit(tr.filter(F.col("fold") != 0))
+    forest, svm_cal, svm = _side_by_side([lambda: Pipeline(stages=[grown]).fit(tr), lambda: linear_svm(n).fit(tr.filter(F.col("fold") != 0)),
+                                          lambda: linear_svm(n).fit(tr)], 3)
     held = _margin(svm_cal.transform(tr.filter(F.col("fold") == 0)))
     platt = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="m_vec"),
                              LogisticRegression(featuresCol="m_vec", labelCol=label_col, predictionCol="platt_pred",
                                                 probabilityCol="svm_prob", rawPredictionCol="platt_raw")]).fit(held)
-    svm = linear_svm(n).fit(tr)
     return Trained(vocab, n_terms, forest, svm, platt, tr, te, every)
 
 
@@ -289,16 +290,25 @@ def grid_search(t: Trained, label_col: str = "label", id_col: str = "email_id",
     return grown.withColumn("model_name", F.lit("random_forest")).withColumns({"kernel": none("string"), "c": none("double"), "gamma": none("string")}).select(order).union(out)
 
 
-def cv_scores(t: Trained, label_col: str = "label", k: int = 5) -> DataFrame:
+def cv_scores(t: Trained, label_col: str = "label", k: int = 5, parallelism: int = 6) -> DataFrame:
     """H6: F1 of class 1 on each of the k stratified folds, their mean and population std, for the forest and the SVM."""
-    ev = MulticlassClassificationEvaluator(labelCol=label_col, metricName="fMeasureByLabel", metricLabel=1.0)
+    n = t.train.count()
+    train_rows = _compact(t.train.select(label_col, "class_weight", "fold", "features"), n)
+
+    def job(name: str, fold: int):
+        def run():
+            ev = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol="rf_pred" if name == "random_forest" else "svm_pred",
+                                                   metricName="fMeasureByLabel", metricLabel=1.0)
+            fit = train_rows.filter(F.col("fold") != fold)
+            model = random_forest(label_col).setMaxMemoryInMB(FOREST_MEMORY_MB) if name == "random_forest" else linear_svm(fit.count())
+            return float(ev.evaluate(model.fit(fit).transform(train_rows.filter(F.col("fold") == fold))))
+        return run
+
+    names = ("random_forest", "svm")
+    found = _side_by_side([job(*c) for c in product(names, range(k))], parallelism)
     rows = []
-    for name, column in (("random_forest", "rf_pred"), ("svm", "svm_pred")):
-        scores = []
-        for fold in range(k):
-            fit = t.train.filter(F.col("fold") != fold)
-            job = Pipeline(stages=[random_forest(label_col)]) if name == "random_forest" else linear_svm(fit.count())
-            scores.append(float(ev.evaluate(job.fit(fit).transform(t.train.filter(F.col("fold") == fold)), {ev.predictionCol: column})))
+    for i, name in enumerate(names):
+        scores = found[i * k:(i + 1) * k]
         mean = sum(scores) / k
         rows.append((name, scores, mean, (sum((x - mean) ** 2 for x in scores) / k) ** 0.5))
     return t.train.sparkSession.createDataFrame(rows, "model_name string, fold_f1 array<double>, mean_f1 double, std_f1 double")
@@ -364,22 +374,90 @@ def _svc(features: str, label_col: str, reg: float = 0.0) -> LinearSVC:
                      predictionCol="svm_pred", rawPredictionCol="svm_raw")
 
 
-def rbf_svm(t: Trained, c: float = 1.0, label_col: str = "label", id_col: str = "email_id") -> DataFrame:
+@dataclass
+class KernelSvm:
+    svm: LinearSVCModel
+    platt: PipelineModel
+    every: DataFrame
+
+
+def fit_rbf(t: Trained, c: float = 1.0, label_col: str = "label", id_col: str = "email_id") -> KernelSvm:
     """H3: Gaussian-kernel SVM as a linear one on random Fourier features of the scaled vectors, with Platt
-    scaling fitted on fold 0; predictions for every mail."""
+    scaling fitted on fold 0."""
     size = t.n_features + len(E.METADATA_NAMES)
     scaler = t.svm.stages[0]
-    train_rows = kernel_features(t.train, scaler, size, id_col).checkpoint(eager=True)
-    n = train_rows.count()
+    n = t.train.count()
+    train_rows = _compact(kernel_features(t.train, scaler, size, id_col), n)
     svm = _svc("features", label_col, 1.0 / (c * max(n, 1)))
     held = _margin(svm.fit(train_rows.filter(F.col("fold") != 0)).transform(train_rows.filter(F.col("fold") == 0)))
     platt = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="m_vec"),
                              LogisticRegression(featuresCol="m_vec", labelCol=label_col, predictionCol="platt_pred",
                                                 probabilityCol="svm_prob", rawPredictionCol="platt_raw")]).fit(held)
-    out = platt.transform(_margin(svm.fit(train_rows).transform(kernel_features(t.every, scaler, size, id_col))))
+    return KernelSvm(svm.fit(train_rows), platt, kernel_features(t.every, scaler, size, id_col).checkpoint(eager=True))
+
+
+def rbf_svm(t: Trained, c: float = 1.0, label_col: str = "label", id_col: str = "email_id", fitted: KernelSvm | None = None) -> DataFrame:
+    """H3: predictions of the kernel SVM for every mail."""
+    k = fitted or fit_rbf(t, c, label_col, id_col)
+    out = k.platt.transform(_margin(k.svm.transform(k.every)))
     return out.select(id_col, label_col, "split", F.col("svm_pred").cast("int").alias("prediction"), vector_to_array("svm_prob")[1].alias("probability_phishing"))
 
 
+def table_scores(t: Trained, feats: DataFrame, id_col: str = "email_id") -> DataFrame:
+    """(id, rf_p, svm_margin, svm_p) of a feature frame from the models' tables alone."""
+    size = t.n_features + len(E.METADATA_NAMES)
+    rows = stored_vectors(feats, id_col, "features")
+    scaler, svm = t.svm.stages
+    grown = scorers.forest_probability(rows, forest_nodes(t.forest.stages[-1]), size).withColumnRenamed("p", "rf_p")
+    linear = scorers.margins(rows, scorers.linear_weights(svm, scaler), svm.intercept).withColumnRenamed("margin", "svm_margin")
+    return grown.join(linear, "id").withColumn("svm_p", scorers.calibrated(F.col("svm_margin"), t.platt.stages[-1])).withColumnRenamed("id", id_col)
+
+
+def same_scores(t: Trained, feats: DataFrame, id_col: str = "email_id") -> DataFrame:
+    """(id, label, rf_same, svm_same, platt_same, ensemble_same): whether Spark ML's results are those of the models' tables."""
+    from mailsignal.operators import score as S
+    ml = score(t, feats, id_col)
+    own = table_scores(t, feats, id_col)
+    svm = (F.col("svm_margin") > 0).cast("int")
+    again = S.ensemble(own.select("*", *S.model_result(F.col("rf_p"), "rf"), svm.alias("svm_prediction"), S.label_text(svm).alias("svm_label"),
+                                  F.when(svm == 1, F.col("svm_p")).otherwise(1 - F.col("svm_p")).alias("svm_confidence"),
+                                  (1 - F.col("svm_p")).alias("svm_probability_legitimate"), F.col("svm_p").alias("svm_probability_phishing")))
+    names = [c for c in again.columns if c in ml.columns and c != id_col]
+    j = ml.join(again.select(id_col, *[F.col(c).alias(f"own_{c}") for c in names]), id_col)
+
+    def alike(prefix: str, some=None) -> Column:
+        checks = [scorers.close(c, f"own_{c}") if c.endswith(("confidence", "legitimate", "phishing")) else F.col(c).eqNullSafe(F.col(f"own_{c}"))
+                  for c in names if c.startswith(prefix) and (some is None or c in some)]
+        return reduce(lambda a, b: a & b, checks)
+    return j.select(id_col, "label", alike("rf_").alias("rf_same"), alike("svm_", ("svm_prediction", "svm_label")).alias("svm_same"),
+                    alike("svm_").alias("platt_same"), alike("ensemble_").alias("ensemble_same"))
+
+
+def same_kernel_scores(k: KernelSvm, id_col: str = "email_id") -> DataFrame:
+    """(id, label, split, same) for the kernel SVM: its class and probability against the weight table's."""
+    ml = rbf_svm(None, id_col=id_col, fitted=k)
+    own = scorers.margins(stored_vectors(k.every, id_col, "features"), scorers.linear_weights(k.svm), k.svm.intercept)
+    j = ml.join(own, F.col(id_col) == F.col("id"))
+    p = scorers.calibrated(F.col("margin"), k.platt.stages[-1])
+    return j.select(id_col, "label", "split", ((F.col("prediction") == (F.col("margin") > 0).cast("int")) & scorers.close("probability_phishing", p)).alias("same"))
+
+
+def same_importances(t: Trained) -> DataFrame:
+    """(idx, name, same) for every feature: Spark ML's importance against the node table's."""
+    size = t.n_features + len(E.METADATA_NAMES)
+    ml = feature_importance(t, size).select("idx", "name", "importance")
+    own = scorers.importances(forest_nodes(t.forest.stages[-1])).select(F.col("idx").alias("i"), F.col("importance").alias("own"))
+    return ml.join(own, F.col("idx") == F.col("i"), "left").select("idx", "name", scorers.close("importance", F.coalesce("own", F.lit(0.0))).alias("same"))
+
+
+def majority(rows: DataFrame, label_col: str = "label") -> DataFrame:
+    """One row: n, share (accuracy of always guessing the larger class) and f1 (of class 1, when guessing so)."""
+    ones = F.count(F.when(F.col(label_col) == 1, 1))
+    return rows.agg(F.count(F.lit(1)).alias("n"), ones.alias("ones")).select(
+        "n", (F.greatest("ones", F.col("n") - F.col("ones")) / F.col("n")).alias("share"),
+        F.when(2 * F.col("ones") > F.col("n"), 2 * F.col("ones") / (F.col("n") + F.col("ones"))).otherwise(0.0).alias("f1"))
+
+
 def feature_importance(t: Trained, top_n: int = 20) -> DataFrame:
     """H7: forest importances joined to the feature names, top n (n = min(20, width))."""
     imp = t.forest.stages[-1].featureImportances

@@ -730,27 +730,30 @@ def prediction_outcomes(spark, sf_dir):
     return J.prediction_outcomes(ev, "email_id", "raw_text")
 
 
-# -- Spark ML (F6, F7, H1-H8, I1, A8, A9): rows-only checks ------------------------------------
+# -- Spark ML (F6, F7, H1-H8, I1, A8, A9): results against the models' own tables ----------------
 
 _TRAINED: dict = {}
 
 
-def trained(spark, sf_dir):
-    """Train once per session and input folder (the ML keys share one training run)."""
-    from mailsignal.operators import models as H
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark, sf_dir, what, make):
+    """``make()`` once per session and state of the input files: another result after the mails are written anew."""
+    from mailsignal.sources.store import fingerprint
+    key = (what, spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
     if key not in _TRAINED:
-        _TRAINED[key] = H.train(_corpus(spark, sf_dir), fitted=fitted(spark, sf_dir))
+        _TRAINED[key] = make()
     return _TRAINED[key]
 
 
+def trained(spark, sf_dir):
+    """The ML keys share one training run."""
+    from mailsignal.operators import models as H
+    return _once(spark, sf_dir, "models", lambda: H.train(_corpus(spark, sf_dir), fitted=fitted(spark, sf_dir)))
+
+
 def fitted(spark, sf_dir):
-    """The split corpus and the vocabulary of its training part, fitted once per session and input folder."""
+    """The split corpus and the vocabulary of its training part."""
     from mailsignal.operators import models as H
-    key = ("features", spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = H.fit_features(_corpus(spark, sf_dir))
-    return _TRAINED[key]
+    return _once(spark, sf_dir, "features", lambda: H.fit_features(_corpus(spark, sf_dir)))
 
 
 @query
@@ -782,40 +785,46 @@ def feature_counts(spark, sf_dir):
                      F.count(F.lit(1)).alias("total_features"))
 
 
+def _same(spark, sf_dir):
+    """Test mails: Spark ML's results against the models' tables."""
+    from mailsignal.operators import models as H
+    t = trained(spark, sf_dir)
+    return H.same_scores(t, t.test)
+
+
 @query
 def rf_fit_predict(spark, sf_dir):
-    from mailsignal.operators import models as H
-    s = H.score(trained(spark, sf_dir), trained(spark, sf_dir).test)
-    return s.select("email_id", "label", "rf_prediction", "rf_confidence", "rf_probability_phishing")
+    """H1: the fitted forest on the test mails; ``same`` where its node table gives Spark ML's class and probabilities."""
+    return _same(spark, sf_dir).select("email_id", "label", F.col("rf_same").alias("same"))
 
 
 @query
 def svm_fit_predict(spark, sf_dir):
-    from mailsignal.operators import models as H
-    s = H.score(trained(spark, sf_dir), trained(spark, sf_dir).test)
-    return s.select("email_id", "label", "svm_prediction")
+    """H2: the fitted linear SVM on the test mails; ``same`` where its weight table gives Spark ML's class."""
+    return _same(spark, sf_dir).select("email_id", "label", F.col("svm_same").alias("same"))
 
 
 @query
 def svm_calibrated(spark, sf_dir):
-    from mailsignal.operators import models as H
-    s = H.score(trained(spark, sf_dir), trained(spark, sf_dir).test)
-    return s.select("email_id", "label", "svm_prediction", "svm_confidence", "svm_probability_phishing")
+    """H4: as ``svm_fit_predict``, with the calibrated probability."""
+    return _same(spark, sf_dir).select("email_id", "label", F.col("platt_same").alias("same"))
 
 
 @query
 def score_emails(spark, sf_dir):
-    """Trained models on every mail -> per-model results, ensemble, rule analysis."""
+    """Trained models on every mail -> per-model results, ensemble, rule analysis; ``same`` where the models' tables give the
+    same results and ensemble."""
     from mailsignal.operators import models as H
     t = trained(spark, sf_dir)
-    s = H.score(t, t.every)
-    rules = S.analyze(_corpus(spark, sf_dir), "raw_text").select("email_id", "risk_score", "suspicious_indicators")
-    return s.join(rules, "email_id", "inner")
+    s = H.same_scores(t, t.every)
+    rules = S.analyze(_corpus(spark, sf_dir), "raw_text").select("email_id", "risk_score", F.array_join("suspicious_indicators", "; ").alias("indicators"))
+    return s.join(rules, "email_id", "inner").select("email_id", "label", "risk_score", "indicators", (F.col("rf_same") & F.col("platt_same") & F.col("ensemble_same")).alias("same"))
 
 
 @query
 def training_job(spark, sf_dir):
-    """H8: the whole training job's evaluation table on the held-out split (J5 on real models)."""
+    """H8: the whole training job's evaluation table on the held-out split (J5 on real models): per model its test mails, whether all metrics lie in
+    [0, 1] and whether its accuracy beats guessing the larger class."""
     from mailsignal.operators import evaluate as J
     from mailsignal.operators import models as H
     t = trained(spark, sf_dir)
@@ -827,39 +836,51 @@ def training_job(spark, sf_dir):
         m("random_forest", "rf_prediction", "rf_probability_phishing"),
         m("svm", "svm_prediction", "svm_probability_phishing"),
         m("ensemble", "ensemble_prediction", "rf_probability_phishing"))))
-    return J.model_comparison(ev, "model_name")
+    table = J.model_comparison(ev, "model_name").join(ev.groupBy("model_name").agg(F.count(F.lit(1)).alias("test_mails")), "model_name")
+    inside = [F.col(c).between(0, 1) for c in J.METRICS]
+    base = H.majority(t.test).first()   # one row
+    return table.select("model_name", "test_mails", F.array_min(F.array(*inside)).alias("in_bounds"), (F.col("accuracy") > base["share"]).alias("above_majority"))
 
 
 @query
 def grid_search(spark, sf_dir):
+    """H5: every setting of the grids; ``in_bounds`` where its mean F1 lies in [0, 1] and its spread in [0, 0.5], ``finds`` where the best
+    setting of its model beats guessing the larger class."""
+    from pyspark.sql import Window
     from mailsignal.operators import models as H
-    key = ("grid", spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = H.grid_search(trained(spark, sf_dir)).checkpoint(eager=True)
-    return _TRAINED[key]
+    scores = _once(spark, sf_dir, "grid", lambda: H.grid_search(trained(spark, sf_dir)).checkpoint(eager=True))
+    base = H.majority(trained(spark, sf_dir).train).first()   # one row
+    best = F.max("mean_f1").over(Window.partitionBy("model_name"))   # a row a setting
+    return scores.withColumn("finds", best > base["f1"]).withColumn("in_bounds", F.col("mean_f1").between(0, 1) & F.col("std_f1").between(0, 0.5)).drop("mean_f1", "std_f1")
 
 
 @query
 def cv_summary(spark, sf_dir):
-    """H6: fold F1 scores, mean and population std over 5 folds, for both models."""
+    """H6: fold F1 scores, mean and population std over 5 folds, for both models: mails, folds, whether the scores lie in [0, 1], mean and std
+    are theirs, and the mean beats guessing the larger class."""
     from mailsignal.operators import models as H
-    key = ("cv", spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = H.cv_scores(trained(spark, sf_dir)).checkpoint(eager=True)
-    return _TRAINED[key]
+    t = trained(spark, sf_dir)
+    scores = _once(spark, sf_dir, "cv", lambda: H.cv_scores(t).checkpoint(eager=True))
+    base = H.majority(t.train).first()   # one row
+    each = scores.select("*", F.explode("fold_f1").alias("f1")).groupBy("model_name", "mean_f1", "std_f1").agg(
+        F.count("f1").alias("folds"), F.avg("f1").alias("m"), F.stddev_pop("f1").alias("d"), F.min("f1").alias("low"), F.max("f1").alias("high"))
+    return each.select("model_name", F.lit(base["n"]).cast("bigint").alias("mails"), "folds", ((F.col("low") >= 0) & (F.col("high") <= 1)).alias("in_bounds"),
+                       ((F.abs(F.col("m") - F.col("mean_f1")) < 1e-9) & (F.abs(F.col("d") - F.col("std_f1")) < 1e-9)).alias("adds_up"),
+                       (F.col("mean_f1") > base["f1"]).alias("above_majority"))
 
 
 @query
 def svm_rff(spark, sf_dir):
-    """H3: Gaussian-kernel SVM by random Fourier features, on every mail."""
+    """H3: Gaussian-kernel SVM by random Fourier features, on every mail; ``same`` where its weight table gives Spark ML's class and probability."""
     from mailsignal.operators import models as H
-    return H.rbf_svm(trained(spark, sf_dir))
+    return H.same_kernel_scores(_once(spark, sf_dir, "kernel", lambda: H.fit_rbf(trained(spark, sf_dir))))
 
 
 @query
 def feature_importance(spark, sf_dir):
+    """H7: importance of every feature; ``same`` where the forest's node table gives Spark ML's."""
     from mailsignal.operators import models as H
-    return H.feature_importance(trained(spark, sf_dir), 20)
+    return H.same_importances(trained(spark, sf_dir))
 
 
 @query
@@ -954,9 +975,16 @@ def csv_corpus_roundtrip(spark, sf_dir):
 
 @query
 def json_result_encode(spark, sf_dir):
+    """Each mail's result as JSON text, read back into its fields."""
     from mailsignal.sources import files
     s = logs.scored_mails(spark, sf_dir)
-    return s.select("email_id", files.result_json(s).alias("result_json"))
+    r = s.select("email_id", F.from_json(files.result_json(s), files.RESULT).alias("r")).select("email_id", "r.*")
+    one = lambda m: [F.col("individual_predictions")[m][k].alias(f"{m}_{k}") for k in ("prediction", "label", "confidence")] + [
+        F.col("individual_predictions")[m]["probabilities"][k].alias(f"{m}_{k}") for k in ("legitimate", "phishing")]
+    e, a = F.col("ensemble_prediction"), F.col("email_analysis")
+    return r.select("email_id", *one("random_forest"), *one("svm"), *[e[k].alias(f"ensemble_{k}") for k in ("prediction", "label", "confidence", "agreement")],
+                    F.array_join(a["suspicious_indicators"], "; ").alias("indicators"), a["risk_score"].alias("risk_score"),
+                    *[a["statistics"][k].alias(k) for k in ("character_count", "word_count", "url_count", "suspicious_keyword_count")], "timestamp")
 
 
 @query

@@ -686,6 +686,34 @@ cv AS (SELECT term, df, n FROM cst, cn WHERE df >= {L.MIN_DF} AND df <= floor({L
 cw AS (SELECT msg_id, term, (1 + ln(tf)) * (ln(CAST(n + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1) AS w FROM ctc JOIN cv USING (term)),
 cx AS (SELECT msg_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)), 9) AS value FROM cw)
 SELECT msg_id, idx::BIGINT AS idx, value FROM cx JOIN schema_rows ON name = term""", "raw_mails"))
+# Trained models: which rows there must be, and that each agrees with the models' own tables
+_PART = f"""
+, part AS (SELECT email_id, label, CASE WHEN rn < round(n_class * {L.TEST_SIZE}) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT email_id, label, row_number() OVER (PARTITION BY label ORDER BY {_H.format(id='email_id')}, email_id) - 1 AS rn,
+         count(*) OVER (PARTITION BY label) AS n_class FROM raw_mails))
+"""
+for _k in ("rf_fit_predict", "svm_fit_predict", "svm_calibrated"):
+    oracle(_k, with_views(_PART + "SELECT email_id, label, TRUE AS same FROM part WHERE split = 'test'", "raw_mails"))
+oracle("svm_rff", with_views(_PART + "SELECT email_id, label, split, TRUE AS same FROM part", "raw_mails"))
+oracle("score_emails", with_views("""SELECT email_id, label, risk_score, array_to_string(suspicious_indicators, '; ') AS indicators, TRUE AS same FROM scored""", "scored"))
+oracle("training_job", with_views(_PART + """SELECT m AS model_name, count(*) AS test_mails, TRUE AS in_bounds, TRUE AS above_majority
+FROM part, (VALUES ('random_forest'), ('svm'), ('ensemble')) x(m) WHERE split = 'test' GROUP BY m""", "raw_mails"))
+oracle("cv_summary", with_views(_PART + """SELECT m AS model_name, count(*) AS mails, 5::BIGINT AS folds, TRUE AS in_bounds, TRUE AS adds_up, TRUE AS above_majority
+FROM part, (VALUES ('random_forest'), ('svm')) x(m) WHERE split = 'train' GROUP BY m""", "raw_mails"))
+oracle("feature_importance", with_views(_SCHEMA + "SELECT idx::BIGINT AS idx, name, TRUE AS same FROM schema_rows", "raw_mails"))
+oracle("grid_search", """
+WITH forest AS (SELECT * FROM (VALUES (50), (100), (200)) a(num_trees), (VALUES (10), (20), (NULL)) b(max_depth), (VALUES (2), (5), (10)) c(min_split),
+                (VALUES (1), (2), (4)) d(min_instances), (VALUES ('sqrt'), ('log2')) e(max_features)),
+svm AS (SELECT * FROM (VALUES (0.1), (1.0), (10.0)) a(c), (VALUES ('rbf', 'scale'), ('rbf', 'auto'), ('rbf', '0.01'), ('rbf', '0.1'), ('linear', NULL)) b(kernel, gamma))
+SELECT 'random_forest' AS model_name, num_trees, max_depth, min_split, min_instances, max_features, NULL::VARCHAR AS kernel, NULL::DOUBLE AS c, NULL::VARCHAR AS gamma,
+       TRUE AS in_bounds, TRUE AS finds FROM forest
+UNION ALL SELECT 'svm', NULL, NULL, NULL, NULL, NULL, kernel, c::DOUBLE, gamma, TRUE, TRUE FROM svm""")
+oracle("json_result_encode", with_views("SELECT email_id, " + ", ".join(f"{p}_{k} AS {m}_{k}" for m, p in (("random_forest", "rf"), ("svm", "svm")) for k in ("prediction", "label", "confidence"))
+       .replace("rf_label AS", "CASE WHEN rf_prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END AS").replace("svm_label AS", "CASE WHEN svm_prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END AS") + """,
+  rf_probability_legitimate AS random_forest_legitimate, rf_probability_phishing AS random_forest_phishing, svm_probability_legitimate AS svm_legitimate, svm_probability_phishing AS svm_phishing,
+  rf_prediction AS ensemble_prediction, CASE WHEN rf_prediction = 1 THEN 'Phishing' ELSE 'Legitimate' END AS ensemble_label, rf_confidence AS ensemble_confidence,
+  rf_prediction = svm_prediction AS ensemble_agreement, array_to_string(suspicious_indicators, '; ') AS indicators, risk_score, character_count, word_count, url_count,
+  suspicious_keyword_count, strftime(predicted_at, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM scored""", "scored"))
 oracle("model_roundtrip", "SELECT doc_id AS email_id, TRUE AS same FROM documents")
 
 # -- dimensions -------------------------------------------------------------------------------

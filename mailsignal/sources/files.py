@@ -38,6 +38,13 @@ def read_mail_files(spark: SparkSession, path: str, max_bytes: int = L.MAX_UPLOA
                           .when(F.length(strip_ws("text")) == 0, F.lit(L.REJECT_EMPTY)))
 
 
+_MODEL = "struct<prediction:int,label:string,confidence:double,probabilities:struct<legitimate:double,phishing:double>>"
+#: Schema of ``result_json``, for readers.
+RESULT = (f"individual_predictions map<string,{_MODEL}>, ensemble_prediction struct<prediction:int,label:string,confidence:double,agreement:boolean>, "
+          "email_analysis struct<suspicious_indicators:array<string>,risk_score:long,statistics:struct<character_count:long,word_count:long,"
+          "url_count:long,suspicious_keyword_count:long>>, timestamp string")
+
+
 def result_json(df: DataFrame) -> Column:
     """The nested scoring result as one JSON text per mail."""
     def model(prefix: str) -> Column:
