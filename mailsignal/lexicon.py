@@ -122,3 +122,16 @@ STOP_WORDS = [
     "cannot", "could", "here's", "how's", "let's", "ought", "that's", "there's", "what's", "when's",
     "where's", "who's", "why's", "would",
 ]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: suffix tables of Porter's algorithm, steps 2 to 4, in the order they are tried
+# ---------------------------------------------------------------------------
+PORTER_STEP2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"),
+    ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+    ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+PORTER_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+PORTER_STEP4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+]

@@ -1,39 +1,23 @@
-"""Porter stemming of token arrays (D5) and the full preprocessing chain.
-
-The stemmer is Python: a pandas UDF takes the token arrays of an Arrow batch and stems each distinct token of the
-batch once. Tokens never leave their row, so nothing is shuffled.
-"""
+"""Porter stemming of token arrays (D5) and the full preprocessing chain (D7): expressions on the rows, nothing is shuffled."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailsignal.functions import stemming
 from mailsignal.functions import text as T
-from mailsignal.session import ship_package
 from mailsignal.operators.textjobs import lemmatize
 
 
-@F.pandas_udf("array<string>")
-def porter_stems(tokens: pd.Series) -> pd.Series:
-    from mailsignal.functions.porter import stem
-    known = {t: stem(t) for t in {t for row in tokens if row is not None for t in row}}
-    return tokens.map(lambda row: None if row is None else [known[t] for t in row])
-
-
 def stem_tokens(df: DataFrame, toks_col: str, id_col: str) -> DataFrame:
     """(id, lemmas): each token replaced by its Porter stem, order kept."""
-    ship_package(df.sparkSession)
-    return df.select(id_col, porter_stems(toks_col).alias("lemmas"))
+    return df.select(id_col, stemming.stems(toks_col).alias("lemmas"))
 
 
 def preprocess_chain(df: DataFrame, text_col: str, id_col: str, use_stemming: bool = True,
                      lemmas: DataFrame | None = None) -> DataFrame:
     """Clean -> tokens -> stop words -> stem (or lemma table) -> joined with blanks."""
     toks = df.select(id_col, T.drop_stopwords(T.tokens(T.clean_text(text_col))).alias("toks"))
-    if use_stemming:
-        out = stem_tokens(toks, "toks", id_col)
-    else:
-        out = lemmatize(toks, "toks", lemmas, id_col)
+    out = stem_tokens(toks, "toks", id_col) if use_stemming else lemmatize(toks, "toks", lemmas, id_col)
     return out.select(id_col, F.array_join("lemmas", " ").alias("processed_text"))

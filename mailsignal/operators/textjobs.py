@@ -1,4 +1,4 @@
-"""Token-table jobs: lemma lookup (D6) and distinct-token maps (used by the stemmer)."""
+"""Lemma lookup (D6) over token arrays."""
 
 from __future__ import annotations
 
@@ -6,25 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def distinct_tokens(df: DataFrame, toks_col: str) -> DataFrame:
-    """All distinct tokens of a token-array column (partial aggregation removes hot tokens early)."""
-    return df.select(F.explode(toks_col).alias("token")).distinct()
-
-
 def corpus_plural_lemmas(df: DataFrame, toks_col: str) -> DataFrame:
     """(token, lemma) pairs: a token ending in 's' (not 'ss', longer than 3) maps to the form
-    without the 's' when that form also occurs in the corpus."""
-    vocab = distinct_tokens(df, toks_col)
-    cand = vocab.filter(F.col("token").endswith("s") & ~F.col("token").endswith("ss") & (F.length("token") > 3)) \
-        .withColumn("lemma", F.expr("substring(token, 1, length(token) - 1)"))
-    return cand.join(vocab.select(F.col("token").alias("lemma")), "lemma", "left_semi").select("token", "lemma")
+    without the 's' when that form also occurs in the corpus. One scan: a token counts for itself, and a plural
+    also for the form it would come from."""
+    t = F.col("t")
+    plural = t.endswith("s") & ~t.endswith("ss") & (F.length(t) > 3)
+    row = lambda form, kind: F.struct(form.alias("form"), F.lit(kind).alias("kind"))
+    each = df.select(F.explode(F.array_distinct(toks_col)).alias("t")).distinct()
+    forms = each.select(F.inline(F.array_compact(F.array(row(t, 1), F.when(plural, row(F.left(t, F.length(t) - 1), 2))))))
+    both = forms.groupBy("form").agg(F.bit_or("kind").alias("kinds")).where("kinds = 3")
+    return both.select(F.concat("form", F.lit("s")).alias("token"), F.col("form").alias("lemma"))
 
 
 def lemmatize(df: DataFrame, toks_col: str, lemmas: DataFrame, id_col: str) -> DataFrame:
-    """Replace each token by its lemma when the (token, lemma) table has one, keeping order."""
-    pos = df.select(id_col, F.posexplode_outer(toks_col).alias("pos", "token"))
-    j = pos.join(lemmas, "token", "left")
-    agg = j.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
-                                           F.struct("pos", F.coalesce("lemma", "token").alias("w"))))).alias("_l"))
-    return agg.select(id_col, F.transform("_l", lambda x: x["w"]).alias("lemmas"))
+    """Replace each token by its lemma when the (token, lemma) table has one, keeping order (D6). Only a document's distinct tokens
+    that have a lemma move; they come back as one small map a document, which is applied to its tokens in place."""
+    found = df.select(id_col, F.explode(F.array_distinct(toks_col)).alias("token")).join(lemmas, "token")
+    maps = found.groupBy(F.col(id_col).alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas"))
+    j = df.select(id_col, toks_col).join(maps, F.col(id_col) == F.col("_id"), "left")
+    replaced = F.transform(toks_col, lambda t: F.coalesce(F.try_element_at("_lemmas", t), t))
+    return j.select(id_col, F.when(F.col("_lemmas").isNull(), F.coalesce(toks_col, F.array().cast("array<string>"))).otherwise(replaced).alias("lemmas"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from mailsignal import lexicon as L
 from mailsignal.plans.oracle_views import (NWS, q, rcount, with_views)
+from mailsignal.plans.oracle_porter import porter_ctes
 from mailsignal.sources import views as V
 
 ORACLE: dict[str, str] = {}
@@ -336,6 +337,16 @@ SELECT m.email_id, coalesce(array_to_string(list(y.w ORDER BY y.pos) FILTER (WHE
   AS lemmas
 FROM m LEFT JOIN y USING (email_id) GROUP BY m.email_id""", "raw_mails"))
 
+_STEMS = f"""
+, m AS (SELECT email_id, {nostop(toks(clean('raw_text')))} AS toks FROM raw_mails),
+seen AS (SELECT DISTINCT unnest(toks) AS t FROM m),
+{porter_ctes('seen')},
+x AS (SELECT email_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS pos FROM m),
+y AS (SELECT email_id, string_agg(stem, ' ' ORDER BY pos) AS stems FROM x JOIN porter USING (t) GROUP BY email_id)
+"""
+oracle("porter_stem", with_views(_STEMS + "SELECT email_id, coalesce(stems, '') AS stems FROM m LEFT JOIN y USING (email_id)", "raw_mails"))
+oracle("preprocess_chain", with_views(_STEMS + "SELECT email_id, coalesce(stems, '') AS processed_text FROM m LEFT JOIN y USING (email_id)", "raw_mails"))
+
 oracle("accent_fold", "SELECT doc_id, strip_accents(text) AS folded FROM documents")
 
 oracle("word_ngrams", with_views(f"""

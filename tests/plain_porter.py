@@ -1,13 +1,14 @@
 """Porter stemmer (M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980).
 
-A per-token helper: Spark calls it once per *distinct* token (see
-``mailsignal.operators.stem``), never per occurrence.
+A plain version for tests of ``mailsignal.functions.stemming``.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
+from mailsignal import lexicon as L
+
 _VOWELS = set("aeiou")
 
 
@@ -53,14 +54,7 @@ def _replace(w: str, rules, cond) -> str:
     return w
 
 
-# Step 2/3/4 suffix tables of the algorithm, in the order they are tried.
-_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-          ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"),
-          ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
-          ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate",
-          "iti", "ous", "ive", "ize"]
+_STEP2, _STEP3, _STEP4 = L.PORTER_STEP2, L.PORTER_STEP3, L.PORTER_STEP4
 
 
 @lru_cache(maxsize=200_000)

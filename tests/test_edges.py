@@ -166,8 +166,9 @@ def test_null_labels_stay(spark):
     assert {r.label: r["count"] for r in G.stratified_split(df, "id").filter("split = 'test'").groupBy("label").count().collect()} == {0: 2, 1: 2, None: 2}
 
 
-def test_porter_worked_examples():
-    from mailsignal.functions.porter import stem
+def test_porter_worked_examples(spark):
+    from plain_porter import stem
+    from mailsignal.functions import stemming
     examples = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled",
                 "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi",
                 "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration", "digitizer": "digit", "operator": "oper",
@@ -175,3 +176,12 @@ def test_porter_worked_examples():
                 "allowance": "allow", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt", "effective": "effect", "probate": "probat",
                 "cease": "ceas", "controll": "control", "roll": "roll"}
     assert {w: stem(w) for w in examples} == examples
+    odd = ["", "a", "is", "yyy", "yyyyyyyy", "syzygy", "ayyyyying", "toyed", "flying", "dying", "sayings", "CVCied", "naïveness", "x" * 5000 + "ational", "ing", "ions", "ties", "eeded",
+           "oed", "aeiou", "ylyyly", "byyyyyyyyyyyyyyyyyyyyyyyying", "playfulness", "employabiliti", "hissing", "fizzed", "tryst", "gypsies", "ya", "yay"]
+    import random
+    rng = random.Random(5)
+    odd += ["".join(rng.choice("aeiouyybtsnl") for _ in range(rng.randrange(3, 9))) + rng.choice(["", "ed", "ing", "ational", "iviti", "ly", "e", "ll", "ness", "sion", "ies"]) for _ in range(1500)]
+    df = spark.createDataFrame([(0, [*examples, *odd]), (1, []), (2, None)], "id int, t array<string>")
+    got = {r.id: r.s for r in df.select("id", stemming.stems("t").alias("s")).collect()}
+    assert got == {0: [stem(w) for w in [*examples, *odd]], 1: [], 2: None}
+    assert "Python" not in df.select(stemming.stems("t"))._jdf.queryExecution().executedPlan().toString()

@@ -75,7 +75,7 @@ def test_stream_score_equals_batch(spark):
 
 
 def test_stemmer_job_equals_python(spark):
-    from mailsignal.functions.porter import stem
+    from plain_porter import stem
     from mailsignal.plans.catalog import QUERIES
     a = {r.email_id: r.stems for r in QUERIES["porter_stem"](spark, SMALL).collect()}
     b = {r.email_id: r.tokens for r in QUERIES["stopword_filter"](spark, SMALL).collect()}
