@@ -54,7 +54,7 @@ class _Word:
         """Without its last n letters, with others instead. None of these is a y, so their kinds stand alone."""
         left = [F.left(x, F.length(x) - n) if n else x for x in (self.w, self.s)]
         kinds = add.translate(str.maketrans(_LETTERS, _KINDS))
-        return F.struct((F.concat(left[0], F.lit(add)) if add else left[0]).alias("w"), (F.concat(left[1], F.lit(kinds)) if add else left[1]).alias("s"))
+        return F.struct((F.concat(left[0], F.lit(add)) if add else left[0]).alias("w"), (F.concat(left[1], F.lit(kinds)) if add else left[1]).alias("s"), self.both["short"].alias("short"))
 
     def part(self, n: int) -> Column:
         """Shape of the word without its last n letters."""
@@ -133,14 +133,21 @@ def _final_l(x: _Word) -> Column:
 STEPS = (_plural, _past, _final_y, _exchange(L.PORTER_STEP2), _exchange(L.PORTER_STEP3), _drop, _final_e, _final_l)
 
 
-def stem(word: Column) -> Column:
-    """The Porter stem of a lower-case word; words of one or two letters stay."""
-    def after(both: Column, steps) -> Column:
-        return _let(steps[0](_Word(both)), lambda x: after(x, steps[1:])) if steps else both["w"]
-    both = F.struct(word.alias("w"), shape(word).alias("s"))
-    return F.when(F.length(word) > 2, _let(both, lambda x: after(x, STEPS))).otherwise(word)
+def _start(word: Column) -> Column:
+    """Words of one or two letters stay: they wait in ``short`` while nothing happens to an empty word."""
+    long = F.length(word) > 2
+    none = F.lit("")
+    return F.struct(F.when(long, word).otherwise(none).alias("w"), F.when(long, shape(word)).otherwise(none).alias("s"), F.when(long, F.lit(None)).otherwise(word).alias("short"))
+
+
+def _on_structs(step) -> Callable[[Column], Column]:
+    return lambda both: step(_Word(both))
 
 
 def stems(tokens) -> Column:
-    """Token array -> array of stems, order kept."""
-    return F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, stem)
+    """Array of lower-case words -> array of their Porter stems, order kept. One pass over the array a step, so that no
+    lambda is nested in another."""
+    x = F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, _start)
+    for step in STEPS:
+        x = F.transform(x, _on_structs(step))
+    return F.transform(x, lambda both: F.coalesce(both["short"], both["w"]))
