@@ -206,6 +206,82 @@ def accuracy_trend(spark, sf_dir):
     return K.accuracy_trend(logs.tracker(spark, sf_dir), TRACKER_AS_OF, days=31)
 
 
+# -- the same reports from rollups: partial sums of three batches of the logs, one of them late, and of the corrections by feedback ---
+
+def _rolled(spark, sf_dir):
+    """(stored logs, store of their partial sums, tracker after feedback)."""
+    from mailsignal.operators import rollup as U
+    from mailsignal.sources.store import LogStore
+    base = logs.store(spark, sf_dir)
+    out = LogStore(spark, base.root + "-rolled")
+    preds, tracked = (base.read(t).drop("day", "batch") for t in ("predictions", "tracker"))
+    corrected = R.feedback_apply(tracked, logs.feedback(spark, sf_dir))
+    if "feedback" in out.snapshot().get("tracker_hours", {}).get("batches", {}):
+        return base, out, corrected
+    late = F.pmod(F.xxhash64("id"), F.lit(10)) == 0
+    p, t = F.col("timestamp") < K.cutoff(MAIL_AS_OF, days=60), F.col("timestamp") < K.cutoff(TRACKER_AS_OF, days=15)
+    for name, some, others in (("older", p & ~late, t & ~late), ("newer", ~p & ~late, ~t & ~late), ("late", late, late)):
+        out.append(name, prediction_days=U.prediction_days(preds.where(some)), tracker_hours=U.tracker_hours(tracked.where(others)))
+    changed = corrected.join(tracked.select("id", F.col("correct").alias("was"), F.col("actual_label").alias("old")), "id").where(
+        ~F.col("correct").eqNullSafe(F.col("was")) | ~F.col("actual_label").eqNullSafe(F.col("old"))).drop("was", "old")
+    out.append("feedback", tracker_hours=U.difference(tracked.join(changed.select("id"), "id", "left_semi"), changed))
+    return base, out, corrected
+
+
+@query
+def rollup_overall(spark, sf_dir):
+    """K1 after feedback, from the partial sums."""
+    from mailsignal.operators import rollup as U
+    return U.overall(_rolled(spark, sf_dir)[1].read("tracker_hours"))
+
+
+@query
+def rollup_recent(spark, sf_dir):
+    """K2 after feedback, from the partial sums; the window begins within an hour."""
+    from mailsignal.operators import rollup as U
+    _, store, corrected = _rolled(spark, sf_dir)
+    return U.recent(U.window_sums(store.read("tracker_hours"), corrected, "2024-01-20 12:34:56", 24))
+
+
+@query
+def rollup_class_breakdown(spark, sf_dir):
+    """K3 from the partial sums."""
+    from mailsignal.operators import rollup as U
+    _, store, corrected = _rolled(spark, sf_dir)
+    return U.by_class(U.window_sums(store.read("tracker_hours"), corrected, TRACKER_AS_OF, 24 * 7))
+
+
+@query
+def rollup_confidence_bins(spark, sf_dir):
+    """K4 from the partial sums."""
+    from mailsignal.operators import rollup as U
+    _, store, corrected = _rolled(spark, sf_dir)
+    return U.bins(U.window_sums(store.read("tracker_hours"), corrected, TRACKER_AS_OF, 24 * 7))
+
+
+@query
+def rollup_accuracy_trend(spark, sf_dir):
+    """K5 after feedback, from the partial sums."""
+    from mailsignal.operators import rollup as U
+    return U.trend(_rolled(spark, sf_dir)[1].read("tracker_hours"), TRACKER_AS_OF, days=31)
+
+
+@query
+def rollup_model_daily(spark, sf_dir):
+    """K8 from the partial sums."""
+    from mailsignal.operators import rollup as U
+    base, store, _ = _rolled(spark, sf_dir)
+    return U.model_daily(store.read("prediction_days"), base.read("predictions"), MAIL_AS_OF, days=30)
+
+
+@query
+def rollup_daily_statistics(spark, sf_dir):
+    """K9 from the partial sums."""
+    from mailsignal.operators import rollup as U
+    base, store, _ = _rolled(spark, sf_dir)
+    return U.daily(store.read("prediction_days"), base.read("predictions"), MAIL_AS_OF, days=90)
+
+
 # -- prediction-log analytics (K6-K10, L1-L2) -----------------------------------------
 
 @query

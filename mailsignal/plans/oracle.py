@@ -759,3 +759,17 @@ SELECT CAST(timestamp AS DATE) AS date, count(*)::BIGINT AS total_predictions, s
        round(sum(correct)::DOUBLE / count(*) * 100, 2) AS accuracy
 FROM tracker WHERE actual_label IS NOT NULL GROUP BY 1""", "tracker"))
 oracle("csv_corpus_roundtrip", ORACLE["corpus_preprocess"])
+
+# -- rollups: the reports on the whole log, after feedback where labels count ------------------------
+_AFTER = _FEEDBACK_APPLY[:_FEEDBACK_APPLY.index("\nSELECT *, CAST(CASE")] + """
+, after AS (SELECT *, CASE WHEN actual_label IS NULL THEN NULL WHEN prediction = actual_label THEN 1 ELSE 0 END AS correct FROM applied)
+"""
+for _old, _new in (("tracker_overall", "rollup_overall"), ("accuracy_trend", "rollup_accuracy_trend"), ("class_breakdown", "rollup_class_breakdown"), ("confidence_bins", "rollup_confidence_bins")):
+    _body = ORACLE[_old][len(with_views("", "tracker")):]
+    oracle(_new, with_views("", "tracker", "feedback") + _AFTER + _body.replace("FROM tracker", "FROM after"))
+oracle("rollup_recent", with_views("", "tracker", "feedback") + _AFTER + """SELECT count(*)::BIGINT AS recent_total, count(actual_label)::BIGINT AS recent_labeled,
+  count(CASE WHEN correct = 1 THEN 1 END)::BIGINT AS recent_correct,
+  coalesce(round(CAST(count(CASE WHEN correct = 1 THEN 1 END) AS DOUBLE) / nullif(count(actual_label), 0) * 100, 2), 0.0) AS recent_accuracy
+FROM after WHERE timestamp >= TIMESTAMP '2024-01-20 12:34:56' - INTERVAL 24 HOUR""")
+oracle("rollup_model_daily", ORACLE["model_daily_summary"])
+oracle("rollup_daily_statistics", ORACLE["daily_statistics"])

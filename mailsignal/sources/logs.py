@@ -62,8 +62,7 @@ def store(spark: SparkSession, sf_dir: str) -> LogStore:
     out = LogStore(spark, scratch_path(spark, "logs", key))
     live = out.snapshot().get("emails", {}).get("batches", {})
     if "load" not in live:
-        preds, tracked = predictions(spark, sf_dir), tracker(spark, sf_dir)
-        out.append("load", emails=emails(spark, sf_dir), predictions=preds, user_activity=activity(spark, sf_dir), tracker=tracked)
+        out.append("load", emails=emails(spark, sf_dir), user_activity=activity(spark, sf_dir), predictions=predictions(spark, sf_dir), tracker=tracker(spark, sf_dir))
     return out
 
 

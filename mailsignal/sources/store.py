@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Partition columns beside the batch; each table has a ``timestamp``.
-PARTITIONS = {"emails": ("day",), "predictions": ("day", "model_name"), "user_activity": ("day",), "tracker": ("day",), "tracker_hours": ("day",), "prediction_days": ("day",)}
+#: Partition columns beside the batch; each table has a ``timestamp``. Partial sums are a few rows a day: their day is a plain column.
+PARTITIONS = {"emails": ("day",), "predictions": ("day", "model_name"), "user_activity": ("day",), "tracker": ("day",), "scores": ("day",),
+              "tracker_hours": (), "prediction_days": ()}
 _KEEP = 2  # snapshots that vacuum leaves for readers that are under way
 
 
@@ -78,7 +79,7 @@ class LogStore:
         """The batch's files; a rebalance on the partition columns keeps files few and splits a hot day."""
         by = PARTITIONS[table]
         rows = rows.withColumn("day", F.to_date("timestamp"))
-        rows.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{table}/batch={batch}")
+        (rows.hint("rebalance", *by) if by else rows.coalesce(1)).write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{table}/batch={batch}")
         plain = [f for f in rows.schema.fields if f.name not in by]
         return T.StructType([*plain, *[rows.schema[c] for c in by], T.StructField("batch", T.StringType())]).json()
 
