@@ -34,7 +34,12 @@ def feedback_apply(tracker: DataFrame, feedback: DataFrame) -> DataFrame:
     fb = latest_per_key(feedback, "email_hash", ["feedback_at", "feedback_id"], ["actual_label", "feedback"]) \
         .select("email_hash", F.col("actual_label").alias("fb_label"), F.col("feedback").alias("fb_text"))
     target = latest_prediction(tracker).select("email_hash", F.col("id").alias("target_id"))
-    updates = target.join(fb, "email_hash", "inner").select("target_id", "fb_label", "fb_text")
+    return apply_updates(tracker, target.join(fb, "email_hash", "inner").select("target_id", F.col("fb_label").alias("actual_label"), F.col("fb_text").alias("feedback")))
+
+
+def apply_updates(tracker: DataFrame, updates: DataFrame) -> DataFrame:
+    """The tracker with (target_id, actual_label, feedback) written to its rows; at most one update a row."""
+    updates = updates.select("target_id", F.col("actual_label").alias("fb_label"), F.col("feedback").alias("fb_text"))
     j = tracker.join(updates, tracker["id"] == updates["target_id"], "left")
     hit = F.col("target_id").isNotNull()
     out = j.select(

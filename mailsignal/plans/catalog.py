@@ -1004,6 +1004,31 @@ def stream_feedback(spark, sf_dir):
     return jobs.stream_feedback(spark, sf_dir)
 
 
+@query
+def stream_model_scores(spark, sf_dir):
+    """T1 with the fitted models: every streamed mail; ``same`` where the sink holds what the batch job gives."""
+    import uuid
+    from mailsignal.operators import models as H
+    from mailsignal.session import scratch_path
+    from mailsignal.sources.store import LogStore, fingerprint
+    from mailsignal.streaming import jobs
+    t = trained(spark, sf_dir)
+    version = fingerprint(spark, f"{sf_dir}/documents.parquet")[:12]
+    sink = LogStore(spark, scratch_path(spark, "streams", "models", uuid.uuid4().hex))
+    cols = ("rf_prediction", "rf_probability_phishing", "svm_prediction", "svm_probability_phishing", "ensemble_label", "ensemble_agreement")
+    got = jobs.stream_model_scores(spark, sf_dir, t, version, sink).select("email_id", "model_version", F.struct(*cols).alias("streamed"))
+    want = H.score(t, t.every).select("email_id", F.struct(*cols).alias("scored"))
+    alike = [F.abs(F.col(f"streamed.{c}") - F.col(f"scored.{c}")) < 1e-9 if "probability" in c else F.col(f"streamed.{c}") == F.col(f"scored.{c}") for c in cols]
+    return got.join(want, "email_id").select("email_id", (F.col("model_version") == version).alias("versioned"), F.array_min(F.array(*alike)).alias("same"))
+
+
+@query
+def stream_feedback_state(spark, sf_dir):
+    """T2/M1 with keyed state."""
+    from mailsignal.streaming import jobs
+    return jobs.stream_feedback_state(spark, sf_dir)
+
+
 @query
 def stream_live_accuracy(spark, sf_dir):
     from mailsignal.streaming import jobs

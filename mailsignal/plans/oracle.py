@@ -773,3 +773,7 @@ oracle("rollup_recent", with_views("", "tracker", "feedback") + _AFTER + """SELE
 FROM after WHERE timestamp >= TIMESTAMP '2024-01-20 12:34:56' - INTERVAL 24 HOUR""")
 oracle("rollup_model_daily", ORACLE["model_daily_summary"])
 oracle("rollup_daily_statistics", ORACLE["daily_statistics"])
+
+# -- streams with fitted models and keyed state ------------------------------------------------------
+oracle("stream_model_scores", "SELECT doc_id AS email_id, TRUE AS versioned, TRUE AS same FROM documents")
+oracle("stream_feedback_state", ORACLE["feedback_apply"])
