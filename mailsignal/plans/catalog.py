@@ -15,6 +15,7 @@ from mailsignal.functions import features as E
 from mailsignal.functions import text as T
 from mailsignal.operators import analytics as K
 from mailsignal.operators import dictionary as D
+from mailsignal.operators import matching as X
 from mailsignal.operators import parse as C
 from mailsignal.operators import retention as R
 from mailsignal.operators import score as S
@@ -404,24 +405,51 @@ def retention_cascade(spark, sf_dir):
 @query
 def keyword_hits(spark, sf_dir):
     m = views.raw_mails(spark, sf_dir)
-    return D.keyword_hits(m, D.keyword_entries(), "raw_text")
+    return X.keyword_hits(m, D.keyword_dimension(spark), "raw_text")
 
 
 @query
 def keyword_category_score(spark, sf_dir):
     m = views.raw_mails(spark, sf_dir)
-    return D.keyword_category_score(D.keyword_hits(m, D.keyword_entries(), "raw_text"))
+    return D.keyword_category_score(X.keyword_hits(m, D.keyword_dimension(spark), "raw_text"))
 
 
 @query
 def url_pattern_hits(spark, sf_dir):
     p = C.url_hosts(C.parse_mails(views.raw_mails(spark, sf_dir)))
-    hits = D.url_pattern_hits(p, D.url_pattern_entries(), "url")
+    hits = X.pattern_hits(p, D.url_pattern_dimension(spark), "url")
     return (hits.groupBy("email_id", "pos", "pattern_type")
             .agg(F.count(F.lit(1)).cast("bigint").alias("hits"), F.round(F.sum("weight"), 6).alias("weight"))
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
+def corpus_dictionary(spark, sf_dir):
+    """A keyword table taken from the corpus: its words of nine letters and more, upserted with those of the conversations, which are
+    switched off there."""
+    def words(name):
+        found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+        return load(spark, sf_dir, name).select(F.explode(found).alias("keyword")).where("length(keyword) >= 9").distinct()
+    base = words("documents").select("keyword", F.left("keyword", F.lit(1)).alias("category"), (F.length("keyword") / 4).alias("weight"), F.lit(True).alias("is_active"))
+    return D.upsert(base, words("conversations").select("keyword", F.lit("talk").alias("category"), F.lit(1.0).alias("weight"), F.lit(False).alias("is_active")), "keyword", ["is_active"])
+
+
+def _dictionary_score(spark, sf_dir, limit):
+    hits = X.keyword_hits(views.raw_mails(spark, sf_dir), corpus_dictionary(spark, sf_dir), "raw_text", limit=limit)
+    return D.keyword_category_score(hits)
+
+
+@query
+def dictionary_hits(spark, sf_dir):
+    """Mails against a dictionary of the corpus's size: hits and weight per mail and category."""
+    return _dictionary_score(spark, sf_dir, None)
+
+
+@query
+def dictionary_hits_joined(spark, sf_dir):
+    """The same for a dictionary too large to send to every task (the limit is set to 0 bytes here): by a join."""
+    return _dictionary_score(spark, sf_dir, 0)
+
+
 # -- text (D1-D4, D6, D8-D11) -----------------------------------------------------------
 
 def _mails(spark, sf_dir):

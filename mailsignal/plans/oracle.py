@@ -777,3 +777,13 @@ oracle("rollup_daily_statistics", ORACLE["daily_statistics"])
 # -- streams with fitted models and keyed state ------------------------------------------------------
 oracle("stream_model_scores", "SELECT doc_id AS email_id, TRUE AS versioned, TRUE AS same FROM documents")
 oracle("stream_feedback_state", ORACLE["feedback_apply"])
+
+# -- dictionaries of the corpus's size ---------------------------------------------------------------
+_DICTIONARY = with_views("""
+, told AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS keyword FROM conversations),
+read AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS keyword FROM documents),
+kw AS (SELECT keyword, substr(keyword, 1, 1) AS category, length(keyword) / 4 AS weight FROM read WHERE length(keyword) >= 9 AND keyword NOT IN (SELECT keyword FROM told))
+SELECT r.email_id, kw.category, count(*)::BIGINT AS hits, round(sum(kw.weight), 6) AS weighted_score
+FROM raw_mails r JOIN kw ON contains(lower(r.raw_text), kw.keyword) GROUP BY 1, 2""", "raw_mails")
+oracle("dictionary_hits", _DICTIONARY)
+oracle("dictionary_hits_joined", _DICTIONARY)
