@@ -444,6 +444,39 @@ def test_dual_solution(spark):
         assert abs((2 / (1 + np.exp(-r["multiplier"] * sizes / r["mean"])) * sizes).sum() - r["target"]) < 1e-4 * r["target"]
 
 
+def test_mixing_hot_rows_and_many_sources(spark, monkeypatch):
+    """A third of all rows alike in id and text, and one source a host."""
+    monkeypatch.setattr(mixing, "SPREAD", 50)
+    rng = random.Random(12)
+    rows = [(5, "same words here again " * 3, "en", "s007")] * 500 + [(None, None, "en", None)] * 3
+    rows += [(100 + i, " ".join(["w"] * rng.randrange(1, 60)), "en", f"s{rng.randrange(300):03d}") for i in range(1000)]
+    docs = frame(spark, rows)
+    got = mixing.op9_mixing(docs).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(words(t))) for i, t, *_ in rows)
+    totals = Counter()
+    for _, t, _, s in rows:
+        totals[s] += len(words(t))
+    want = brute_targets(dict(totals))
+    source = {i: s for i, _, _, s in rows}
+    taken = Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["target"] == pytest.approx(want[s]) and r["taken"] % max(r["size"], 1) == 0 and r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - t) <= 60 for s, t in want.items())
+    mine = [r["taken"] // 12 for r in got if r["doc_id"] == 5]
+    assert max(mine) - min(mine) <= 1
+    out = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
+    assert out == Counter({r["doc_id"]: 0 for r in got}) + sum((Counter({r["doc_id"]: r["taken"] // r["size"]}) for r in got if r["size"]), Counter())
+    assert max(r["alike"] for r in mixing.mix(docs).select("alike").collect()) == 500
+
+
+def test_newton_that_does_not_end_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.op9_mixing(frame(spark, [(i, "a b c " * (i + 1), "en", "ab"[i % 2]) for i in range(40)])).collect()
+
+
 # 10
 def brute_quality(text, k):
     w = words(text)
