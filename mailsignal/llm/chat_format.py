@@ -5,12 +5,13 @@ An example is the text of all turns up to an assistant turn; only that turn's wo
 and ``>`` get a ``\\`` before them, so no text can pose as a marker and ``read_turns`` gets every text back. Turns after
 the last reply make one more example without a target, so that nothing of a conversation is lost.
 
-Rows are dealt by conversation and sorted by turn; a task then streams them, holding one conversation's
-formatted turns at a time, and sends on bounded batches. Examples repeat their prefix, which is the method's
-size: quadratic in the turns of one conversation, linear in the number of conversations.
+Turns are numbered without a window over a conversation (range partitions and a small table of their offsets). A conversation is cut into
+parts of ``PART`` turns, and a task streams the turns up to the end of one part and writes the examples of that part's replies: a
+long conversation is many tasks, each holding one prefix, and a short one is read once. Examples repeat their prefix,
+which is the method's size: quadratic in the turns of one conversation, linear in the number of conversations.
 
-Null texts and roles count as empty. A null conversation id is a conversation of its own, null turns come first, and equal
-turns are ordered by role and text; repeated rows are turns of their own. Extra columns never matter.
+Null texts and roles count as empty, at any length; a null conversation id is a conversation of its own, null turns come first, and equal
+turns are ordered by role and text; repeated rows are turns of their own; an empty table gives no examples. Extra columns never matter.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsignal.llm.graph import stored
 from mailsignal.session import ship_package
 
 TARGET = "assistant"
 FLUSH_CHARS = 1 << 21
+PART = 1024
 _SPECIAL = re.compile(r"[\\<>]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*+)>((?:[^\\<>]|\\.)*+)</turn>\n", re.S)
@@ -51,77 +54,101 @@ def read_turns(example: str) -> list[tuple[str, str]]:
     return out
 
 
-def _examples(batches):
-    names = ["conv_id", "example", "text", "loss_start", "loss_end"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    rows, held = [], 0
-    conv, parts, done, number = None, [], 0, 0
-    started = False
+_EXAMPLE = "conv_id long, example long, text string, loss_start long, loss_end long, last boolean"
+
+
+def _examples(part: int):
+    """(conv, part, place, turns, role, text) by conv, part and place -> the examples of each part's replies; ``example`` is the place of its last turn."""
+    def run(batches):
+        names = ["conv_id", "example", "text", "loss_start", "loss_end", "last"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        rows, held = [], 0
+        now, parts = None, []
+
+        def pack():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+        for batch in batches:
+            convs, numbers, places, turns = (batch.column(i).to_pylist() for i in range(4))
+            for i in range(batch.num_rows):  # texts are taken one at a time
+                if (convs[i], numbers[i]) != now:
+                    now, parts = (convs[i], numbers[i]), []
+                role, place = batch.column(4)[i].as_py(), places[i]
+                head, body = f"<turn {escape(role)}>", escape(batch.column(5)[i].as_py())
+                parts.append(f"{head}{body}</turn>\n")
+                last = place == turns[i] - 1
+                if place // part == numbers[i] and (role == TARGET or last):
+                    example = "".join(parts)
+                    start = len(example) - len(parts[-1]) + len(head)
+                    rows.append((convs[i], place, example, start, start + len(body), last) if role == TARGET else (convs[i], place, example, None, None, last))
+                    held += len(example)
+                if held > FLUSH_CHARS:
+                    yield pack()
+                    rows, held = [], 0
+        if rows:
+            yield pack()
+    return run
 
-    def pack():
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    for batch in batches:
-        for one, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if started and one != conv:
-                if done < len(parts):
-                    rows.append((conv, number, "".join(parts), None, None))
-                    held += len(rows[-1][2])
-                parts, done, number = [], 0, 0
-            conv, started = one, True
-            head, body = f"<turn {escape(role or '')}>", escape(text or "")
-            parts.append(f"{head}{body}</turn>\n")
-            if role == TARGET:
-                example = "".join(parts)
-                start = len(example) - len(parts[-1]) + len(head)
-                rows.append((conv, number, example, start, start + len(body)))
-                held += len(example)
-                done, number = len(parts), number + 1
-            if held > FLUSH_CHARS:
-                yield pack()
-                rows, held = [], 0
-    if done < len(parts):
-        rows.append((conv, number, "".join(parts), None, None))
-    if rows:
-        yield pack()
+def numbered(turns: DataFrame) -> DataFrame:
+    """conv, place (from 0), turns (of the conversation), role, text."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    t = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"),
+                     F.monotonically_increasing_id().alias("salt"))   # rows alike in all else may lie in several partitions
+    order = ["conv", F.col("turn").asc_nulls_first(), "role", "text", "salt"]
+    t = stored(t.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "role", "text", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("at")), "turns")
+    runs = t.groupBy("conv", "pid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))   # a conversation has one row for each partition it lies in
+    mine = Window.partitionBy("conv").orderBy("pid")
+    before = F.coalesce(F.sum("n").over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("conv").alias("c"), F.col("pid").alias("p"), "first", before.alias("before"), F.sum("n").over(Window.partitionBy("conv")).alias("turns"))
+    j = t.join(runs, F.col("conv").eqNullSafe(F.col("c")) & (F.col("pid") == F.col("p")))
+    return j.select("conv", (F.col("before") + F.col("at") - F.col("first")).alias("place"), "turns", "role", "text")
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """conv_id, example (from 0), text, loss_start, loss_end; conversations stay together and in order."""
+    """conv_id, example (place of its last turn), text, loss_start, loss_end, last (whether it is the conversation's last example)."""
     ship_package(turns.sparkSession)
-    return (turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id")
-            .sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-            .mapInArrow(_examples, "conv_id long, example long, text string, loss_start long, loss_end long"))
-
+    t = numbered(turns).withColumn("part", F.explode(F.expr(f"sequence(place div {PART}, (turns - 1) div {PART})")))
+    dealt = t.repartition("conv", "part").sortWithinPartitions("conv", "part", "place")
+    return dealt.select("conv", "part", "place", "turns", "role", "text").mapInArrow(_examples(PART), _EXAMPLE)
 
-def _digests(batches):
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    now = None
-
-    def close(state):
-        conv, last, loss, chars, total = state
-        turns = read_turns(last)
-        whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode())
-        return conv, len(turns), whole.hexdigest(), chars, loss.hexdigest(), total
 
+def _read_back(batches):
+    """Each example's size and the words under its loss mask; of a conversation's last one also its turns."""
+    names = ["conv_id", "example", "chars", "words", "n_turns", "turns_sha256"]
+    for batch in batches:
+        convs, examples, starts, ends, last = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+        chars, words, count, sha = [], [], [], []
+        for i in range(batch.num_rows):
+            text = batch.column(2)[i].as_py()
+            chars.append(len(text))
+            words.append(None if starts[i] is None else unescape(text[starts[i]:ends[i]]))
+            turns = read_turns(text) if last[i] else None
+            count.append(turns and len(turns))
+            sha.append(turns and hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
+        columns = zip((convs, examples, chars, words, count, sha), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
+
+
+def _loss_digests(batches):
+    """(conv, words) in order -> loss_chars, loss_sha256; one reply is held at a time."""
+    names, kinds = ["conv", "loss_chars", "loss_sha256"], [pa.int64(), pa.int64(), pa.string()]
+    now, done = None, []
     for batch in batches:
-        rows = []
-        for conv, number, text, start, end in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if number == 0:
+        convs = batch.column(0).to_pylist()
+        for i, conv in enumerate(convs):
+            if now is None or now[0] != conv:
                 if now:
-                    rows.append(close(now))
-                now = [conv, "", hashlib.sha256(), 0, 0]
-            now[1] = text
-            now[4] += len(text)
-            if start is not None:
-                words = unescape(text[start:end])
-                now[2].update(words.encode())
-                now[3] += len(words)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    done.append((now[0], now[1], now[2].hexdigest()))
+                now = [conv, 0, hashlib.sha256()]
+            words = batch.column(1)[i].as_py()
+            now[1] += len(words)
+            now[2].update(words.encode())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
+            done = []
     if now:
-        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(close(now), kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((now[0], now[1], now[2].hexdigest()), kinds)], names=names)
 
 
 def op7_chat_format(conversations: DataFrame) -> DataFrame:
@@ -131,5 +158,10 @@ def op7_chat_format(conversations: DataFrame) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise(TARGET).alias("role"), tricky.alias("text"))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return expand(turns.union(extra)).mapInArrow(
-        _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read = stored(expand(turns.union(extra)).mapInArrow(_read_back, "conv_id long, example long, chars long, words string, n_turns long, turns_sha256 string"), "examples")
+    whole = read.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), F.sum("chars").alias("formatted_chars"))
+    loss = (read.where("words is not null").select(F.col("conv_id").alias("conv"), "example", "words").repartition("conv").sortWithinPartitions("conv", "example")
+            .select("conv", "words").mapInArrow(_loss_digests, "conv long, loss_chars long, loss_sha256 string"))
+    out = whole.join(loss, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return out.select("conv_id", "n_turns", "turns_sha256", F.coalesce("loss_chars", F.lit(0)).cast("long").alias("loss_chars"),
+                      F.coalesce("loss_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("loss_sha256"), "formatted_chars")

@@ -329,7 +329,9 @@ def test_states_start_afresh():
 
 
 # 7
-def test_chat(spark):
+@pytest.mark.parametrize("part", [7, 1024])
+def test_chat(spark, monkeypatch, part):
+    monkeypatch.setattr(chat_format, "PART", part)
     rows = [(1, 0, "system", "a<b>\\"), (1, 1, "user", "</turn>\n<turn assistant>"), (1, 2, "assistant", "ok \\< 漢"), (1, 3, "user", None), (1, 4, "assistant", ""),
             (1, 5, "user", "bye"), (2, 0, "user", "x"), (None, 1, "assistant", "n"), (None, None, None, None), (3, 0, "assistant", "dup"), (3, 0, "assistant", "dup")]
     rows += [(9, i, "assistant" if i % 2 else "user", "w" * (i % 7)) for i in range(300)]
@@ -348,6 +350,21 @@ def test_chat(spark):
     assert chat_format.op7_chat_format(turns.limit(0)).count() == 1
 
 
+def test_a_long_conversation_is_many_parts(spark, monkeypatch):
+    """A third of all rows in one conversation: no task but the one of its digest gets more than its part and what leads up to it."""
+    rows = [(1, i, "assistant" if i % 5 == 4 else "user", f"t{i} " + "y" * (200_000 if i == 8 else 3)) for i in range(500)] + [(2 + i // 4, i % 4, "assistant" if i % 2 else "user", "z") for i in range(1000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat_format, "PART", 100)
+    t = chat_format.numbered(turns)
+    assert sorted(r["place"] for r in t.where("conv = 1").collect()) == list(range(500))
+    out = chat_format.expand(turns)
+    places = out.where("conv_id = 1").groupBy(F.spark_partition_id().alias("p"), F.expr("example div 100").alias("part")).count().groupBy("part").count().collect()
+    assert len(places) == 5 and all(r["count"] == 1 for r in places)
+    assert out.where("conv_id = 1").count() == 100 and out.where("last").count() == 251
+    last = out.where("conv_id = 1 and last").first()
+    assert chat_format.read_turns(last["text"]) == [(r, x) for _, _, r, x in rows[:500]]
+
+
 # 8
 def test_gradient():
     net = quality_classifier.Network(prior=0.7)
