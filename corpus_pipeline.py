@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet under the shared
 checkpoint folder and hands the reread table to the next, so a lost executor costs a stage at
-most. All but the last return the columns of ``documents``.
+most. All but the last return the columns of ``documents``, whatever these are beside doc_id, text, lang and source.
+
+Null and empty texts fail the quality rules, so no later stage meets one; a null doc_id is a document of its own text, a null source
+a source of its own. Rows repeated with id and text stay once after near-dedup, an id with unlike texts keeps each of them. Texts are
+taken whole at any length. An empty table gives empty tables throughout.
 """
 
 from __future__ import annotations
