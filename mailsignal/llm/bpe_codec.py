@@ -7,7 +7,8 @@ the encoding of a shared prefix is computed once; a word's tokens are read off t
 Known words are kept in a bounded table per worker. Words come from ``pretokens``.
 
 One row in, one row out, no shuffle. Null text counts as empty (no tokens, empty text back). Special
-strings inside a text become their token, the library's default. Extra columns ride along in ``encode``.
+strings inside a text become their token, the library's default. A text is encoded whole, at any length; an empty table
+gives no rows. Extra columns ride along in ``encode``.
 """
 
 from __future__ import annotations

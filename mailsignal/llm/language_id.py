@@ -17,7 +17,8 @@ code-point order. ``score`` is the winner's posterior under equal priors.
 
 No shuffle of texts: training gathers a bounded table of counts, which every task turns into its tables. Null text,
 or text without a letter: ``und``, score 0. So too if there is nothing to learn from. Rows are predicted one
-by one; extra columns never matter.
+by one, whole at any length; an empty table gives no rows; extra columns never matter. The table of counts is bounded per language (``TEXTS``
+texts each), not in the number of languages.
 """
 
 from __future__ import annotations

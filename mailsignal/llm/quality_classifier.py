@@ -8,7 +8,8 @@ Training fits a bounded sample (``SAMPLE`` labelled documents, the least hashes
 in one task on an executor; its weights are a few thousand numbers, returned as one row and sent along with the
 scoring function. A fixed seed and order make reruns agree.
 
-Scoring takes every whole text in its own row, no shuffle. Null and empty texts are one padded chunk. With no labels to learn
+Scoring takes every whole text in its own row, at any length, no shuffle; an empty table gives no rows. The sample is bounded in rows, its texts are
+held whole by the task that fits. Null and empty texts are one padded chunk. With no labels to learn
 from, or only one class, the score is the smoothed share of label 1. Rows are scored one by one; extra
 columns never matter.
 """

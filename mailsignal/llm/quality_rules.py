@@ -12,7 +12,7 @@ Beside four plain counts, the verdict comes from a suffix array over the words o
    when one of them is longer than ``max_longest`` words.
 
 Word and line equality is 64-bit hash equality within one text. Null text counts as empty; an empty
-text fails the base rule. Repeated rows are judged one by one. Extra columns are left out of
+text fails the base rule. Texts are judged whole, at any length; an empty table gives no rows. Repeated rows are judged one by one. Extra columns are left out of
 ``measure`` and kept by ``keep_good``; their names never matter.
 """
 

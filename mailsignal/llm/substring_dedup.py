@@ -19,7 +19,7 @@ by document only. Texts move once; both joins read the same exchange.
 
 Null text counts as empty. A null id is neither smaller nor larger than another: such rows keep all
 their words and cut none elsewhere. Rows of the same id are one document in different states: none
-cuts the other. Extra columns ride along in ``remove_repeats``, whatever their names.
+cuts the other. Texts are cut whole, at any length; an empty table gives no rows. Extra columns ride along in ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations

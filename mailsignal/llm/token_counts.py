@@ -9,7 +9,7 @@ first needed, from the last-token rule of ``bpe``, and kept up to ``max_states``
 words met before; beyond that both start afresh, which changes no result.
 
 One row in, one row out, no shuffle. Null text counts as empty (0 tokens). Special strings inside a text
-count as their one token, which is the library's default. Extra columns never matter.
+count as their one token, which is the library's default. An empty table gives no rows. Extra columns never matter.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ once in a grid join: both sides are packed rows of bounded size.
 
 Null ids, null vectors, and vectors with null or non-finite components take no part. Vectors of different
 lengths are not compared. Rows alike in id and vector count once; a query is not its own candidate, whatever its
-rows. Extra columns never matter. With fewer than k candidates all are returned.
+rows. Two vectors of one query id are asked one by one and their candidates ranked together, so a candidate may stand there twice. Vectors of
+any length are taken whole; an empty table gives no rows. Extra columns never matter. With fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
