@@ -89,6 +89,24 @@ def test_top_k(spark):
     assert topk.op1_top_k(vectors.limit(0)).count() == 0
 
 
+def test_threshold_decides_what_is_resolved():
+    """Exact against all sums, with fewer entries looked up than the candidates have, and lists that cannot reach the threshold left out."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(-500, 500, (3000, 32))
+    v[:, 24:] //= 400
+    for q in rng.integers(-500, 500, (20, 32)):
+        cuts = topk._cuts(32)
+        full = [v[:, a:b] @ q[a:b] for a, b in cuts]
+        total, other = sum(full), np.ones(len(v), bool)
+        cut = int(np.sort(total)[-10])
+        reach = topk._norms(v, cuts).max(axis=1) * topk._norms(q[None], cuts)[:, 0]
+        lists = [x if r >= -(-cut // topk.LISTS) else None for x, r in zip(full, reach)]
+        asked = []
+        at, score, resolved = topk._sufficient(lists, other, cut, lambda c, at: asked.append(len(at)) or full[c][at])
+        assert sorted(zip(at, score)) == [(i, total[i]) for i in np.flatnonzero(total >= cut)]
+        assert resolved == sum(asked) < topk.LISTS * len(v) / 2 and lists[3] is None
+
+
 # 2
 def test_code_lengths():
     rng = random.Random(1)
