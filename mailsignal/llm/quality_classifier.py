@@ -1,8 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Bytes are embedded, and learned filters are run over chunks of ``WIDTH`` bytes that overlap by half and cover the
-whole text (the last is padded). Each filter's responses are max-pooled over all chunks, and averaged as well; a
-hidden layer combines both poolings into one probability. Nothing but the text's bytes goes in.
+whole text (the last is padded). Each filter's responses are max-pooled over all chunks; a hidden layer
+combines them into one probability. Nothing but the text's bytes goes in.
 
 Training fits a bounded sample (``SAMPLE`` labelled documents, the least hashes of their ids) of whole texts by Adam,
 in one task on an executor; its weights are a few thousand numbers, returned as one row and sent along with the
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from mailsignal.llm.textscan import slices
 from mailsignal.session import ship_package
 
-WIDTH, STEP, EMBED, FILTERS, HIDDEN = 16, 8, 4, 32, 16
+WIDTH, STEP, EMBED, FILTERS, HIDDEN = 16, 8, 4, 64, 16
 SAMPLE, EPOCHS, RATE, BATCH_BYTES = 2000, 8, 0.004, 1 << 17
 THRESHOLD = 0.3
 PAD = 256
@@ -51,7 +51,7 @@ class Network:
         normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.w = weights or {
             "embed": normal(PAD + 1, EMBED) * 8, "filters": normal(WIDTH * EMBED, FILTERS), "bias": np.zeros(FILTERS, np.float32),
-            "hidden": normal(2 * FILTERS, HIDDEN), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": normal(HIDDEN, 1),
+            "hidden": normal(FILTERS, HIDDEN), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": normal(HIDDEN, 1),
             "out_bias": np.array([np.log(prior / (1 - prior))], np.float32)}
 
     def pooled(self, buf: np.ndarray, offs: np.ndarray):
@@ -59,8 +59,7 @@ class Network:
         index, first = chunks(buf, offs)
         x = w["embed"][index].reshape(len(index), -1)
         r = np.maximum(x @ w["filters"] + w["bias"], 0)
-        n = np.diff(first)[:, None]
-        return index, first, x, r, np.concatenate([np.maximum.reduceat(r, first[:-1]), np.add.reduceat(r, first[:-1]) / n], axis=1)
+        return index, first, x, r, np.maximum.reduceat(r, first[:-1])
 
     def probability(self, pooled: np.ndarray) -> np.ndarray:
         w = self.w
@@ -76,9 +75,8 @@ class Network:
         d_h = (d_out @ w["out"].T) * (h > 0)
         d_pool = d_h @ w["hidden"].T
         n = np.diff(first)
-        d_r = (d_pool[:, FILTERS:] / n[:, None]).repeat(n, axis=0)
-        best = pooled[:, :FILTERS].repeat(n, axis=0) == r
-        d_r += d_pool[:, :FILTERS].repeat(n, axis=0) * best / np.add.reduceat(best, first[:-1]).repeat(n, axis=0)
+        best = pooled.repeat(n, axis=0) == r   # equal responses share
+        d_r = d_pool.repeat(n, axis=0) * best / np.add.reduceat(best, first[:-1]).repeat(n, axis=0)
         d_r *= r > 0
         d_x = (d_r @ w["filters"].T).reshape(-1, EMBED)
         flat = index.reshape(-1)
