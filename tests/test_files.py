@@ -37,8 +37,8 @@ def test_csv_roundtrip_equals_direct(spark):
 
 def test_json_result_has_nested_fields(spark):
     import json
-    import __spark_entry__ as entry
-    r = entry.queries()["json_result_encode"](spark, SMALL).first()
-    doc = json.loads(r.result_json)
+    from mailsignal.sources import files, logs
+    s = logs.scored_mails(spark, SMALL)
+    doc = json.loads(s.select(files.result_json(s).alias("result_json")).first().result_json)
     assert set(doc) == {"individual_predictions", "ensemble_prediction", "email_analysis", "timestamp"}
     assert set(doc["individual_predictions"]) == {"random_forest", "svm"}
