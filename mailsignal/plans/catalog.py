@@ -366,11 +366,9 @@ def orphan_predictions(spark, sf_dir):
 
 
 def _cleaned(spark, sf_dir):
-    """The stored logs, and a store of its own with the same rows after a clean-up of 90 days (both done once)."""
-    from mailsignal.sources.store import LogStore
+    """The stored logs, and a branch of them after a clean-up of 90 days (done once)."""
     full = logs.store(spark, sf_dir)
-    mine = LogStore(spark, full.root + "-cleaned")
-    mine.append("load", **{t: full.read(t).drop("day", "batch") for t in ("emails", "predictions", "user_activity")})
+    mine = full.fork("cleaned")
     mine.retention(MAIL_AS_OF, days=90)
     return full, mine
 

@@ -9,6 +9,9 @@ and what readers see is the newest *snapshot*: a small file that names, for each
 * Retention drops whole days by raising the first day of the live batches (no data is read) and rewrites the day of
   the cut-off, and the old mails that predictions still refer to, as one new batch. ``vacuum`` deletes what no snapshot names.
 
+A *branch* is a line of snapshots of its own over the same batches: a clean-up can be tried, and read, without a copy of the rows
+and without the main line seeing it.
+
 A snapshot is written beside its place and renamed; where another writer was first, its state is read and the change
 applied again. Filters on ``day``, ``model_name`` and ``batch`` prune partitions when a table is read.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +34,9 @@ _KEEP = 2  # snapshots that vacuum leaves for readers that are under way
 
 
 class LogStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, branch: str = ""):
+        self.spark, self.root, self.branch = spark, root.rstrip("/"), branch
+        self._line = f"_snapshots-{branch}" if branch else "_snapshots"
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -44,10 +49,10 @@ class LogStore:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
     def _versions(self) -> list[str]:
-        return [n for n in self._names("_snapshots") if n.isdigit()]
+        return [n for n in self._names(self._line) if n.isdigit()]
 
     def _load(self, version: str) -> dict:
-        stream = self._fs.open(self._path("_snapshots", version))
+        stream = self._fs.open(self._path(self._line, version))
         try:
             return json.loads(bytes(stream.readAllBytes()))
         finally:
@@ -63,8 +68,8 @@ class LogStore:
         while True:
             versions = self._versions()
             state = change(self._load(versions[-1]) if versions else {})
-            target = self._path("_snapshots", f"{int(versions[-1]) + 1 if versions else 1:012d}")
-            part = self._path("_snapshots", f"_{uuid.uuid4().hex}")
+            target = self._path(self._line, f"{int(versions[-1]) + 1 if versions else 1:012d}")
+            part = self._path(self._line, f"_{uuid.uuid4().hex}")
             out = self._fs.create(part)
             try:
                 out.write(bytearray(json.dumps(state).encode()))
@@ -74,6 +79,13 @@ class LogStore:
                 return
             self._fs.delete(part, False)
 
+    def fork(self, branch: str) -> LogStore:
+        """The branch of that name, begun with the present state where there is none yet."""
+        out, state = LogStore(self.spark, self.root, branch), self.snapshot()
+        if not out._versions():
+            out._publish(lambda _: state)
+        return out
+
     # -- writing ----------------------------------------------------------------------------------------
     def _write(self, table: str, rows: DataFrame, batch: str) -> str:
         """The batch's files; a rebalance on the partition columns keeps files few and splits a hot day."""
@@ -91,7 +103,8 @@ class LogStore:
         new = {t: rows for t, rows in tables.items() if batch not in state.get(t, {}).get("batches", {})}
         if not new:
             return False
-        schemas = {t: self._write(t, rows, batch) for t, rows in new.items()}
+        with ThreadPool(len(new)) as pool:   # the tables of a batch are written side by side
+            schemas = dict(zip(new, pool.starmap(self._write, [(t, rows, batch) for t, rows in new.items()])))
 
         def change(state: dict) -> dict:
             for t, schema in schemas.items():
@@ -148,11 +161,12 @@ class LogStore:
         return True
 
     def vacuum(self) -> None:
-        """Delete old snapshots, batches that the kept ones do not name, and days before a batch's first day."""
+        """Delete old snapshots, batches that the kept ones of no branch name, and days before a batch's first day in all of them."""
         versions = self._versions()
         for old in versions[:-_KEEP]:
-            self._fs.delete(self._path("_snapshots", old), False)
-        states = [self._load(v) for v in versions[-_KEEP:]]
+            self._fs.delete(self._path(self._line, old), False)
+        lines = [n.removeprefix("_snapshots").removeprefix("-") for n in self._names() if n.startswith("_snapshots")]
+        states = [line._load(v) for line in (LogStore(self.spark, self.root, b) for b in lines) for v in line._versions()[-_KEEP:]]
         for table in {t for s in states for t in s}:
             for folder in self._names(table):
                 if not folder.startswith("batch="):

@@ -106,3 +106,14 @@ def test_fingerprint_changes_with_the_files(spark):
     assert first == fingerprint(spark, path)
     spark.range(4).write.mode("overwrite").parquet(path)
     assert fingerprint(spark, path) != first
+
+
+def test_branches_share_batches(spark, store):
+    store.append("b1", predictions=preds(spark, ROWS), emails=preds(spark, ROWS))
+    side = store.fork("tried")
+    assert side.retention("2024-01-02 12:00:00", 0) and ids(side.read("predictions")) == [4] and ids(store.read("predictions")) == [1, 2, 3, 4]
+    store.vacuum()
+    side.vacuum()
+    assert ids(store.read("predictions")) == [1, 2, 3, 4] and ids(store.fork("tried").read("predictions")) == [4]
+    store.append("b2", predictions=preds(spark, [(9, 1, "svm", 1, "2024-01-05 00:00:00")]))
+    assert ids(side.read("predictions")) == [4]
