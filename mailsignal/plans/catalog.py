@@ -489,14 +489,14 @@ def lemma_lookup(spark, sf_dir):
     """D6 with a lemma table derived from the corpus: a token ending in 's' (not 'ss') maps to
     the token without it when that form also occurs in the corpus."""
     import uuid
-    from mailsignal.operators.textjobs import corpus_plural_lemmas, lemmatize
+    from mailsignal.operators.textjobs import corpus_plural_lemmas, lemmatize, plural
     from mailsignal.session import scratch_path
     m = _mails(spark, sf_dir).select("email_id", T.drop_stopwords(T.tokens(T.clean_text("raw_text"))).alias("toks"))
     path = scratch_path(spark, "tokens", uuid.uuid4().hex)   # cleaned once, read by the lemma table, the lookup and the result
     m.write.parquet(path)
     m = spark.read.schema(m.schema).parquet(path)
     lem = corpus_plural_lemmas(m, "toks")
-    out = lemmatize(m, "toks", lem, "email_id")
+    out = lemmatize(m, "toks", lem, "email_id", plural)
     return out.select("email_id", F.array_join("lemmas", " ").alias("lemmas"))
 
 
