@@ -5,9 +5,9 @@ The active rows of the table are what counts at the time of the query: an upsert
 Keywords are found as substrings of the lower-cased text. The table's size is measured first.
 
 * Up to ``AUTOMATON_BYTES`` it is sent to the tasks as one Aho-Corasick automaton, which reads each text once for all keywords.
-* A larger one is joined: keywords by their first four bytes, texts by the places where four such bytes stand (known to the tasks from a
-  bit set of ``2 ** HEAD_BITS`` bits, a fixed size), each with as many bytes behind it as the longest keyword has; the join keeps places that go on like
-  the keyword. Keywords under four bytes stay with automata, in groups within the limit.
+* A larger one is joined: keywords by their heads, the first four to eight bytes (as many as the shortest has), texts by the places where such bytes
+  stand (known to the tasks from a bit set of ``2 ** HEAD_BITS`` bits, a fixed size), each with as many bytes behind it as the longest keyword
+  has; the join keeps places that go on like the keyword. Keywords under four bytes stay with automata, in groups within the limit.
 
 URL patterns are regular expressions: groups of ``PATTERNS`` become literals of one expression each, one scan a group.
 
@@ -26,8 +26,10 @@ from mailsignal.session import ship_package
 
 AUTOMATON_BYTES = 8 << 20
 _ENTRY_BYTES = 64          # what a keyword costs beside its letters
-HEAD, HEAD_BITS, _SPREAD = 4, 24, 1640531527   # odd and under 2 ** 31: products fit a signed long
+HEAD, LONG_HEAD, HEAD_BITS = 4, 8, 24
+_SPREAD = (1640531527, 1540483477)   # odd and under 2 ** 31: products fit a signed long
 PATTERNS = 200
+FLUSH = 1 << 16            # rows held before they are sent on
 
 
 def active(table: DataFrame) -> DataFrame:
@@ -70,41 +72,59 @@ def _by_automaton(texts: DataFrame, words: list[str]) -> DataFrame:
     return texts.mapInArrow(_found(sent), "id long, entry long").join(F.broadcast(names), "entry").select("id", "keyword")
 
 
-def _heads_in(sent, width: int):
-    """(id, low) -> (id, head, window): distinct places of a text where four bytes of the bit set stand, with ``width`` bytes from there."""
+def _fours(b: np.ndarray, n: int, first: int) -> np.ndarray:
+    """The four bytes from ``first`` on, behind each of the first n places, as one number."""
+    part = [b[first + i:first + i + n] for i in range(HEAD)]
+    return (part[0] << np.uint32(24)) | (part[1] << np.uint32(16)) | (part[2] << np.uint32(8)) | part[3]
+
+
+def _heads_in(sent, head: int, width: int):
+    """(id, low) -> (id, code, window): distinct places of a text where a head of the bit set stands, with ``width`` bytes from there."""
     def run(batches):
         bits = sent.value
         for batch in batches:
-            ids, heads, windows = [], [], []
+            ids, codes, windows = [], [], []
+
+            def pack():
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(codes, pa.int64()), pa.array(windows, pa.binary())],  # noqa: B023
+                                                  names=["id", "code", "window"])
             for row, text in enumerate(batch.column(1)):
                 raw = (text.as_py() or "").encode()
-                if len(raw) < HEAD:
+                if len(raw) < head:
                     continue
-                b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-                n = len(b) - HEAD + 1
-                head = (b[:n] << np.uint64(24)) | (b[1:n + 1] << np.uint64(16)) | (b[2:n + 2] << np.uint64(8)) | b[3:n + 3]
-                at = ((head * np.uint64(_SPREAD)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - HEAD_BITS)
-                hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
-                some = {raw[i:i + width]: int(head[i]) for i in hit}
-                ids += [row] * len(some)
-                heads += some.values()
-                windows += some
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(heads, pa.int64()), pa.array(windows, pa.binary())], names=["id", "head", "window"])
+                b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+                n = len(b) - head + 1
+                one, two = _fours(b, n, 0), _fours(b, n, head - HEAD)
+                at = (one * np.uint32(_SPREAD[0]) + two * np.uint32(_SPREAD[1])) >> np.uint32(32 - HEAD_BITS)   # modulo 2 ** 32
+                hit = np.flatnonzero((bits[at >> np.uint32(6)] >> (at & np.uint32(63)).astype(np.uint64)) & np.uint64(1))
+                code = ((one[hit].astype(np.uint64) << np.uint64(32)) | two[hit]).view(np.int64)
+                for window, c in {raw[i:i + width]: int(c) for i, c in zip(hit.tolist(), code)}.items():
+                    ids.append(row)
+                    codes.append(c)
+                    windows.append(window)
+                    if len(ids) == FLUSH:
+                        yield pack()
+                        ids, codes, windows = [], [], []
+            if ids:
+                yield pack()
     return run
 
 
-def _by_join(texts: DataFrame, keywords: DataFrame, width: int) -> DataFrame:
-    """``keywords`` (keyword) of at least four bytes."""
+def _by_join(texts: DataFrame, keywords: DataFrame, head: int, width: int) -> DataFrame:
+    """``keywords`` (keyword) of at least ``head`` bytes, four to eight."""
     raw = F.col("keyword").cast("binary")
-    coded = keywords.select("keyword", F.conv(F.hex(F.substring(raw, 1, HEAD)), 16, 10).cast("long").alias("head"))
-    at = F.shiftright((F.col("head") * F.lit(_SPREAD)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - HEAD_BITS)
+    four = lambda first: F.conv(F.hex(F.substring(raw, first + 1, HEAD)), 16, 10).cast("long")
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
+    coded = keywords.select("keyword", four(0).alias("one"), four(head - HEAD).alias("two"))
+    at = F.shiftright(low(low(F.col("one") * F.lit(_SPREAD[0])) + low(F.col("two") * F.lit(_SPREAD[1]))), 32 - HEAD_BITS)
     cells = coded.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word"))
     got = cells.toArrow()   # at most 2 ** HEAD_BITS / 64 rows
     bits = np.zeros(1 << (HEAD_BITS - 6), np.uint64)
     bits[got["cell"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
-    places = texts.mapInArrow(_heads_in(texts.sparkSession.sparkContext.broadcast(bits), width), "id long, head long, window binary")
+    places = texts.mapInArrow(_heads_in(texts.sparkSession.sparkContext.broadcast(bits), head, width), "id long, code long, window binary")
     goes_on = F.substring("window", F.lit(1), F.octet_length("keyword")) == F.col("keyword").cast("binary")
-    return places.join(coded, "head").where(goes_on).select("id", "keyword").distinct()
+    coded = coded.select("keyword", F.shiftleft("one", 32).bitwiseOR(F.col("two")).alias("code"))
+    return places.join(coded, "code").where(goes_on).select("id", "keyword").distinct()
 
 
 def keyword_hits(mails: DataFrame, table: DataFrame, text_col: str = "text", id_col: str = "email_id", limit: int | None = None) -> DataFrame:
@@ -116,11 +136,12 @@ def keyword_hits(mails: DataFrame, table: DataFrame, text_col: str = "text", id_
     texts = mails.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("low"))
     size = F.octet_length("keyword")
     words = rows.select("keyword").distinct()
-    of = words.agg(F.coalesce(F.sum(size + _ENTRY_BYTES), F.lit(0)).alias("all"), F.coalesce(F.max(size), F.lit(0)).alias("longest")).first()   # one row
+    of = words.agg(F.coalesce(F.sum(size + _ENTRY_BYTES), F.lit(0)).alias("all"), F.coalesce(F.max(size), F.lit(0)).alias("longest"),
+                   F.min(F.when(size >= HEAD, size)).alias("shortest")).first()   # one row
     if of["all"] <= limit:
         found = _by_automaton(texts, [r["keyword"] for r in words.collect()])
     else:
-        found = _by_join(texts, words.where(size >= HEAD), of["longest"])
+        found = _by_join(texts, words.where(size >= HEAD), min(LONG_HEAD, of["shortest"] or HEAD), of["longest"])
         group, held = [], 0
         for r in words.where(size < HEAD).toLocalIterator():
             group.append(r["keyword"])

@@ -30,6 +30,16 @@ def test_equals_plain_search(spark, monkeypatch, limit):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("shortest", [4, 6, 8, 11])
+def test_heads_of_any_length(spark, shortest):
+    entries = sorted({w for i in range(40) for w in [" ".join(words(i, 4))[:14].strip()] if len(w.encode()) >= shortest} | {"é" * shortest, "日本語日本語日本語"})
+    texts = [" ".join(words(i, 12)) for i in range(60)] + ["é" * 20, "x日本語日本語日本語日", None, "ab"]
+    mails = spark.createDataFrame(list(enumerate(texts)), "email_id long, text string")
+    got = X.keyword_hits(mails, spark.createDataFrame([(w, "c", 1.0, True) for w in entries], SCHEMA), limit=0)
+    want = sorted((i, w) for i, t in enumerate(texts) if t is not None for w in entries if w in t.lower())
+    assert sorted((r.email_id, r.keyword) for r in got.collect()) == want and len(want) > 20
+
+
 def test_upsert_changes_matches(spark):
     mails = spark.createDataFrame([(1, "claim your prize"), (2, "nothing here")], "email_id long, text string")
     base = spark.createDataFrame([("prize", "reward", 1.0, True), ("nothing", "calm", 1.0, True)], SCHEMA)
