@@ -117,3 +117,10 @@ def test_branches_share_batches(spark, store):
     assert ids(store.read("predictions")) == [1, 2, 3, 4] and ids(store.fork("tried").read("predictions")) == [4]
     store.append("b2", predictions=preds(spark, [(9, 1, "svm", 1, "2024-01-05 00:00:00")]))
     assert ids(side.read("predictions")) == [4]
+
+
+def test_orphans_are_looked_up_in_the_whole_log(spark):
+    from mailsignal.plans.catalog import orphan_emails
+    found = ids(orphan_emails(spark, SMALL))
+    named = {r.email_id for r in logs.stored(spark, SMALL, "predictions").select("email_id").distinct().collect()}
+    assert found and not named & set(found)
