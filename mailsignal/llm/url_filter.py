@@ -7,9 +7,10 @@ Association rules. A URL is a set of tokens: scheme, labels and last label of th
 names of the query and whether there is a fragment. Spark's FP-growth mines the token sets of the labelled URLs together with the
 label. A combination of at most ``longest`` tokens becomes a blocking rule when at least ``min_rows`` labelled URLs (and
 ``min_support`` of them) hold it and are bad and these are at least ``min_percent`` of all labelled URLs that hold it; rules that hold
-a smaller rule of at least the same share are pruned. ``items`` bounds the tokens of one labelled URL that enter the mining (those
-with the largest share of bad URLs), so there are at most 2^items sets a URL; among at most C(items, longest) smaller ones it also bounds the rules:
-a few thousand at the default parameters, whatever the number of labels.
+a smaller rule of at least the same share are pruned. Every token held by that many bad URLs enters the mining. FP-growth has no limit on the size of
+its sets, which double with each token of a URL: where a labelled URL has more than ``items`` such tokens, sets are counted level by level
+instead, up to ``longest`` tokens, with the same rules. A level grows only sets that can still be part of a rule: a set held by the same URLs as a
+smaller one, or that holds a set of bad URLs only, would be pruned in the end, and so would all that hold it.
 
 Matching. Rules lie in an inverted index under their rarest token. The distinct token sets of URLs that the list leaves open are exploded, meet the
 index by that token, and a rule fits when the set holds all its tokens. The best one (share, rows, tokens) gives the verdict ``block``;
@@ -23,7 +24,7 @@ of its labels says so.
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsignal.llm.graph import stored
@@ -67,6 +68,38 @@ def tokens(url: str) -> Column:
     return F.array_sort(F.array_distinct(every))
 
 
+def _grown(each: DataFrame, least: int, longest: int) -> DataFrame:
+    """(tokens, n, bad) of the sets of at most ``longest`` tokens that ``least`` bad URLs hold, by FP-growth, from (id, bad, token)."""
+    chosen = each.groupBy("id").agg(F.collect_list("token").alias("some"), F.first("bad").alias("bad"))
+    baskets = stored(chosen.select(F.when(F.col("bad"), F.array_append("some", F.lit(BAD))).otherwise(F.col("some")).alias("items")), "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=max(least - 0.5, 0.5) / baskets.count(), minConfidence=0.0).fit(baskets)
+    sets = stored(model.freqItemsets.where(F.size("items") <= longest + 1), "itemsets")
+    with_bad = F.array_contains("items", BAD)
+    bad = sets.where(with_bad & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("bad"))
+    whole = sets.where(~with_bad).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
+    return whole.join(bad, "tokens")
+
+
+def _levels(each: DataFrame, least: int, longest: int) -> DataFrame:
+    """The same, one token more a level, without the sets that a smaller one is sure to prune."""
+    def counted(held):
+        return held.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).where(F.col("bad") >= least)
+    held = each.select("id", "bad", F.array("token").alias("tokens"))
+    sets = stored(counted(held), "level")
+    out = sets
+    for size in range(2, longest + 1):
+        grow = sets.where("bad < n")
+        longer = held.join(grow.select("tokens"), "tokens", "left_semi").join(each.select("id", "token"), "id").where(F.col("token") > F.element_at("tokens", -1))
+        held = stored(longer.select("id", "bad", F.array_append("tokens", F.col("token")).alias("tokens")), "held")
+        some = stored(counted(held), "counted")
+        # each part with one token less has been grown and is held by more URLs
+        parts = some.select("tokens", F.col("n").alias("n1"), F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("part"))
+        fine = parts.join(grow.select(F.col("tokens").alias("part"), "n"), "part").where("n > n1").groupBy("tokens").count().where(F.col("count") == size)
+        sets = stored(some.join(fine, "tokens", "left_semi"), "level")
+        out = out.union(sets)
+    return out
+
+
 def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_percent: int = MIN_PERCENT,
          longest: int = LONGEST, items: int = ITEMS) -> DataFrame:
     """Blocking rules (tokens, n, bad) from labelled URLs (id unique, tokens, bad boolean)."""
@@ -75,22 +108,14 @@ def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_
     total = urls.count()
     least = max(min_rows, -(-int(total * min_support * 1e6) // 10**6))
     each = urls.select("id", "bad", F.explode("tokens").alias("token"))
-    count = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("b")).where(F.col("b") >= least)
-    share = (F.col("b") / F.col("n")).alias("share")
-    best = Window.partitionBy("id").orderBy(F.desc("share"), F.desc("n"), "token")  # one URL's tokens
-    chosen = (each.join(count.select("token", "n", share), "token").withColumn("place", F.row_number().over(best)).where(F.col("place") <= items)
-              .groupBy("id").agg(F.collect_list("token").alias("some"), F.first("bad").alias("bad")))
-    baskets = chosen.select(F.when(F.col("bad"), F.array_append("some", F.lit(BAD))).otherwise(F.col("some")).alias("items"))
-    schema = "tokens array<string>, n long, bad long"
-    if total < least or baskets.isEmpty():
-        return spark.createDataFrame([], schema)
-    baskets = stored(baskets, "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=max(least - 0.5, 0.5) / baskets.count(), minConfidence=0.0).fit(baskets)
-    sets = stored(model.freqItemsets.where(F.size("items") <= longest + 1), "itemsets")
-    with_bad = F.array_contains("items", BAD)
-    bad = sets.where(with_bad & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("bad"))
-    whole = sets.where(~with_bad).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    strong = stored(whole.join(bad, "tokens").where((F.col("bad") >= least) & (100 * F.col("bad") >= min_percent * F.col("n"))).select("tokens", "n", "bad"), "strong")
+    count = each.groupBy("token").agg(F.count_if("bad").alias("b")).where(F.col("b") >= least)
+    each = each.join(count.select("token"), "token")
+    if total < least or each.isEmpty():
+        return spark.createDataFrame([], "tokens array<string>, n long, bad long")
+    each = stored(each, "tokens")
+    most = each.groupBy("id").count().agg(F.max("count")).first()[0]   # one number
+    sets = _grown(each, least, longest) if most <= items else _levels(each, least, longest)
+    strong = stored(sets.where((F.col("bad") >= least) & (100 * F.col("bad") >= min_percent * F.col("n"))).select("tokens", "n", "bad"), "strong")
     # a rule goes when a smaller one inside it has at least its share: every smaller part of at most ``longest`` tokens is looked up
     n = F.col("k")
     part = lambda mask: F.filter("tokens", lambda x, i: F.expr("k").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)

@@ -162,6 +162,18 @@ def test_url_filter(spark):
     assert bare.count() == len(rows) and bare.where("rule is null and verdict = 'block'").count() == 0
 
 
+def test_urls_of_many_tokens_give_every_rule(spark):
+    rng, known = random.Random(11), []
+    for i in range(300):
+        some = [f"t{j:02d}" for j in range(18) if rng.random() < 0.8] + ["always"] + ["twin1", "twin2"] * (rng.random() < 0.4)
+        evil = {"t03", "t11"} <= set(some) and "t07" not in some or "twin1" in some and rng.random() < 0.7
+        known.append((i, sorted([*some, *["evil"] * (evil and rng.random() < 0.2)]), evil))
+    want = brute_mine([(t, b) for _, t, b in known], 10, 60, 3)
+    urls = spark.createDataFrame(known, "id long, tokens array<string>, bad boolean")
+    assert {tuple(r["tokens"]): (r["n"], r["bad"]) for r in url_filter.mine(urls).collect()} == want
+    assert {len(s) for s in want} == {1, 2, 3}
+
+
 def test_long_urls_do_not_explode_the_mining(spark):
     rows = [(i, "http://" + ".".join(f"l{j}" for j in range(40)) + ".org/x") for i in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
