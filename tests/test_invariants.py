@@ -1,9 +1,14 @@
 """Invariants on the driver tables: splits, folds, norms, AUC symmetry, stream = batch, dictionaries."""
 
+import hashlib
+import math
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from mailsignal.operators import dictionary as D
 from mailsignal.operators import evaluate as J
+from mailsignal.operators import models as H
 from mailsignal.operators import split as G
 from mailsignal.operators import vectorize as V
 from mailsignal.sources import views
@@ -80,3 +85,8 @@ def test_stemmer_job_equals_python(spark):
     a = {r.email_id: r.stems for r in QUERIES["porter_stem"](spark, SMALL).collect()}
     b = {r.email_id: r.tokens for r in QUERIES["stopword_filter"](spark, SMALL).collect()}
     assert all(a[k] == " ".join(stem(w) for w in b[k].split(" ") if w) for k in b)
+
+
+def test_fits_keep_node_statistics_small():
+    assert 4 * H.FOREST_MEMORY_MB <= 0.1 * 6000   # four tasks of a 10 GB executor, 60 % of it heap
+    assert [H.fit_parts(n, 12) for n in (0, 1, 41_000, 410_000, 2_460_000)] == [1, 1, 11, 24, 76]
