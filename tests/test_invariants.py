@@ -87,6 +87,33 @@ def test_stemmer_job_equals_python(spark):
     assert all(a[k] == " ".join(stem(w) for w in b[k].split(" ") if w) for k in b)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def mails(spark, rows):
+    return spark.createDataFrame(rows, "id long, text string, label int")
+
+
+def test_split_leaves_texts_where_they_lie(spark):
+    rows = [(i, f"text {i}", None if i % 11 == 0 else i % 3) for i in range(400)]
+    once = G.stratified_split(mails(spark, rows), "id")
+    assert once.columns == ["id", "text", "label", "split"]
+    found = {r.id: r.split for r in once.collect()}
+    for label in (None, 0, 1, 2):
+        order = sorted((hashlib.md5(f"42|{i}".encode()).hexdigest(), i) for i, _, x in rows if x == label)
+        n = math.floor(len(order) * 0.2 + 0.5)
+        assert [found[i] for _, i in order] == ["test"] * n + ["train"] * (len(order) - n)
+    assert "hashpartitioning(id" not in plan(once)   # no join on the id moves the texts
+
+
+def test_split_with_repeated_and_null_ids_joins_the_ranks(spark):
+    rows = [(i, f"text {i}", i % 2) for i in range(60)]
+    got = Counter(r.id for r in G.stratified_split(mails(spark, rows + rows[:5] + [(None, "x", 1)]), "id").collect())
+    assert got == {i: 4 if i < 5 else 1 for i in range(60)}
+    assert G.stratified_split(mails(spark, rows + [(None, "x", 1)]), "id").count() == 60
+
+
 def test_fits_keep_node_statistics_small():
     assert 4 * H.FOREST_MEMORY_MB <= 0.1 * 6000   # four tasks of a 10 GB executor, 60 % of it heap
     assert [H.fit_parts(n, 12) for n in (0, 1, 41_000, 410_000, 2_460_000)] == [1, 1, 11, 24, 76]
