@@ -114,6 +114,20 @@ def test_split_with_repeated_and_null_ids_joins_the_ranks(spark):
     assert G.stratified_split(mails(spark, rows + [(None, "x", 1)]), "id").count() == 60
 
 
+def test_tfidf_moves_numbers_once(spark):
+    docs = mails(spark, [(1, "alpha beta alpha", 0), (1, "beta gamma", 0), (2, "gamma", 1), (None, "alpha", 1), (3, None, 0)])
+    vocab = spark.createDataFrame([("alpha", 0, 2), ("alpha beta", 1, 1), ("beta", 2, 2), ("gamma", 3, 2)], "term string, idx long, df long").selectExpr("*", "5L n_docs")
+    w = V.tfidf(docs, vocab, "id", "text", carry=("label",))
+    assert plan(w).count("Exchange hashpartitioning(") == 1
+    got = sorted(((r.id is None, r.id, r.term), r.idx, r.weight) for r in w.collect())
+    assert [(k[1], k[2], i) for k, i, _ in got] == [(1, "alpha", 0), (1, "alpha beta", 1), (1, "beta", 2), (1, "gamma", 3), (2, "gamma", 3), (None, "alpha", 0)]
+    idf = {t: math.log(6 / (1 + n)) + 1 for t, n in (("alpha", 2), ("alpha beta", 1), ("beta", 2), ("gamma", 2))}
+    raw = {"alpha": (1 + math.log(2)) * idf["alpha"], "alpha beta": idf["alpha beta"], "beta": (1 + math.log(2)) * idf["beta"], "gamma": idf["gamma"]}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    assert all(abs(x - (raw[k[2]] / norm if k[1] == 1 else 1)) < 1e-8 for k, _, x in got)
+    assert w.columns == ["id", "label", "term", "idx", "weight"]
+
+
 def test_fits_keep_node_statistics_small():
     assert 4 * H.FOREST_MEMORY_MB <= 0.1 * 6000   # four tasks of a 10 GB executor, 60 % of it heap
     assert [H.fit_parts(n, 12) for n in (0, 1, 41_000, 410_000, 2_460_000)] == [1, 1, 11, 24, 76]
