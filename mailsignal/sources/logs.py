@@ -55,16 +55,20 @@ tracker = views.tracker
 feedback = views.feedback
 
 
-def store(spark: SparkSession, sf_dir: str) -> LogStore:
-    """The stored logs of the mails and events under ``sf_dir``. The folder's name tells the input files, and
-    batches are appended once, so the first report of a session fills it and the others read it."""
+TABLES = {"emails": emails, "user_activity": activity, "predictions": predictions, "tracker": tracker}
+
+
+def store(spark: SparkSession, sf_dir: str, *tables: str) -> LogStore:
+    """The stored logs of the mails and events under ``sf_dir``, with the named tables (none: all). The folder's name tells the input files, and
+    a table is appended once, so the first report of a session that reads it fills it and the others read it."""
     key = fingerprint(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/events.parquet")
     out = LogStore(spark, scratch_path(spark, "logs", key))
-    live = out.snapshot().get("emails", {}).get("batches", {})
-    if "load" not in live:
-        out.append("load", emails=emails(spark, sf_dir), user_activity=activity(spark, sf_dir), predictions=predictions(spark, sf_dir), tracker=tracker(spark, sf_dir))
+    state = out.snapshot()
+    new = {t: TABLES[t](spark, sf_dir) for t in tables or TABLES if "load" not in state.get(t, {}).get("batches", {})}
+    if new:
+        out.append("load", **new)
     return out
 
 
 def stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return store(spark, sf_dir).read(table)
+    return store(spark, sf_dir, table).read(table)

@@ -124,3 +124,13 @@ def test_orphans_are_looked_up_in_the_whole_log(spark):
     found = ids(orphan_emails(spark, SMALL))
     named = {r.email_id for r in logs.stored(spark, SMALL, "predictions").select("email_id").distinct().collect()}
     assert found and not named & set(found)
+
+
+def test_a_report_fills_only_its_own_tables(spark, tmp_path):
+    import shutil
+    for t in ("documents", "events"):
+        shutil.copy(f"{SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+    first = logs.store(spark, str(tmp_path), "tracker")
+    assert set(first.snapshot()) == {"tracker"} and not (first.append("load", tracker=views.tracker(spark, str(tmp_path))))
+    assert ids(logs.stored(spark, str(tmp_path), "tracker")) == ids(logs.stored(spark, SMALL, "tracker"))
+    assert set(logs.store(spark, str(tmp_path)).snapshot()) == set(logs.TABLES)
