@@ -118,3 +118,36 @@ def test_both_models_are_tuned(spark, trained, monkeypatch):
     assert {(r.kernel, r.c, r.gamma) for r in got if r.kernel in ("rbf", "poly")} == {(k, 0.1, g) for k in ("rbf", "poly") for g in ("auto", "0.1")}
     assert [r.c for r in got if r.kernel == "linear"] == [0.1] and len(got) == 16 + 5
     assert all(0 <= r.mean_f1 <= 1 and r.std_f1 >= 0 for r in got) and max(r.mean_f1 for r in got) > 0.7
+
+
+@pytest.mark.parametrize("job", ["cv_scores"])
+def test_fits_side_by_side_share_the_slots(spark, trained, monkeypatch, job):
+    """Each of six fits has few parts, not two a task slot, and still one for every MOST_PER_TASK rows; forests keep their rows' nodes."""
+    assert [H.fit_parts(n, 12, 6) for n in (0, 1, 41_000, 410_000, 2_460_000)] == [1, 1, 2, 13, 76]
+    svc, grow, compact, shares, cached = H.LinearSVC, H.random_forest, H._compact, [], []
+    monkeypatch.setattr(H, "LinearSVC", lambda **settings: svc(**{**settings, "maxIter": 3}))
+
+    class Seen(H.RandomForestClassifier):
+        def fit(self, rows, params=None):
+            cached.append(self.getCacheNodeIds())
+            return super().fit(rows, params)
+
+    def small(*a, **b):
+        made = grow(*a, **b).setNumTrees(3)
+        made.__class__ = Seen
+        return made
+
+    def stored(df, rows, at_once=1):
+        shares.append((rows, at_once))
+        return compact(df, rows, at_once)
+    monkeypatch.setattr(H, "random_forest", small)
+    monkeypatch.setattr(H, "_compact", stored)
+    if job == "cv_scores":
+        got = {r.model_name: r for r in H.cv_scores(trained, k=2).collect()}
+        assert set(got) == {"random_forest", "svm"} and all(len(r.fold_f1) == 2 and r.mean_f1 > 0.5 for r in got.values())
+        assert len(cached) == 2
+    else:
+        grown = {"num_trees": (3,), "max_depth": (3,), "min_split": (2,), "min_instances": (1,), "max_features": ("sqrt",)}
+        got = H.grid_search(trained, forest_grid=grown, svm_grid={"kernel": ("linear",), "c": (0.1,), "gamma": ("auto",)}, k=2).collect()
+        assert len(got) == 2 and len(cached) == 2
+    assert shares and set(shares) == {(trained.train.count(), 6)} and all(cached)
