@@ -120,7 +120,7 @@ def test_both_models_are_tuned(spark, trained, monkeypatch):
     assert all(0 <= r.mean_f1 <= 1 and r.std_f1 >= 0 for r in got) and max(r.mean_f1 for r in got) > 0.7
 
 
-@pytest.mark.parametrize("job", ["cv_scores"])
+@pytest.mark.parametrize("job", ["cv_scores", "grid_search"])
 def test_fits_side_by_side_share_the_slots(spark, trained, monkeypatch, job):
     """Each of six fits has few parts, not two a task slot, and still one for every MOST_PER_TASK rows; forests keep their rows' nodes."""
     assert [H.fit_parts(n, 12, 6) for n in (0, 1, 41_000, 410_000, 2_460_000)] == [1, 1, 2, 13, 76]
