@@ -1,4 +1,4 @@
-"""Porter stemming as Column expressions (M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980).
+"""Porter stemming as Column expressions and of one word in Python (M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980).
 
 A word's *shape* says for each letter whether it is a consonant (C) or a vowel (V): a, e, i, o, u are vowels, and so is a y behind a
 consonant. A prefix of the word has the prefix of the shape, so every condition of the algorithm is a test of a piece of text: a measure
@@ -151,3 +151,72 @@ def stems(tokens) -> Column:
     for step in STEPS:
         x = F.transform(x, _on_structs(step))
     return F.transform(x, lambda both: F.coalesce(both["short"], both["w"]))
+
+
+# -- one word in Python: the same steps on the word and its shape, for tasks that stem each distinct word once ---------------------
+
+def _kinds_of(word: str) -> str:
+    out, before = [], ""
+    for c in word:
+        before = "V" if c in "aeiou" or (c == "y" and before == "C") else "C"
+        out.append(before)
+    return "".join(out)
+
+
+def _changed(w: str, s: str, n: int, add: str = "") -> tuple[str, str]:
+    """Without the last n letters, with others (none a y) instead."""
+    end = len(w) - n
+    return w[:end] + add, s[:end] + add.translate(_KIND_OF)
+
+
+_KIND_OF = str.maketrans(_LETTERS, _KINDS)
+
+
+def _over(part: str, n: int) -> bool:
+    return part.count("VC") > n
+
+
+def _word_exchange(w: str, s: str, rules: list[tuple[str, str]]) -> tuple[str, str]:
+    for a, b in rules:
+        if w.endswith(a):
+            return _changed(w, s, len(a), b) if _over(s[:len(s) - len(a)], 0) else (w, s)
+    return w, s
+
+
+def word_stem(word: str) -> str:
+    """The Porter stem of one lower-case word, as ``stems`` has it."""
+    if len(word) <= 2:
+        return word
+    w, s = word, _kinds_of(word)
+    if w.endswith(("sses", "ies")):
+        w, s = _changed(w, s, 2)
+    elif w.endswith("s") and not w.endswith("ss"):
+        w, s = _changed(w, s, 1)
+    n = 2 if w.endswith("ed") else 3 if w.endswith("ing") else 0
+    if w.endswith("eed"):
+        w, s = _changed(w, s, 1) if _over(s[:-3], 0) else (w, s)
+    elif n and "V" in s[:-n]:
+        w, s = _changed(w, s, n)
+        if w.endswith(("at", "bl", "iz")):
+            w, s = _changed(w, s, 0, "e")
+        elif s.endswith("C") and len(w) >= 2 and w[-1] == w[-2] and w[-1] not in "lsz":
+            w, s = _changed(w, s, 1)
+        elif s.count("VC") == 1 and s.endswith("CVC") and w[-1] not in "wxy":
+            w, s = _changed(w, s, 0, "e")
+    if w.endswith("y") and "V" in s[:-1]:
+        w, s = _changed(w, s, 1, "i")
+    w, s = _word_exchange(w, s, L.PORTER_STEP2)
+    w, s = _word_exchange(w, s, L.PORTER_STEP3)
+    for a in L.PORTER_STEP4:
+        if w.endswith(a):
+            if _over(s[:len(s) - len(a)], 1) and (a != "ion" or w[-4:-3] in ("s", "t")):
+                w, s = _changed(w, s, len(a))
+            break
+    if w.endswith("e"):
+        part = s[:-1]
+        short = part.endswith("CVC") and w[-2:-1] not in ("w", "x", "y")
+        if _over(part, 1) or (_over(part, 0) and not short):
+            w, s = _changed(w, s, 1)
+    if w.endswith("ll") and _over(s, 1):
+        w, s = _changed(w, s, 1)
+    return w

@@ -185,3 +185,28 @@ def test_porter_worked_examples(spark):
     got = {r.id: r.s for r in df.select("id", stemming.stems("t").alias("s")).collect()}
     assert got == {0: [stem(w) for w in [*examples, *odd]], 1: [], 2: None}
     assert "Python" not in df.select(stemming.stems("t"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stem_job_gives_the_expressions_stems(spark, monkeypatch):
+    """The job stems a word once for all rows of a slice; null lists, empty lists and null words as in the expressions."""
+    import random
+    from plain_porter import stem
+    from mailsignal.functions import stemming
+    from mailsignal.operators import stem as J
+    rng = random.Random(11)
+    words = ["", "a", "is", "yyyyyyyy", "syzygy", "ayyyyying", "CVCied", "naïveness", "x" * 5000 + "ational", "ions", "eeded", "ylyyly", "e", "ee", "feed", "agreed", "sky"]
+    words += ["".join(rng.choice("aeiouyybtsnlz") for _ in range(rng.randrange(1, 9))) + rng.choice(["", "ed", "ing", "ational", "iviti", "ly", "e", "ll", "ness", "sion", "ies", "eed", "at", "s"])
+              for _ in range(4000)]
+    assert [stemming.word_stem(w) for w in words] == [stem(w) for w in words]
+    rows = [(7, words), (7, words[:40]), (None, ["flying", None, "flying"]), (1, []), (2, None)] + [(i, ["relational", words[i]]) for i in range(1300)]
+    df = spark.createDataFrame(rows, "id long, t array<string>").coalesce(1)
+    key = lambda r: (str(r[0]), str(r[1]))
+    want = sorted(map(tuple, df.select("id", stemming.stems("t")).collect()), key=key)
+    job = J.stem_tokens(df, "t", "id")
+    assert job.dtypes == [("id", "bigint"), ("lemmas", "array<string>")] and sorted(map(tuple, job.collect()), key=key) == want
+    assert (None, [stem("flying"), "", stem("flying")]) in want
+    import pyarrow as pa
+    stemmed = []
+    monkeypatch.setattr(J, "_known_stem", lambda w: stemmed.append(w) or stem(w))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([["cats", "cats", "ponies"]] * 400)], names=["id", "t"])
+    assert [b.column(1).to_pylist() for b in J._stem_batches(iter([batch]))] == [[["cat", "cat", "poni"]] * 400] and sorted(stemmed) == ["cats", "ponies"]
