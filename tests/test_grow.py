@@ -32,9 +32,9 @@ def nodes(spark, model):
                                                           F.round("weight", 6), F.round("gain", 9)).collect()))
 
 
-@pytest.mark.parametrize("dense", [False, True])
-def test_one_tree_on_all_features_is_spark_mls(spark, dense):
-    rows = made(spark, dense=dense)
+@pytest.mark.parametrize("dense, parts", [(False, 3), (True, 3), (True, 1)])
+def test_one_tree_on_all_features_is_spark_mls(spark, dense, parts):
+    rows = made(spark, dense=dense).coalesce(parts)
     own = H.random_forest(num_trees=1, max_depth=6, min_instances=3).setFeatureSubsetStrategy("all").setBootstrap(False)
     theirs = own.copy()
     theirs.__class__ = ml.RandomForestClassifier
@@ -73,6 +73,16 @@ def test_draws_bags_and_small_jobs(spark, monkeypatch):
     assert nodes(spark, forest.fit(rows)) == want
 
 
+def test_rows_of_one_part_take_a_fixed_number_of_jobs(spark):
+    rows, group = made(spark, n=600).coalesce(1).checkpoint(), uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "forest")
+    try:
+        model = H.random_forest(num_trees=30, max_depth=12).fit(rows)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert model.totalNumNodes > 600 and len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 24
+
+
 def test_what_histograms_do_not_cover_is_spark_mls(spark):
     rows = made(spark, n=120).withColumn("class_weight", F.rand(1) + 0.5)
     assert H.random_forest(num_trees=2, max_depth=3).fit(rows).totalNumNodes >= 2      # weights of its own for every row
